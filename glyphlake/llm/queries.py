@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import suffix_dedup
+from . import jaccard_join, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,3 +32,21 @@ o AS (SELECT *, CASE WHEN coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s R
 i AS (SELECT *, sum(o) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS i FROM o)
 SELECT doc_id, min(s)::INT AS start_word, max(e)::INT AS end_word FROM i GROUP BY doc_id, i
 """
+
+
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose sets of word 3-grams are similar by a half at least."""
+    return jaccard_join.pairs(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op6_ngram_jaccard_join"] = op6_ngram_jaccard_join
+ORACLE["op6_ngram_jaccard_join"] = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i : i + 2], ' ')) END)) AS g FROM w WHERE len(ws) > 0),
+k AS (SELECT g, min(doc_id) AS doc, list(doc_id) AS ids, len(g) AS n FROM s GROUP BY g),
+u AS (SELECT doc, n, unnest(g) AS t FROM k),
+p AS (SELECT a.doc AS doc_a, b.doc AS doc_b, a.n AS na, b.n AS nb, count(*) AS overlap FROM u a JOIN u b ON a.t = b.t AND a.doc < b.doc GROUP BY ALL)
+SELECT doc_a, doc_b, overlap, overlap / (na + nb - overlap)::DOUBLE AS jaccard FROM p WHERE overlap / (na + nb - overlap)::DOUBLE >= 0.5
+UNION ALL
+SELECT doc AS doc_a, x AS doc_b, n AS overlap, 1.0::DOUBLE AS jaccard FROM (SELECT doc, unnest(ids) AS x, n FROM k) WHERE x <> doc
+"""
