@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, suffix_dedup
+from . import decontaminate, jaccard_join, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -50,3 +50,24 @@ SELECT doc_a, doc_b, overlap, overlap / (na + nb - overlap)::DOUBLE AS jaccard F
 UNION ALL
 SELECT doc AS doc_a, x AS doc_b, n AS overlap, 1.0::DOUBLE AS jaccard FROM (SELECT doc, unnest(ids) AS x, n FROM k) WHERE x <> doc
 """
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The affected documents' longest verbatim matches with benchmark items, and where they are."""
+    return decontaminate.locations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op9_benchmark_decontamination"] = op9_benchmark_decontamination
+ORACLE["op9_benchmark_decontamination"] = r"""
+WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents),
+bw AS (SELECT item_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM benchmark),
+bk AS (SELECT item_id, ws, CASE WHEN len(ws) >= 13 THEN 13 ELSE len(ws) END AS k FROM bw WHERE len(ws) >= 8),
+bs AS (SELECT item_id, k, j, array_to_string(ws[j + 1 : j + k], ' ') AS t FROM (SELECT item_id, ws, k, unnest(range(0, len(ws) - k + 1)) AS j FROM bk)),
+ks AS (SELECT DISTINCT k FROM bk),
+ds AS (SELECT doc_id, k, i, array_to_string(ws[i + 1 : i + k], ' ') AS t FROM (SELECT doc_id, ws, k, unnest(range(0, len(ws) - k + 1)) AS i FROM dw, ks WHERE len(ws) >= k)),
+h AS (SELECT doc_id, item_id, bs.k AS k, i, j FROM bs JOIN ds ON bs.t = ds.t AND bs.k = ds.k),
+r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS island FROM h),
+m AS (SELECT doc_id, item_id, min(i) AS i, min(j) AS j, count(*) + any_value(k) - 1 AS n FROM r GROUP BY doc_id, item_id, i - j, island),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, j, i) AS rn FROM m)
+SELECT doc_id, item_id, n::INT AS match_words, i::INT AS doc_word, j::INT AS item_word FROM o WHERE rn = 1
+"""

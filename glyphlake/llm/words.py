@@ -14,8 +14,8 @@ import pyarrow as pa
 
 U64 = np.uint64
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -82,7 +82,7 @@ def split(column: pa.Array | pa.ChunkedArray) -> Words:
     data, offsets = text_buffers(column)
     n = len(data)
     solid = np.ones(n + 1, bool)
-    solid[:n] = ~_SPACE[data]
+    solid[:n] = ~SPACE[data]
     solid[n] = False
     opens, closes = solid.copy(), solid[:n].copy()
     opens[1:] &= ~solid[:-1]  # a word starts after white space ...
