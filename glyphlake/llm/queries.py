@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, suffix_dedup
+from . import decontaminate, jaccard_join, language_id, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -71,3 +71,11 @@ m AS (SELECT doc_id, item_id, min(i) AS i, min(j) AS j, count(*) + any_value(k)
 o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, j, i) AS rn FROM m)
 SELECT doc_id, item_id, n::INT AS match_words, i::INT AS doc_word, j::INT AS item_word FROM o WHERE rn = 1
 """
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's language, its score per byte and how far the next language is below."""
+    return language_id.identified(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op5_language_id"] = op5_language_id
