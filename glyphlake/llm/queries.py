@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language_id, suffix_dedup
+from . import decontaminate, jaccard_join, language_id, packing, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -79,3 +79,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_language_id"] = op5_language_id
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each piece of each document in sequences of 2048 tokens, with the pools' certificates."""
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op1_best_fit_packing"] = op1_best_fit_packing
