@@ -1,22 +1,58 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences.
+
+STAGES in order; each takes (spark, docs, sf_dir), and all but the last return
+the columns of documents. What a stage drops or edits is gone for the next ones.
+Nulls, empty texts, repeated rows and extra columns have the results that the
+operators' modules state. The last stage returns a row for each piece of each
+document that is left.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphlake.llm import common, suffix_dedup
+from glyphlake.llm import common, decontaminate, jaccard_join, language_id, packing, suffix_dedup
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a language's model explains better than the background stay."""
+    return language_id.of_known_languages(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that similar pairs connect, the one with the least doc_id stays."""
+    return jaccard_join.one_of_each(docs)
 
 
-def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes passages of 50 words and more that occurred before."""
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that occurred before are cut out."""
     return suffix_dedup.without_repeats(docs)
 
 
-STAGES = [("suffix-array dedup", suffix_array_dedup)]
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share 13 words in a row with a benchmark item go."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places in sequences of 2048 tokens."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("language ID", known_language),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_passages),
+    ("best-fit packing", sequences),
+]
+
+#: The first and the last stage can't be expressed in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result but the last is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = common.cut(stage(spark, docs, sf_dir))
