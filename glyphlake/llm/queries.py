@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language_id, packing, suffix_dedup
+from . import decontaminate, jaccard_join, language_id, packing, sstable, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -87,3 +87,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_best_fit_packing"] = op1_best_fit_packing
+
+
+def op3_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sorted string tables of all documents' token ids, one row for each shard."""
+    return sstable.shards(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op3_token_sstable"] = op3_token_sstable
