@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language_id, packing, sstable, suffix_dedup
+from . import decontaminate, jaccard_join, language_id, licenses, packing, sstable, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -95,3 +95,12 @@ def op3_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_token_sstable"] = op3_token_sstable
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences that documents name or quote, and where."""
+    return licenses.licences(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_license_scan"] = op8_license_scan
+ORACLE["op8_license_scan"] = licenses.oracle()
