@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard_join, language_id, licenses, packing, sstable, suffix_dedup
+from . import decontaminate, jaccard_join, language_id, licenses, packing, sstable, suffix_dedup, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -104,3 +104,36 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op8_license_scan"] = op8_license_scan
 ORACLE["op8_license_scan"] = licenses.oracle()
+
+
+def op2_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written as segmented WARC records in chunked coding, and put together again."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES["op2_warc_reassembly"] = op2_warc_reassembly
+ORACLE["op2_warc_reassembly"] = """
+WITH p AS (SELECT page_id, url, html, strlen(html) AS n FROM pages),
+k AS (SELECT *, (n + 699) // 700 AS chunks, (n - 1) % 700 + 1 AS last FROM p),
+c AS (SELECT *, 87 + 5 + CASE WHEN n = 0 THEN 0 ELSE n + 4 * chunks + 3 * (chunks - 1) + CASE WHEN last < 16 THEN 1 WHEN last < 256 THEN 2 ELSE 3 END END AS size FROM k)
+SELECT page_id, url, html, ((size + 1023) // 1024)::INT AS n_segments, 200::INT AS http_status, 'ok' AS status FROM c
+"""
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages' URLs against a list: here every tenth page's URL, and the host of every 97th."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    plain = url_filter.bare(F.col("url"))
+    entries = pages.filter("page_id % 10 = 0").select(plain.alias("entry")).union(pages.filter("page_id % 97 = 0").select(url_filter.host(plain).alias("entry")))
+    return url_filter.filtered(pages, entries)
+
+
+QUERIES["op4_url_filter"] = op4_url_filter
+ORACLE["op4_url_filter"] = r"""
+WITH b AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '#.*$', ''), '^[a-z][a-z0-9+.-]*://', ''), '^[^/@]*@', ''), '^www[.]', ''), '^([^/?:]*):(80|443)([/?]|$)', '\1\3'), '/+$', '') AS p FROM pages),
+h AS (SELECT *, regexp_replace(regexp_replace(p, '[/?].*$', ''), ':[0-9]*$', '') AS host FROM b),
+e AS (SELECT DISTINCT entry FROM (SELECT p AS entry FROM h WHERE page_id % 10 = 0 UNION ALL SELECT host FROM h WHERE page_id % 97 = 0) WHERE entry <> ''),
+c AS (SELECT DISTINCT url, unnest([p] || list_transform(range(1, greatest(len(l) - 1, 1) + 1), lambda i: array_to_string(l[i:], '.'))) AS entry FROM (SELECT url, p, string_split(host, '.') AS l FROM h)),
+m AS (SELECT url, max_by(entry, len(entry)) AS entry FROM c JOIN e USING (entry) GROUP BY url)
+SELECT page_id, pages.url, m.entry IS NOT NULL AS blocked, m.entry FROM pages LEFT JOIN m USING (url)
+"""
