@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard_join, language_id, licenses, packing, sstable, suffix_dedup, url_filter, warc
+from . import audio, decontaminate, jaccard_join, language_id, licenses, packing, sstable, suffix_dedup, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -137,3 +137,11 @@ c AS (SELECT DISTINCT url, unnest([p] || list_transform(range(1, greatest(len(l)
 m AS (SELECT url, max_by(entry, len(entry)) AS entry FROM c JOIN e USING (entry) GROUP BY url)
 SELECT page_id, pages.url, m.entry IS NOT NULL AS blocked, m.entry FROM pages LEFT JOIN m USING (url)
 """
+
+
+def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-mel tensors and segments of all embeddings, sounded as clips."""
+    return audio.audio_features(audio.sounded(table(spark, sf_dir, "embeddings")))
+
+
+QUERIES["op10_audio_features"] = op10_audio_features
