@@ -1,0 +1,185 @@
+"""Legacy glyphs to Unicode Bengali: the steps as column expressions, and as one Arrow function.
+
+The steps, in order: clean up white space; substitute glyph sequences, longer ones
+first; put signs in their logical order; join vowel signs; move reph; keep
+ya-phala from merging; normalise (NFC). None looks across white space but the
+first, so the Arrow function works word by word and does each word once.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from functools import cache
+
+import pandas as pd
+import regex
+from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
+
+from . import tables
+
+CONSONANT = "[\u0995-\u09b9\u09ce\u09dc\u09dd\u09df]"
+VOWEL_SIGN = "[\u09be-\u09c3\u09c7\u09c8\u09cb\u09cc\u09d7]"
+LEADING_SIGN = "[\u09bf\u09c7\u09c8]"
+MARK = "[\u0981-\u0983]"
+HALANT, RA, YA, JOINER = "\u09cd", "\u09b0", "\u09af", "\u200d"
+E_SIGN, AA_SIGN, O_SIGN, AU_TAIL, AU_SIGN = "\u09c7", "\u09be", "\u09cb", "\u09d7", "\u09cc"
+
+#: (pattern, replacement) of the steps that are a regular expression each; Java's and the regex module's syntax are the same here.
+REORDER_LEADING = (f"({LEADING_SIGN})({CONSONANT}(?:{HALANT}{CONSONANT})*)", r"\2\1")
+REORDER_CONJUNCT = (f"({VOWEL_SIGN})((?:{HALANT}{CONSONANT})+)", r"\2\1")
+REORDER_MARK = (f"({MARK})({VOWEL_SIGN})", r"\2\1")
+REPH = (f"(?:\\G|(?<!{HALANT}))({CONSONANT}{VOWEL_SIGN}?){RA}{HALANT}", RA + HALANT + r"\1")
+YA_PHALA = (f"(?<![\u200c\u200d]){RA}{HALANT}{YA}", RA + JOINER + HALANT + YA)
+
+
+def _replaced(text: Column, step: tuple[str, str]) -> Column:
+    return F.regexp_replace(text, step[0], re.sub(r"\\(\d)", r"$\1", step[1]))
+
+
+def pre_normalize(text: Column) -> Column:
+    """Without soft hyphens; no-break spaces are spaces; carriage returns, with a line feed after them or not, are one line feed."""
+    text = F.translate(text, "\u00ad", "")
+    text = F.regexp_replace(text, "\r([\r\u00a0]*)\n?", "$1\n")
+    return F.translate(text, "\u00a0\r", " ")
+
+
+def _ordered(level: dict[str, str]) -> list[str]:
+    """Keys in an order in which replacing one by one is replacing the leftmost: those whose end begins another go first."""
+    starts = {k[0] for k in level}
+    return sorted((k for k in level if "\u00ad" not in k), key=lambda k: (not any(c in starts for c in k[1:]), k))
+
+
+def substitute(text: Column) -> Column:
+    """Glyphs by their text, as a chain of built-in functions."""
+    for n in (4, 3, 2):
+        level = tables.glyphs()[n]
+        for key in _ordered(level):
+            text = F.replace(text, F.lit(key), F.lit(level[key]))
+    singles = tables.glyphs()[1]
+    for key in sorted(singles):
+        if len(singles[key]) > 1:
+            text = F.replace(text, F.lit(key), F.lit(singles[key]))
+    plain = sorted(k for k in singles if len(singles[k]) == 1)
+    return F.translate(text, "".join(plain), "".join(singles[k] for k in plain))
+
+
+def swap_leading_signs(text: Column) -> Column:
+    return _replaced(text, REORDER_LEADING)
+
+
+def reorder_conjuncts(text: Column) -> Column:
+    return _replaced(text, REORDER_CONJUNCT)
+
+
+def reorder_marks(text: Column) -> Column:
+    return _replaced(text, REORDER_MARK)
+
+
+def join_vowel_signs(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit(E_SIGN + AA_SIGN), F.lit(O_SIGN)), F.lit(E_SIGN + AU_TAIL), F.lit(AU_SIGN))
+
+
+def move_reph(text: Column) -> Column:
+    return _replaced(text, REPH)
+
+
+def keep_ya_phala(text: Column) -> Column:
+    return _replaced(text, YA_PHALA)
+
+
+def post_passes(text: Column) -> Column:
+    for step in (swap_leading_signs, reorder_conjuncts, reorder_marks, join_vowel_signs, move_reph, keep_ya_phala):
+        text = step(text)
+    return text
+
+
+@cache
+def _compiled():
+    levels = []
+    for n in (4, 3, 2):
+        level = tables.glyphs()[n]
+        if level:
+            levels.append((re.compile("|".join(map(re.escape, sorted(level)))), level))
+    steps = [(regex.compile(p), r) for p, r in (REORDER_LEADING, REORDER_CONJUNCT, REORDER_MARK)]
+    return levels, str.maketrans(tables.glyphs()[1]), steps, [(regex.compile(p), r) for p, r in (REPH, YA_PHALA)]
+
+
+def substitute_text(text: str) -> str:
+    levels, singles, _, _ = _compiled()
+    for pattern, level in levels:
+        text = pattern.sub(lambda m: level[m[0]], text)  # noqa: B023
+    return text.translate(singles)
+
+
+def word_to_unicode(word: str) -> str:
+    """A string without white space, from glyphs to Unicode."""
+    _, _, before, after = _compiled()
+    word = substitute_text(word)
+    for pattern, by in before:
+        word = pattern.sub(by, word)
+    word = word.replace(E_SIGN + AA_SIGN, O_SIGN).replace(E_SIGN + AU_TAIL, AU_SIGN)
+    for pattern, by in after:
+        word = pattern.sub(by, word)
+    return unicodedata.normalize("NFC", word)
+
+
+class _Words(dict):
+    """Words that were converted before; forgets all when it is large."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 500_000:
+            self.clear()
+        found = self[word] = word_to_unicode(word)
+        return found
+
+
+_WORDS = _Words()
+_RETURNS = re.compile("\r([\r\u00a0]*)\n?")
+
+
+def text_to_unicode(text: str) -> str:
+    if "\u00ad" in text:
+        text = text.replace("\u00ad", "")
+    if "\r" in text:
+        text = _RETURNS.sub("\\1\n", text).replace("\r", "")
+    if "\u00a0" in text:
+        text = text.replace("\u00a0", " ")
+    word = _WORDS.__getitem__
+    return "\n".join([" ".join(map(word, line.split(" "))) for line in text.split("\n")])
+
+
+def _mapped(f, series: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else f(x) for x in series], dtype=object)
+
+
+@F.pandas_udf(StringType())
+def substitute_fast(text: pd.Series) -> pd.Series:
+    """As substitute()."""
+    return _mapped(lambda x: substitute_text(x.replace("\u00ad", "")), text)
+
+
+@F.pandas_udf(StringType())
+def nfc(text: pd.Series) -> pd.Series:
+    """Unicode normalisation form C, which Spark has no function for."""
+    return _mapped(lambda x: unicodedata.normalize("NFC", x), text)
+
+
+@F.pandas_udf(StringType())
+def transliterate(text: pd.Series) -> pd.Series:
+    """Glyphs to Unicode, all steps."""
+    return _mapped(text_to_unicode, text)
+
+
+def transliterate_native(text: Column) -> Column:
+    """As transliterate(), but all in built-in functions up to the last step."""
+    return nfc(post_passes(substitute(pre_normalize(text))))
+
+
+def transliterate_with_audit(text: Column) -> Column:
+    """STRUCT<text, spans>: one span from all bytes of the source to all of the result."""
+    done = transliterate(text)
+    zero = F.lit(0).cast("long")
+    span = F.struct(zero.alias("source_start"), F.octet_length(text).cast("long").alias("source_end"), zero.alias("target_start"), F.octet_length(done).cast("long").alias("target_end"))
+    return F.struct(done.alias("text"), F.array(span).alias("spans"))

@@ -1,6 +1,705 @@
-"""Queries over the tables, each with the SQL that gives the same rows."""
+"""Queries over the tables, each with the SQL that gives the same rows.
+
+The tables hold no legacy-encoded text and no fonts. Fonts are made up from a
+row's numbers, and legacy-looking text by a translation of letters, in the same
+way here and in SQL; pieces of real legacy text come from a table of literals.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from glyphlake.functions import bengali as B, classify as K, fonts as N, tables as T, text as X
+from glyphlake.operators import convert as C, reports as R, runs as O, styles as S
+from glyphlake.plans.options import ConvertOptions
+from glyphlake.sources import ooxml
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Inputs -------------------------------------------------------------------------------------------
+
+FONTS = ["SutonnyMJ", "Kalpurush", None, "ABCDEF+AnandaMJ", "Arial", "JaJaDiMJ-Bold", "StyleMJ", "Noto Sans Bengali"]
+#: Legacy text with what the steps have to get right.
+SAMPLES = ["Avwg evsjvq Mvb MvB|", "K", "|", "Ô", "Õ", "wb", "‡Kv", "‡KŠ", "©K", "K©", "o", "p", "q", "i¨", "Ku", "1234", "Ks", "Av", "A", ",", "K­M", "M­", "w—", "wo", "¶©", "K©L©", "‡Kv©", "h©", "K\r\nL", "K\rL", "@", "Kuv", "‡K«", "w¯’", "Zviv ‡`‡k Av‡Q", "A B", "cÖ_g", "me©‡kl", "fv‡jvevwm", "Avgvi †mvbvi evsjv", ""]
+#: Unicode text for the steps behind the substitution.
+MARKED = ["িক", "েক্র", "ক্রা", "াক্র", "ঁা", "ংি", "ো", "ৌ", "কর্", "কার্", "কর্খর্", "ক্ষর্", "র্য", "র‍্য", "‌র্য", "আমি", "িক্ষর্যাঁ", "ি", "র্র্", "", "কর্যর্য", "ংেিা", "ক্কর্", "xক্র্y"]
+
+
+def _quoted(text: str) -> str:
+    special = {"­": 173, "\r": 13, "\n": 10, " ": 160, "‌": 8204, "‍": 8205}
+    parts, plain = [], ""
+    for c in text:
+        if c in special:
+            parts += [f"'{plain}'", f"chr({special[c]})"]
+            plain = ""
+        else:
+            plain += "''" if c == "'" else c
+    return "(" + " || ".join([*parts, f"'{plain}'"]) + ")" if parts else f"'{plain}'"
+
+
+def font_of(k: Column) -> Column:
+    out = None
+    for i, name in enumerate(FONTS):
+        out = F.when(F.pmod(k, F.lit(8)) == i, F.lit(name)) if out is None else out.when(F.pmod(k, F.lit(8)) == i, F.lit(name))
+    return out.cast("string")
+
+
+def font_sql(k: str) -> str:
+    return f"CASE ({k}) % 8 " + " ".join(f"WHEN {i} THEN " + ("NULL" if f is None else f"'{f}'") for i, f in enumerate(FONTS)) + " END"
+
+
+def literals(spark: SparkSession, texts: list[str]) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(texts)), "n long, text string")
+
+
+def literals_sql(texts: list[str]) -> str:
+    return "(SELECT n, text FROM (VALUES " + ", ".join(f"({i}, {_quoted(t)})" for i, t in enumerate(texts)) + ") AS v(n, text))"
+
+
+def legacy_like(text: Column) -> Column:
+    """Prose as dense glyphs."""
+    return F.translate(F.substring(text, 1, 400), "aeioun", "vwxy†©")
+
+
+LEGACY_LIKE = "translate(substr(text, 1, 400), 'aeioun', 'vwxy†©')"
+
+
+def glyph_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(n, text): samples, and documents as glyphs."""
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("n"), legacy_like(F.col("text")).alias("text"))
+    return literals(spark, SAMPLES).unionByName(docs)
+
+
+GLYPH_TEXTS = f"(SELECT n, text FROM {literals_sql(SAMPLES)} UNION ALL SELECT doc_id + 1000, {LEGACY_LIKE} FROM documents)"
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, run_index, font_name, text): turns of conversations."""
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("run_index"), font_of(F.col("conv_id") + F.col("turn")).alias("font_name"), "text")
+
+
+RUNS = f"(SELECT conv_id AS doc_id, turn AS run_index, {font_sql('conv_id + turn')} AS font_name, text FROM conversations)"
+
+
+def font_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(n, name): spellings of all families' names, and others."""
+    return spark.createDataFrame(list(enumerate(_names())), "n long, name string")
+
+
+def _font_names_sql() -> str:
+    return "(VALUES " + ", ".join(f"({n}::BIGINT, {_quoted(x)})" for n, x in enumerate(_names())) + ") AS v(n, name)"
+
+
+def _names() -> list[str]:
+    styles = ["", " Bold", "-Bold", " Italic", " Bold Italic", "-BoldItalic", "XMJ", "MJ", "OMJ", "SreeMJ", "CMJ", "EMJ"]
+    return [f"{f.stem}{s}" for f in T.fonts()[2] for s in styles] + [x for x in FONTS if x] + ["SutonnyXMJ-Bold", "AnandaMJ", "NiteMJ", "MonooMJ", "MJ", "omj", "ABCDEF+SutonnyMJ", "ABCDE+SutonnyMJ", "abcdef+SutonnyMJ", "Siyam Rupali Bold", "NikoshMJ", "Vrinda"]
+
+
+FONT_NAMES = _font_names_sql()
+
+# SQL of the functions -----------------------------------------------------------------------------
+
+UP, LOW = N.UPPER, N.LOWER
+BENGALI = "[ঀ-৿]"
+
+
+def sql_plain(name: str) -> str:
+    return f"translate(regexp_replace({name}, '^[A-Z]{{6}}\\+', ''), '{UP}', '{LOW}')"
+
+
+def sql_legacy(name: str) -> str:
+    parts = ", ".join(_quoted(p) for p in T.fonts()[0])
+    return f"(len(list_filter([{parts}], lambda p: contains({sql_plain(name)}, p))) > 0 OR suffix({sql_plain(name)}, 'mj'))"
+
+
+def sql_unicode(name: str) -> str:
+    parts = ", ".join(_quoted(p) for p in T.fonts()[1])
+    return f"(len(list_filter([{parts}], lambda p: contains({sql_plain(name)}, p))) > 0)"
+
+
+def sql_stem(name: str) -> str:
+    base = sql_plain(name)
+    for style in N.STYLES:
+        base = f"regexp_replace({base}, '({style})+$', '')"
+    cases = " ".join(f"WHEN suffix(b, '{s}') AND length(b) > {len(s)} THEN substr(b, 1, length(b) - {len(s)})" for s in N.SUFFIXES)
+    return f"list_transform([{base}], lambda b: CASE {cases} ELSE b END)[1]"
+
+
+def sql_matched(name: str) -> str:
+    rows = ", ".join(f"{_quoted(f.stem)}: {_quoted(f.companion or (N.SANS_DEFAULT if f.sans else N.DEFAULT))}" for f in T.fonts()[2])
+    return f"MAP {{{rows}}}[{sql_stem(name)}]"
+
+
+def sql_density(text: str, chars: str) -> str:
+    return f"(length({text}) - length(regexp_replace({text}, '[{chars}]', '', 'g')))::DOUBLE / greatest(length({text}), 1)"
+
+
+def sql_bigrams(text: str) -> str:
+    hits = " + ".join(f"(length({text}) - length(replace({text}, '{p}', ''))) // {len(p)}" for p in T.pairs())
+    words = f"len(list_filter(regexp_split_to_array({text}, '[ \\t\\n\\f\\r]+'), lambda w: w <> ''))"
+    return f"least(({hits} + len(regexp_extract_all({text}, '[†‡][A-Za-z]')))::DOUBLE / greatest({words}, 1), 1.0)"
+
+
+def sql_english(text: str) -> str:
+    words = ", ".join(_quoted(w) for w in sorted(T.english()))
+    space = "\\x09-\\x0D\\x20\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+    tokens = f"list_filter(regexp_split_to_array({text}, '[{space}.,;:!?()\\[\\]{{}}<>\"''/\\\\|`]'), lambda t: strlen(t) >= 3)"
+    return f"list_transform([{tokens}], lambda ts: CASE WHEN len(ts) = 0 THEN 0.0 ELSE len(list_filter(ts, lambda t: list_contains([{words}], lower(t))))::DOUBLE / len(ts) END)[1]"
+
+
+def sql_classified(source: str, mode: str, font: str | None = "font_name") -> str:
+    """source with stage, features, confidence and decision."""
+    by_font = f"WHEN {font} IS NOT NULL AND {sql_legacy(font)} THEN 'ansi_font' WHEN {font} IS NOT NULL AND {sql_unicode(font)} THEN 'unicode_font'" if font else ""
+    return f"""(SELECT *, CASE WHEN stage = 'ansi_font' THEN 'ansi_bengali' WHEN stage <> 'heuristic' THEN 'unicode_bengali' WHEN NOT scored THEN 'latin'
+      WHEN confidence >= {K.THRESHOLDS[mode]} THEN 'ansi_bengali' WHEN confidence < 0.5 THEN 'latin' ELSE 'ambiguous' END AS decision
+    FROM (SELECT *, CASE WHEN stage = 'unicode_range' THEN 1.0 WHEN stage <> 'heuristic' THEN 0.99 WHEN scored
+        THEN 1 / (1 + exp(-(-1 + 8 * high_byte_density + 4 * distinctive_chars + 6 * bigram_hits - 6 * english_coverage))) ELSE 0.0 END::DOUBLE AS confidence
+      FROM (SELECT *, CASE WHEN scored THEN {sql_density('text', chr(0x80) + '-' + chr(0xff))} END AS high_byte_density, CASE WHEN scored THEN {sql_density('text', T.DISTINCTIVE)} END AS distinctive_chars,
+          CASE WHEN scored THEN {sql_bigrams('text')} END AS bigram_hits, CASE WHEN scored THEN {sql_english('text')} END AS english_coverage
+        FROM (SELECT *, stage = 'heuristic' AND text <> '' AS scored
+          FROM (SELECT *, CASE WHEN text = '' THEN 'heuristic' WHEN regexp_matches(text, '{BENGALI}') THEN 'unicode_range' {by_font} ELSE 'heuristic' END AS stage FROM {source})))))"""
+
+
+CN, VS, LS, MK = B.CONSONANT, B.VOWEL_SIGN, B.LEADING_SIGN, B.MARK
+H, RA, YA = B.HALANT, B.RA, B.YA
+
+
+def sql_pre(text: str) -> str:
+    return f"replace(replace(regexp_replace(replace({text}, chr(173), ''), '\\r([\\r\\x{{00A0}}]*)\\n?', '\\1' || chr(10), 'g'), chr(160), ' '), chr(13), '')"
+
+
+def sql_substitute(text: str) -> str:
+    for n in (3, 2):
+        level = T.glyphs()[n]
+        starts = {k[0] for k in level}
+        for key in sorted((k for k in level if "­" not in k), key=lambda k: (k[1] not in starts if n == 2 else True, k)):
+            text = f"replace({text}, {_quoted(key)}, {_quoted(level[key])})"
+    singles = T.glyphs()[1]
+    for key in sorted(k for k in singles if len(singles[k]) > 1):
+        text = f"replace({text}, {_quoted(key)}, {_quoted(singles[key])})"
+    plain = sorted(k for k in singles if len(singles[k]) == 1)
+    return f"translate({text}, {_quoted(''.join(plain))}, {_quoted(''.join(singles[k] for k in plain))})"
+
+
+def sql_reph(text: str) -> str:
+    step = f"lambda a, ch: CASE WHEN ch = '{H}' AND regexp_matches(a, '(^|[^{H}]){CN}{VS}?{RA}$') THEN regexp_replace(a, '({CN}{VS}?){RA}$', '{RA}{H}\\1') ELSE a || ch END"
+    return f"list_reduce(string_split({text}, ''), {step}, '')"
+
+
+SQL_STEPS = {
+    "swap_leading_signs": lambda t: f"regexp_replace({t}, '({LS})({CN}(?:{H}{CN})*)', '\\2\\1', 'g')",
+    "reorder_conjuncts": lambda t: f"regexp_replace({t}, '({VS})((?:{H}{CN})+)', '\\2\\1', 'g')",
+    "reorder_marks": lambda t: f"regexp_replace({t}, '({MK})({VS})', '\\2\\1', 'g')",
+    "join_vowel_signs": lambda t: f"replace(replace({t}, '{B.E_SIGN}{B.AA_SIGN}', '{B.O_SIGN}'), '{B.E_SIGN}{B.AU_TAIL}', '{B.AU_SIGN}')",
+    "move_reph": sql_reph,
+    "keep_ya_phala": lambda t: f"regexp_replace(regexp_replace({t}, '(^|[^\\x{{200C}}\\x{{200D}}]){RA}{H}{YA}', '\\1{RA}' || chr(8205) || '{H}{YA}', 'g'), '(^|[^\\x{{200C}}\\x{{200D}}]){RA}{H}{YA}', '\\1{RA}' || chr(8205) || '{H}{YA}', 'g')",
+}
+
+
+def sql_transliterated(source: str, text: str = "text", to: str = "new_text") -> str:
+    """source with another column, a step at a time."""
+    out = f"(SELECT *, {sql_substitute(sql_pre(text))} AS s0 FROM {source})"
+    for i, step in enumerate(SQL_STEPS.values()):
+        out = f"(SELECT * EXCLUDE (s{i}), {step(f's{i}')} AS s{i + 1} FROM {out})"
+    return f"(SELECT * EXCLUDE (s{len(SQL_STEPS)}), nfc_normalize(s{len(SQL_STEPS)}) AS {to} FROM {out})"
+
+
+# Predicates and features --------------------------------------------------------------------------
+
+
+@query(f"SELECT n, regexp_matches(text, '{BENGALI}') AS has_bengali FROM (SELECT n, text FROM {literals_sql(MARKED + SAMPLES)} UNION ALL SELECT doc_id + 1000, text FROM documents)")
+def has_bengali(spark, sf_dir):
+    texts = literals(spark, MARKED + SAMPLES).unionByName(table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("n"), "text"))
+    return texts.select("n", K.has_bengali(F.col("text")).alias("has_bengali"))
+
+
+@query(f"SELECT n, {sql_density('text', chr(0x80) + '-' + chr(0xff))} AS high_byte_density FROM {GLYPH_TEXTS}")
+def high_byte_density(spark, sf_dir):
+    return glyph_texts(spark, sf_dir).select("n", K.high_byte_density(F.col("text")).alias("high_byte_density"))
+
+
+@query(f"SELECT n, {sql_density('text', T.DISTINCTIVE)} AS distinctive_chars FROM {GLYPH_TEXTS}")
+def distinctive_chars(spark, sf_dir):
+    return glyph_texts(spark, sf_dir).select("n", K.distinctive_density(F.col("text")).alias("distinctive_chars"))
+
+
+@query(f"SELECT n, {sql_bigrams('text')} AS bigram_hits FROM {GLYPH_TEXTS}")
+def bigram_hits(spark, sf_dir):
+    return glyph_texts(spark, sf_dir).select("n", K.bigram_hits(F.col("text")).alias("bigram_hits"))
+
+
+@query(f"SELECT doc_id, {sql_english('text')} AS english_coverage FROM (SELECT doc_id, substr(text, 1, 2000) AS text FROM documents)")
+def english_coverage(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", K.english_coverage(F.substring("text", 1, 2000)).alias("english_coverage"))
+
+
+@query(f"SELECT lower(t) AS token, count(*) AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(text, '[\\x09-\\x0D\\x20.,;:!?()\\[\\]{{}}<>\"''/\\\\|`]'), lambda t: strlen(t) >= 3)) AS t FROM conversations) WHERE list_contains([{', '.join(_quoted(w) for w in sorted(T.english()))}], lower(t)) GROUP BY 1")
+def english_tokens(spark, sf_dir):
+    """The lookup as a semi join with the word table, which is sent to all tasks."""
+    words = F.broadcast(spark.createDataFrame([(w,) for w in sorted(T.english())], "token string"))
+    tokens = table(spark, sf_dir, "conversations").select(F.explode(K.tokens(F.col("text"))).alias("t")).select(F.lower("t").alias("token"))
+    return tokens.join(words, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT n, z, 1 / (1 + exp(-z)) AS p FROM (SELECT n, -1 + 8 * ({sql_density('text', chr(0x80) + '-' + chr(0xff))}) + 4 * ({sql_density('text', T.DISTINCTIVE)}) + 6 * {sql_bigrams('text')} - 6 * {sql_english('text')} AS z FROM {GLYPH_TEXTS})")
+def logit_sigmoid(spark, sf_dir):
+    z = K.logit({name: f(F.col("text")) for name, f in K.FEATURES.items()})
+    return glyph_texts(spark, sf_dir).select("n", z.alias("z")).withColumn("p", K.sigmoid(F.col("z")))
+
+
+def _classified(mode: str) -> tuple[Query, str]:
+    columns = ["doc_id", "run_index", "stage", "decision", "confidence", "high_byte_density", "distinctive_chars", "bigram_hits", "english_coverage"]
+
+    def run(spark, sf_dir):
+        return K.with_classification(runs(spark, sf_dir), mode=mode).select(columns)
+
+    return run, f"SELECT {', '.join(columns)} FROM {sql_classified(RUNS, mode)}"
+
+
+for _mode in K.THRESHOLDS:
+    QUERIES[f"classify_{_mode}"], ORACLE[f"classify_{_mode}"] = _classified(_mode)
+
+
+@query(f"SELECT decision, stage, count(*) AS runs, round(avg(round(confidence, 6)), 6) AS mean_confidence FROM {sql_classified(RUNS, 'safe')} GROUP BY decision, stage")
+def classify_summary(spark, sf_dir):
+    found = K.with_classification(runs(spark, sf_dir))
+    return found.groupBy("decision", "stage").agg(F.count("*").alias("runs"), F.round(F.avg(F.round("confidence", 6)), 6).alias("mean_confidence"))
+
+
+@query(f"SELECT n, decision, confidence FROM {sql_classified(GLYPH_TEXTS, 'aggressive', None)}")
+def classify_glyph_texts(spark, sf_dir):
+    return K.with_classification(glyph_texts(spark, sf_dir), font=None, mode="aggressive").select("n", "decision", "confidence")
+
+
+@query(f"SELECT n, decision, confidence, decision = 'ansi_bengali' OR (decision = 'ambiguous' AND confidence >= 0.6) AS changed FROM {sql_classified(GLYPH_TEXTS, 'safe', None)}")
+def policy_threshold(spark, sf_dir):
+    found = K.with_classification(glyph_texts(spark, sf_dir), font=None)
+    return found.select("n", "decision", "confidence", C.should_convert(0.6).alias("changed"))
+
+
+@query(f"SELECT doc_id, run_index, list_transform(CASE WHEN scored THEN [{', '.join(f'{{n: {_quoted(k)}, v: {k}}}' for k in K.FEATURES)}] ELSE [] END, lambda s: s.n || '=' || format('{{:.3f}}', s.v)).array_to_string(', ') AS explanation FROM {sql_classified(RUNS, 'safe')}")
+def explanation(spark, sf_dir):
+    return K.with_classification(runs(spark, sf_dir)).select("doc_id", "run_index", K.explanation().alias("explanation"))
+
+
+# Fonts --------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT n, name, regexp_replace(name, '^[A-Z]{{6}}\\+', '') AS plain_name FROM {FONT_NAMES}")
+def subset_prefix(spark, sf_dir):
+    return font_names(spark, sf_dir).select("n", "name", N.without_subset_prefix(F.col("name")).alias("plain_name"))
+
+
+@query(f"SELECT n, {sql_legacy('name')} AS is_legacy FROM {FONT_NAMES}")
+def ansi_font(spark, sf_dir):
+    return font_names(spark, sf_dir).select("n", N.is_legacy(F.col("name")).alias("is_legacy"))
+
+
+@query(f"SELECT n, {sql_unicode('name')} AS is_unicode FROM {FONT_NAMES}")
+def unicode_font(spark, sf_dir):
+    return font_names(spark, sf_dir).select("n", N.is_unicode(F.col("name")).alias("is_unicode"))
+
+
+@query(f"SELECT n, {sql_stem('name')} AS stem FROM {FONT_NAMES}")
+def font_stem(spark, sf_dir):
+    return font_names(spark, sf_dir).select("n", N.stem(F.col("name")).alias("stem"))
+
+
+@query(f"SELECT n, name, {sql_matched('name')} AS matched_font FROM {FONT_NAMES}")
+def resolve_font(spark, sf_dir):
+    """By a join with the families."""
+    return N.with_matched(font_names(spark, sf_dir), "name").select("n", "name", "matched_font")
+
+
+@query(f"SELECT p.part, v.n FROM (VALUES {', '.join(f'({_quoted(p)})' for p in T.fonts()[1])}) AS p(part) JOIN {FONT_NAMES} ON contains({sql_plain('v.name')}, p.part)")
+def font_part_join(spark, sf_dir):
+    """The substring lookup as a theta join with a small table."""
+    parts = F.broadcast(spark.createDataFrame([(p,) for p in T.fonts()[1]], "part string"))
+    names = font_names(spark, sf_dir)
+    return names.join(parts, F.contains(N.plain(F.col("name")), F.col("part"))).select("part", "n")
+
+
+# Transliteration ----------------------------------------------------------------------------------
+
+
+@query(f"SELECT n, {sql_pre('text')} AS out FROM {GLYPH_TEXTS}")
+def pre_normalize(spark, sf_dir):
+    return glyph_texts(spark, sf_dir).select("n", B.pre_normalize(F.col("text")).alias("out"))
+
+
+@query(f"SELECT n, {sql_substitute('text')} AS out FROM (SELECT n, replace(text, chr(173), '') AS text FROM {GLYPH_TEXTS})")
+def substitute_levels(spark, sf_dir):
+    return glyph_texts(spark, sf_dir).select("n", B.substitute_fast(F.col("text")).alias("out"))
+
+
+@query(ORACLE["substitute_levels"])
+def substitute_native(spark, sf_dir):
+    return glyph_texts(spark, sf_dir).select("n", B.substitute(F.translate("text", "­", "")).alias("out"))
+
+
+MARKED_TEXTS = f"(SELECT n, text FROM {literals_sql(MARKED)} UNION ALL SELECT n + 100, {sql_substitute('text')} FROM (SELECT n, replace(text, chr(173), '') AS text FROM {GLYPH_TEXTS}))"
+
+
+def marked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(n, text): Unicode text before its signs are put in order."""
+    made = glyph_texts(spark, sf_dir).select((F.col("n") + 100).alias("n"), B.substitute_fast(F.col("text")).alias("text"))
+    return literals(spark, MARKED).unionByName(made)
+
+
+def _step(name: str) -> tuple[Query, str]:
+    def run(spark, sf_dir):
+        return marked_texts(spark, sf_dir).select("n", getattr(B, name)(F.col("text")).alias("out"))
+
+    return run, f"SELECT n, {SQL_STEPS[name]('text')} AS out FROM {MARKED_TEXTS}"
+
+
+for _name in SQL_STEPS:
+    QUERIES[_name], ORACLE[_name] = _step(_name)
+
+
+@query(f"SELECT n, nfc_normalize(text) AS out FROM {MARKED_TEXTS}")
+def nfc(spark, sf_dir):
+    return marked_texts(spark, sf_dir).select("n", B.nfc(F.col("text")).alias("out"))
+
+
+@query(f"SELECT n, new_text FROM {sql_transliterated(GLYPH_TEXTS)}")
+def transliterate(spark, sf_dir):
+    return glyph_texts(spark, sf_dir).select("n", B.transliterate(F.col("text")).alias("new_text"))
+
+
+@query(ORACLE["transliterate"])
+def transliterate_native(spark, sf_dir):
+    return glyph_texts(spark, sf_dir).select("n", B.transliterate_native(F.col("text")).alias("new_text"))
+
+
+@query(f"SELECT n, new_text, 0::BIGINT AS source_start, strlen(text)::BIGINT AS source_end, 0::BIGINT AS target_start, strlen(new_text)::BIGINT AS target_end FROM {sql_transliterated(GLYPH_TEXTS)}")
+def span_map(spark, sf_dir):
+    done = glyph_texts(spark, sf_dir).select("n", B.transliterate_with_audit(F.col("text")).alias("a"))
+    span = F.col("a.spans")[0]
+    return done.select("n", F.col("a.text").alias("new_text"), *[span[k].alias(k) for k in ("source_start", "source_end", "target_start", "target_end")])
+
+
+# Conversion ---------------------------------------------------------------------------------------
+
+SHORT_RUNS = f"(SELECT doc_id, run_index, font_name, substr(text, 1, 300) AS text FROM {RUNS})"
+CHANGED = "decision = 'ansi_bengali' OR (decision = 'ambiguous' AND confidence >= 0.95)"
+_CONVERTED = f"(SELECT *, {CHANGED} AS changed, coalesce({sql_matched('font_name')}, 'Kalpurush') AS target FROM {sql_classified(SHORT_RUNS, 'safe')})"
+_DONE = f"(SELECT * EXCLUDE (made), CASE WHEN changed THEN made END AS new_text FROM {sql_transliterated(_CONVERTED, 'text', 'made')})"
+
+
+def short_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs(spark, sf_dir).withColumn("text", F.substring("text", 1, 300))
+
+
+@query(f"SELECT doc_id, run_index, decision, changed, new_text, CASE WHEN changed THEN 'Kalpurush' END AS new_font FROM {_DONE}")
+def convert_run(spark, sf_dir):
+    return C.convert_runs(short_runs(spark, sf_dir)).select("doc_id", "run_index", "decision", "changed", "new_text", "new_font")
+
+
+@query(f"SELECT doc_id, run_index, CASE WHEN changed THEN coalesce(last_value(CASE WHEN changed AND target <> 'Kalpurush' THEN target END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY run_index ROWS UNBOUNDED PRECEDING), target) END AS new_font FROM {_CONVERTED}")
+def last_matched_font(spark, sf_dir):
+    done = C.convert(short_runs(spark, sf_dir), ConvertOptions(auto_match=True), order=("run_index",))
+    return done.select("doc_id", "run_index", "new_font")
+
+
+@query(f"SELECT NULL::INT AS slide_index, NULL::INT AS paragraph_index, run_index::INT AS run_index, 'plain_text' AS source_format, font_name, stage, decision, confidence, to_base64(encode(text)) AS original_text_b64, new_text AS unicode_output FROM {_DONE}")
+def audit_rows(spark, sf_dir):
+    return C.audit(C.convert_runs(short_runs(spark, sf_dir)))
+
+
+@query(f"SELECT doc_id, run_index, to_json({{slide_index: NULL::INT, paragraph_index: NULL::INT, run_index: run_index::INT, source_format: 'plain_text', font_name: font_name, stage: stage, decision: decision, original_text_b64: to_base64(encode(text))}})::VARCHAR AS value FROM {_DONE}")
+def audit_json(spark, sf_dir):
+    """Without the numbers and the converted text, whose spelling differs between engines."""
+    done = C.convert_runs(short_runs(spark, sf_dir))
+    record = F.struct(F.lit(None).cast("int").alias("slide_index"), F.lit(None).cast("int").alias("paragraph_index"), F.col("run_index").cast("int").alias("run_index"), F.lit("plain_text").alias("source_format"), "font_name", "stage", "decision", X.base64_plain(F.col("text")).alias("original_text_b64"))
+    return done.select("doc_id", "run_index", F.to_json(record, {"ignoreNullFields": "false"}).alias("value"))
+
+
+@query(f"SELECT doc_id, bool_or(changed) AS any_change, count(*) FILTER (changed) AS runs_converted, count(*) AS runs_total FROM {_CONVERTED} GROUP BY doc_id")
+def file_summary(spark, sf_dir):
+    return C.file_summary(C.convert_runs(short_runs(spark, sf_dir)))
+
+
+@query(f"SELECT max(changed::INT)::INT AS exit_code FROM {_CONVERTED}")
+def exit_code(spark, sf_dir):
+    return C.exit_code(C.file_summary(C.convert_runs(short_runs(spark, sf_dir))))
+
+
+@query("SELECT CASE WHEN page_id % 7 = 0 THEN 'skipped' WHEN page_id % 11 = 0 THEN 'error' WHEN page_id % 2 = 0 THEN 'converted' ELSE 'unchanged' END AS status, count(*) AS files FROM pages GROUP BY 1")
+def batch_totals(spark, sf_dir):
+    files = table(spark, sf_dir, "pages").select((F.col("page_id") % 7 == 0).alias("skipped"), F.when(F.col("page_id") % 11 == 0, "broken").alias("error"), (F.col("page_id") % 2 == 0).alias("changed"))
+    return C.batch_totals(files)
+
+
+@query(f"SELECT font_name, arg_min(target, doc_id * 1000 + run_index) AS new_font, count(*) AS runs FROM {_CONVERTED} WHERE changed AND font_name IS NOT NULL GROUP BY font_name")
+def font_map(spark, sf_dir):
+    done = C.convert_runs(short_runs(spark, sf_dir), ConvertOptions(auto_match=True))
+    return C.font_map(done, F.col("doc_id") * 1000 + F.col("run_index"))
+
+
+@query(f"SELECT doc_id, count(*) AS runs_total, " + ", ".join(f"count(*) FILTER (decision = '{d}') AS runs_{d}" for d in ("ansi_bengali", "unicode_bengali", "latin", "ambiguous")) + f" FROM {_CONVERTED} GROUP BY doc_id")
+def run_metrics(spark, sf_dir):
+    return C.run_metrics(C.convert_runs(short_runs(spark, sf_dir)))
+
+
+@query(f"SELECT doc_id, run_index, font_name, new_text FROM {_DONE} WHERE changed")
+def changed_runs(spark, sf_dir):
+    """What a dialog shows: only runs that would change."""
+    return C.convert_runs(short_runs(spark, sf_dir)).filter("changed").select("doc_id", "run_index", "font_name", "new_text")
+
+
+# The order of runs --------------------------------------------------------------------------------
+
+_PIECES = "(SELECT doc_id, (line - 1)::BIGINT AS run_index, CASE WHEN (doc_id + line) % 5 < 3 THEN 'SutonnyMJ' WHEN (doc_id + line) % 5 = 3 THEN 'Arial' ELSE 'AnandaMJ' END AS font_name, CASE (doc_id * 3 + line) % 7 WHEN 0 THEN '‡' WHEN 1 THEN 'w' WHEN 2 THEN '©' ELSE substr(text, 1, 12) END AS text FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS text FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n')[1:12] AS l FROM documents)))"
+
+
+def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, run_index, font_name, text): the first lines of documents as runs, some of them only signs."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", "\r?\n"), 1, 12)).alias("at", "line"))
+    k, j = F.col("doc_id") + F.col("at") + 1, F.pmod(F.col("doc_id") * 3 + F.col("at") + 1, F.lit(7))
+    font = F.when(k % 5 < 3, "SutonnyMJ").when(k % 5 == 3, "Arial").otherwise("AnandaMJ")
+    text = F.when(j == 0, "‡").when(j == 1, "w").when(j == 2, "©").otherwise(F.substring("line", 1, 12))
+    return lines.select("doc_id", F.col("at").cast("long").alias("run_index"), font.alias("font_name"), text.alias("text"))
+
+
+_GROUPED = f"(SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY run_index ROWS UNBOUNDED PRECEDING) AS grp FROM (SELECT *, CASE WHEN font_name LIKE '%MJ' AND font_name = lag(font_name) OVER (PARTITION BY doc_id ORDER BY run_index) THEN 0 ELSE 1 END AS starts FROM {_PIECES}))"
+
+
+@query(f"SELECT doc_id, run_index, grp::BIGINT AS \"group\", string_agg(text, '' ORDER BY run_index) OVER (PARTITION BY doc_id, grp) AS group_text, row_number() OVER (PARTITION BY doc_id, grp ORDER BY run_index) = 1 AS leads FROM {_GROUPED}")
+def run_groups(spark, sf_dir):
+    return O.group_runs(pieces(spark, sf_dir), ["doc_id"], ["run_index"]).select("doc_id", "run_index", "group", "group_text", "leads")
+
+
+@query(
+    f"""
+WITH RECURSIVE p AS (SELECT doc_id, run_index AS i, font_name LIKE '%MJ' AS legacy, text, max(run_index) OVER (PARTITION BY doc_id) AS last FROM {_PIECES}),
+f AS (SELECT doc_id, i, legacy, text, last, legacy AND i < last AND regexp_matches(text, '^[†‡ˆ‰w]+$') AS pending, false AS took FROM p WHERE i = 0
+  UNION ALL
+  SELECT p.doc_id, p.i, p.legacy, CASE WHEN f.pending AND p.legacy THEN f.text || p.text ELSE p.text END, p.last,
+    p.legacy AND p.i < p.last AND regexp_matches(CASE WHEN f.pending AND p.legacy THEN f.text || p.text ELSE p.text END, '^[†‡ˆ‰w]+$'), f.pending AND p.legacy
+  FROM f JOIN p ON p.doc_id = f.doc_id AND p.i = f.i + 1),
+a AS (SELECT doc_id, i, legacy, text FROM (SELECT *, lead(took) OVER (PARTITION BY doc_id ORDER BY i) AS gone FROM f) WHERE NOT coalesce(gone, false)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) AS k FROM a),
+b AS (SELECT doc_id, i, k, legacy, text, false AS took FROM r WHERE k = 1
+  UNION ALL
+  SELECT r.doc_id, r.i, r.k, r.legacy, CASE WHEN b.legacy AND r.legacy AND regexp_matches(b.text, '^[©Š]+$') THEN r.text || b.text ELSE r.text END, b.legacy AND r.legacy AND regexp_matches(b.text, '^[©Š]+$')
+  FROM b JOIN r ON r.doc_id = b.doc_id AND r.k = b.k + 1),
+c AS (SELECT doc_id, i, text FROM (SELECT *, lead(took) OVER (PARTITION BY doc_id ORDER BY k) AS gone FROM b) WHERE NOT coalesce(gone, false))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS run_index, i AS "at", text FROM c
+"""
+)
+def orphan_merge(spark, sf_dir):
+    return O.merge_orphans(pieces(spark, sf_dir), ["doc_id"], ["run_index"])
+
+
+@query("SELECT conv_id AS doc_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS run_index FROM conversations WHERE length(text) % 3 <> 0")
+def renumbered_runs(spark, sf_dir):
+    kept = table(spark, sf_dir, "conversations").filter(F.char_length("text") % 3 != 0)
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    return kept.select(F.col("conv_id").alias("doc_id"), "turn", number.alias("run_index"))
+
+
+@query("SELECT doc_id AS paragraph, min(p) AS start, max(p) + 1 AS \"end\", any_value(font) AS font, string_agg(ch, '' ORDER BY p) AS text FROM (SELECT *, sum(CASE WHEN font IS NOT DISTINCT FROM f0 AND p > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, lag(font) OVER (PARTITION BY doc_id ORDER BY p) AS f0 FROM (SELECT doc_id, p::INT AS p, ch, CASE WHEN ch < 'h' THEN 'SutonnyMJ' WHEN ch < 'p' THEN 'Arial' END AS font FROM (SELECT doc_id, unnest(range(0, 60)) AS p, unnest(string_split(substr(text, 1, 60), '')) AS ch FROM documents WHERE length(text) >= 60)))) GROUP BY doc_id, g")
+def font_segments(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter(F.char_length("text") >= 60)
+    chars = docs.select(F.col("doc_id").alias("paragraph"), F.posexplode(F.slice(F.split("text", ""), 1, 60)).alias("position", "char"))
+    font = F.when(F.col("char") < "h", "SutonnyMJ").when(F.col("char") < "p", "Arial")
+    return O.font_segments(chars.withColumn("font", font))
+
+
+@query("SELECT conv_id, turn, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM conversations")
+def running_offsets(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", O.running_offsets(w, F.col("text")).alias("offset"))
+
+
+@query("SELECT doc_id, unnest(range(0, len(l)))::INT AS line, unnest(l) AS text FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS l FROM documents)")
+def line_split(spark, sf_dir):
+    return O.lines(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query("SELECT doc_id, text FROM documents")
+def line_rejoin(spark, sf_dir):
+    return O.rejoined(O.lines(table(spark, sf_dir, "documents"), "doc_id"), "doc_id", "line")
+
+
+@query("SELECT item_id, unnest(range(0, len(l)))::INT AS word, unnest(l) AS text FROM (SELECT item_id, list_filter(regexp_split_to_array(text, '[ \\t]'), lambda x: x <> '') AS l FROM benchmark)")
+def word_split(spark, sf_dir):
+    return O.words(table(spark, sf_dir, "benchmark"), "item_id")
+
+
+@query("SELECT item_id, substr(text, 1, 5) || '[A]' || substr(text, 9, 12) || '[BB]' || substr(text, 24) AS text FROM benchmark")
+def replace_spans(spark, sf_dir):
+    texts = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    edits = texts.select("item_id", F.explode(F.array(F.struct(F.lit(5).alias("start"), F.lit(8).alias("end"), F.lit("[A]").alias("new_text")), F.struct(F.lit(20).alias("start"), F.lit(23).alias("end"), F.lit("[BB]").alias("new_text")))).alias("e")).select("item_id", "e.*")
+    return O.replace_spans(texts, edits, "item_id")
+
+
+@query("SELECT 'sheets:R' || c_custkey || ':C' || col AS id, c_custkey AS \"row\", col::INT AS \"column\", text FROM (SELECT c_custkey, 2 AS col, c_name AS text FROM customer UNION ALL SELECT c_custkey, 5, c_mktsegment FROM customer) WHERE text <> ''")
+def sheet_cells(spark, sf_dir):
+    sheet = table(spark, sf_dir, "customer")
+    return O.cells(sheet, sheet.columns, "c_custkey")
+
+
+@query("SELECT 'slides:S' || conv_id % 10 || ':SH' || conv_id || ':C' || start || '-' || start + length(kept) - 1 AS id, kept AS text, role AS font FROM (SELECT *, regexp_replace(t, '\\n\\z', '') AS kept, coalesce(sum(length(t)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM (SELECT conv_id, turn, role, substr(text, 1, 20) || CASE WHEN turn % 2 = 0 THEN chr(10) ELSE '' END AS t FROM conversations)) WHERE kept <> ''")
+def slide_runs(spark, sf_dir):
+    t = F.concat(F.substring("text", 1, 20), F.when(F.col("turn") % 2 == 0, "\n").otherwise(""))
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 10).alias("slide"), F.col("conv_id").alias("shape"), F.col("turn").alias("seq"), t.alias("text"), F.col("role").alias("font"))
+    return O.shape_runs(rows)
+
+
+@query("SELECT p_partkey AS object_id, coalesce(min(s_nationkey), 0)::INT AS slide, coalesce(arg_min(s_suppkey, s_nationkey * 1000000 + s_suppkey), 0) AS shape FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 40 AND s_suppkey > 0 GROUP BY p_partkey")
+def object_places(spark, sf_dir):
+    objects = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), (F.col("p_partkey") % 40).alias("object_id"))
+    places = table(spark, sf_dir, "supplier").filter("s_suppkey > 0").select(F.col("s_suppkey").alias("object_id"), F.col("s_nationkey").alias("slide"), F.col("s_suppkey").alias("shape"))
+    return O.located(objects, places).select(F.col("key").alias("object_id"), F.col("slide").cast("int").alias("slide"), "shape")
+
+
+# Names, code points, host documents ---------------------------------------------------------------
+
+
+@query("SELECT id, regexp_extract(id, '^docs:P([0-9]+):C([0-9]+)-([0-9]+)$', 1)::INT AS paragraph, regexp_extract(id, '^docs:P([0-9]+):C([0-9]+)-([0-9]+)$', 2)::INT AS start, regexp_extract(id, '^docs:P([0-9]+):C([0-9]+)-([0-9]+)$', 3)::INT AS \"end\" FROM (SELECT 'docs:P' || conv_id || ':C' || turn || '-' || (turn + length(text)) AS id FROM conversations)")
+def run_ids(spark, sf_dir):
+    ids = table(spark, sf_dir, "conversations").select(F.concat(F.lit("docs:P"), "conv_id", F.lit(":C"), "turn", F.lit("-"), F.col("turn") + F.char_length("text")).alias("id"))
+    return ids.select("id", X.parse_run_id(F.col("id"), "docs").alias("p")).select("id", "p.*")
+
+
+_FILES = "(SELECT doc_id, source || '.' || doc_id || CASE doc_id % 6 WHEN 0 THEN '.docx' WHEN 1 THEN '.PPTX' WHEN 2 THEN '.txt' WHEN 3 THEN '.md' WHEN 4 THEN '.pdf' ELSE '.html' END AS name, CASE WHEN doc_id % 6 = 5 THEN 'text/html' END AS mime FROM documents)"
+
+
+@query(f"SELECT name, CASE WHEN ext IN ('docx', 'pptx') THEN ext ELSE 'plain_text' END AS kind, CASE WHEN ext IN ('docx', 'pptx') THEN ext WHEN ext IN ('txt', 'md') OR coalesce(mime LIKE 'text/%', false) THEN 'text' ELSE 'skipped' END AS batch_kind, regexp_replace(name, '\\.[^.]+$', '') || '.unicode.' || ext AS output_name FROM (SELECT *, lower(regexp_extract(name, '\\.([^./]+)$', 1)) AS ext FROM {_FILES})")
+def file_dispatch(spark, sf_dir):
+    ends = [".docx", ".PPTX", ".txt", ".md", ".pdf", ".html"]
+    end = F.element_at(F.array(*[F.lit(e) for e in ends]), (F.col("doc_id") % 6 + 1).cast("int"))
+    files = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("."), "doc_id", end).alias("name"), F.when(F.col("doc_id") % 6 == 5, "text/html").alias("mime"))
+    n = F.col("name")
+    return files.select("name", X.file_kind(n).alias("kind"), X.batch_kind(n, F.col("mime")).alias("batch_kind"), X.output_name(n, X.extension(n)).alias("output_name"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM pages")
+def escape_html(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.escape_html(F.substring("html", 1, 300)).alias("escaped"))
+
+
+@query("SELECT doc_id, to_base64(encode(text)) AS b64 FROM documents")
+def base64_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.base64_plain(F.col("text")).alias("b64"))
+
+
+_GLYPH_PAIRS = "(VALUES " + ", ".join(f"({n}, {_quoted(k)}, {_quoted(v)})" for n, pairs in T.glyphs().items() for k, v in pairs.items()) + ") AS g(level, key, value)"
+
+
+@query(f"SELECT key, '''' || key || ''' [' || array_to_string(list_transform(string_split(key, ''), lambda c: 'U+' || lpad(upper(to_hex(unicode(c))), 4, '0')), ' ') || ']' AS shown FROM {_GLYPH_PAIRS}")
+def u_repr(spark, sf_dir):
+    return R.glyph_pairs(spark).select("key", X.u_repr(F.col("key")).alias("shown"))
+
+
+@query(f"SELECT DISTINCT unicode(c) AS point FROM (SELECT unnest(string_split(key, '')) AS c FROM {_GLYPH_PAIRS})")
+def glyph_points(spark, sf_dir):
+    return R.glyph_points(R.glyph_pairs(spark))
+
+
+_THEIRS = f"(SELECT key, CASE WHEN level = 2 AND unicode(key) % 5 = 0 THEN value || 'x' WHEN unicode(key) % 13 = 0 THEN key ELSE value END AS value FROM {_GLYPH_PAIRS} WHERE unicode(key) % 7 <> 0 UNION ALL VALUES ('zz1', 'a'), ('zz2', 'b'), ('zz3', 'zz3'))"
+
+
+def _theirs(spark: SparkSession) -> DataFrame:
+    pairs = R.glyph_pairs(spark).withColumn("p", X.code_points(F.col("key"))[0]).filter("p % 7 <> 0")
+    value = F.when((F.col("level") == 2) & (F.col("p") % 5 == 0), F.concat("value", F.lit("x"))).when(F.col("p") % 13 == 0, F.col("key")).otherwise(F.col("value"))
+    return pairs.select("key", value.alias("value")).union(spark.createDataFrame([("zz1", "a"), ("zz2", "b"), ("zz3", "zz3")], "key string, value string"))
+
+
+_CROSS = f"(SELECT key, o.value AS our_value, t.value AS their_value, CASE WHEN t.value IS NULL THEN 'only_ours' WHEN o.value IS NULL THEN 'only_theirs' WHEN o.value = t.value THEN 'match' ELSE 'conflict' END AS status FROM (SELECT key, value FROM {_GLYPH_PAIRS}) o FULL JOIN {_THEIRS} t USING (key) WHERE coalesce(key <> t.value, true))"
+
+
+@query(f"SELECT key, our_value, their_value, status FROM {_CROSS}")
+def mapping_cross_reference(spark, sf_dir):
+    return R.cross_reference(R.glyph_pairs(spark), _theirs(spark))
+
+
+@query(f"SELECT count(*) FILTER (status = 'match') AS match, count(*) FILTER (status = 'conflict') AS conflict, count(*) FILTER (status = 'only_theirs') AS only_theirs, count(*) FILTER (status = 'only_ours') AS only_ours, count(*) FILTER (status = 'match') * 100.0::DOUBLE / count(*) FILTER (status <> 'only_ours') AS coverage_pct FROM {_CROSS}")
+def mapping_coverage(spark, sf_dir):
+    return R.coverage(R.cross_reference(R.glyph_pairs(spark), _theirs(spark)))
+
+
+_POINT_FONTS = "(SELECT DISTINCT unicode(c) AS point, source AS font FROM (SELECT source, unnest(string_split(text, '')) AS c FROM documents))"
+_MAPPED = f"(SELECT DISTINCT unicode(c) AS point FROM (SELECT unnest(string_split(key, '')) AS c FROM {_GLYPH_PAIRS} WHERE level = 2))"
+_SKIP = "(" + ", ".join(map(str, R.PASSED + R.FOREIGN)) + ")"
+_CATEGORY = "CASE " + " ".join(f"WHEN point BETWEEN {a} AND {b} THEN '{c}'" for a, b, c in R.BLOCKS) + " ELSE 'other' END"
+
+
+def _points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    chars = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(X.code_points(F.col("text")))).alias("point"), F.col("source").alias("font"))
+    return chars.distinct(), R.glyph_points(R.glyph_pairs(spark, 2))
+
+
+@query(f"SELECT {_CATEGORY} AS category, point, count(*) AS fonts, array_to_string(list_sort(list(font))[1:3], ', ') AS sample, {_CATEGORY} IN ({', '.join(repr(x) for x in R.INTERESTING)}) AS interesting FROM {_POINT_FONTS} WHERE point NOT IN {_SKIP} AND point NOT IN (SELECT point FROM {_MAPPED}) GROUP BY point")
+def unmapped_points(spark, sf_dir):
+    return R.unmapped_points(*_points(spark, sf_dir))
+
+
+@query(f"SELECT point FROM {_MAPPED} WHERE point NOT IN (SELECT point FROM {_POINT_FONTS}) AND point NOT IN {_SKIP}")
+def dead_points(spark, sf_dir):
+    return R.dead_points(*_points(spark, sf_dir))
+
+
+@query(f"SELECT count(f) AS font_points, count(m) AS mapped_points, count(*) FILTER (f IS NOT NULL AND m IS NOT NULL) AS covered, count(*) FILTER (f IS NOT NULL AND m IS NOT NULL) * 100.0::DOUBLE / count(f) AS coverage_pct FROM (SELECT DISTINCT point AS f FROM {_POINT_FONTS} WHERE point NOT IN {_SKIP}) FULL JOIN (SELECT point AS m FROM {_MAPPED}) ON f = m")
+def point_coverage(spark, sf_dir):
+    return R.point_coverage(*_points(spark, sf_dir))
+
+
+@query(f"SELECT point, {_CATEGORY.replace('CASE ', f'CASE WHEN point IN ({', '.join(map(str, R.PASSED))}) THEN ' + chr(39) + 'passthrough' + chr(39) + f' WHEN point IN ({', '.join(map(str, R.FOREIGN))}) THEN ' + chr(39) + 'non-bijoy' + chr(39) + ' ')} AS category FROM (SELECT unnest(range(0, 65536, 7))::INT AS point)")
+def point_category(spark, sf_dir):
+    return spark.range(0, 65536, 7).select(F.col("id").cast("int").alias("point")).select("point", R.category(F.col("point")).alias("category"))
+
+
+# Styles -------------------------------------------------------------------------------------------
+
+_STYLES = "(SELECT doc_id // 50 AS doc_id, 's' || doc_id % 50 AS style_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 's' || (doc_id * 3 + 1) % 50 END AS based_on, CASE WHEN doc_id % 9 = 0 THEN source END AS font FROM documents)"
+_STYLE_FONTS = f"""s AS (SELECT * FROM {_STYLES}),
+w(doc_id, style_id, next, font, n) AS (SELECT doc_id, style_id, based_on, font, 1 FROM s UNION ALL SELECT w.doc_id, w.style_id, s.based_on, s.font, n + 1 FROM w JOIN s ON s.doc_id = w.doc_id AND s.style_id = w.next WHERE w.font IS NULL AND n < 64),
+r AS (SELECT doc_id, style_id, max(font) AS font FROM w GROUP BY doc_id, style_id)"""
+
+
+def _styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(F.floor(d / 50).alias("doc_id"), F.concat(F.lit("s"), d % 50).alias("style_id"), F.when(d % 7 != 0, F.concat(F.lit("s"), (d * 3 + 1) % 50)).alias("based_on"), F.when(d % 9 == 0, F.col("source")).alias("font"))
+
+
+@query(f"WITH RECURSIVE {_STYLE_FONTS} SELECT doc_id, style_id, font FROM r")
+def style_fonts(spark, sf_dir):
+    return S.style_fonts(_styles(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_STYLE_FONTS}, q AS (SELECT doc_id AS run_id, doc_id // 50 AS doc_id, 's' || (doc_id * 7) % 60 AS style_id, CASE WHEN doc_id % 4 = 0 THEN 'Own' END AS run_font, CASE WHEN doc_id % 6 = 1 THEN 'Paragraph' END AS paragraph_font FROM documents) SELECT q.run_id, coalesce(run_font, paragraph_font, r.font, b.font, CASE WHEN q.doc_id % 2 = 0 THEN 'Default' END) AS resolved_font FROM q LEFT JOIN r ON r.doc_id = q.doc_id AND r.style_id = q.style_id LEFT JOIN r b ON b.doc_id = q.doc_id AND b.style_id = 's1'")
+def font_cascade(spark, sf_dir):
+    d = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(d.alias("run_id"), F.floor(d / 50).alias("doc_id"), F.concat(F.lit("s"), d * 7 % 60).alias("style_id"), F.when(d % 4 == 0, "Own").alias("run_font"), F.when(d % 6 == 1, "Paragraph").alias("paragraph_font"))
+    defaults = docs.select(F.floor(d / 50).alias("doc_id")).distinct().select("doc_id", F.lit("s1").alias("default_style"), F.when(F.col("doc_id") % 2 == 0, "Default").alias("default_font"))
+    return S.cascade(rows, _styles(spark, sf_dir), defaults).select("run_id", "resolved_font")
+
+
+@query("SELECT doc_id, coalesce(ascii, hansi, CASE WHEN slot IN ('minorHAnsi', 'minorAscii') THEN 'Minor' WHEN slot IN ('majorHAnsi', 'majorAscii') THEN 'Major' END) AS font FROM (SELECT doc_id, ascii, hansi, coalesce(a_t, h_t) AS slot FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'A' END AS ascii, CASE WHEN doc_id % 7 = 0 THEN 'H' END AS hansi, CASE doc_id % 3 WHEN 0 THEN 'minorHAnsi' WHEN 1 THEN 'majorBidi' END AS a_t, CASE WHEN doc_id % 2 = 0 THEN 'majorAscii' END AS h_t FROM documents))")
+def theme_fonts(spark, sf_dir):
+    d = F.col("doc_id")
+    token = F.struct(F.when(d % 5 == 0, "A").alias("ascii"), F.when(d % 7 == 0, "H").alias("hansi"), F.when(d % 3 == 0, "minorHAnsi").when(d % 3 == 1, "majorBidi").alias("ascii_theme"), F.when(d % 2 == 0, "majorAscii").alias("hansi_theme"), F.lit("Minor").alias("minor_latin"), F.lit("Major").alias("major_latin"))
+    return table(spark, sf_dir, "documents").select("doc_id", token.alias("rfonts")).select("doc_id", S.rfonts().alias("font"))
