@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import math
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 U64 = np.uint64
@@ -53,11 +57,11 @@ def bytes_of(df: DataFrame) -> int:
     return min(size, 1 << 60)
 
 
-def buckets(df: DataFrame, each: int = 8 << 20) -> int:
-    """How many buckets to spread work over df's text on."""
+def buckets(df: DataFrame, each: int = 8 << 20, least: int | None = None) -> int:
+    """How many buckets to spread work over df's text on; least: spark.sql.shuffle.partitions if not given."""
     conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = bytes_of(df)
-    return max(conf, math.ceil(size / each)) if size < 1 << 50 else conf
+    return max(conf if least is None else least, math.ceil(size / each)) if size < 1 << 50 else conf
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -70,6 +74,48 @@ def identity(docs: DataFrame) -> "F.Column":
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.col("text"), F.lit("\x00null")))
 
 
+@functools.cache
+def _libc():
+    libc = ctypes.CDLL(None)
+    return libc if hasattr(libc, "malloc_trim") else None
+
+
+def lean(f: Callable) -> Callable:
+    """f, after which a worker gives back the memory that it no longer uses; workers live on after their tasks."""
+
+    def release() -> None:
+        pa.default_memory_pool().release_unused()
+        if _libc():
+            _libc().malloc_trim(0)
+
+    if f.__code__.co_flags & 0x20:  # a generator
+
+        def generator(batches):
+            yield from f(batches)
+            release()
+
+        return generator
+
+    def function(*args):
+        try:
+            return f(*args)
+        finally:
+            release()
+
+    # Spark counts the arguments
+    return {1: lambda a: function(a), 2: lambda a, b: function(a, b), 3: lambda a, b, c: function(a, b, c)}[f.__code__.co_argcount]
+
+
+@functools.cache
+def _packer() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=1)
+
+
+@functools.cache
+def _unpacker() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 def planes(a: np.ndarray) -> bytes:
     """Unsigned integers byte plane by byte plane, lowest first, as many as the largest needs."""
     a = np.ascontiguousarray(a, U64)
@@ -94,12 +140,12 @@ def pack(sorted_keys: np.ndarray | None, owners: np.ndarray, table: np.ndarray,
     out = [np.array([n, len(names)], U64).tobytes(), names.tobytes(), planes(places[owners].astype(U64))]
     if sorted_keys is not None:
         out += [sorted_keys[:1].astype(U64).tobytes() if n else b"\0" * 8, planes(np.diff(sorted_keys, prepend=sorted_keys[:1]))]
-    return b"".join(out + [planes(c) for c in columns])
+    return _packer().compress(b"".join(out + [planes(c) for c in columns]))
 
 
 def unpack(blob: bytes | memoryview, keyed: bool, columns: int) -> list[np.ndarray]:
     """Owners' names, then keys if there are any, then the columns."""
-    b = memoryview(blob)
+    b = memoryview(_unpacker().decompress(blob))
     n, m = (int(x) for x in np.frombuffer(b, U64, 2))
     names = np.frombuffer(b, U64, m, 16)
     places, at = unplanes(b, 16 + 8 * m, n)

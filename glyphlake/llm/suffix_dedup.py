@@ -78,7 +78,7 @@ def _runs(width: int, n_buckets: int) -> Callable[[Iterator[pa.RecordBatch]], It
         if n:
             yield from flush(keys, owners, places, table)
 
-    return run
+    return C.lean(run)
 
 
 def _signatures(uids: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -118,7 +118,7 @@ def _repeated(n_docs: int) -> Callable[[pa.Table], pa.Table]:
             rows.append((int(home[a]), C.pack(None, owners, names, place[a:b], count[a:b], sums[a:b])))
         return pa.table({"home": pa.array([r[0] for r in rows], pa.int32()), "found": pa.array([r[1] for r in rows], pa.binary())})
 
-    return find
+    return C.lean(find)
 
 
 # 2, 3. anchors, in sorted and front-coded runs ------------------------------------------------------
@@ -209,7 +209,7 @@ def _anchors(width: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
         run.sort()
         return pa.Table.from_pylist(_coded(run, key[0].as_py()), schema=_FRONT)
 
-    return anchors
+    return C.lean(anchors)
 
 
 def head(suffix: bytes, width: int) -> bytes:
@@ -234,7 +234,7 @@ def _ranges(splitters: list[bytes]) -> Callable[[Iterator[pa.RecordBatch]], Iter
                     at = to
             yield pa.RecordBatch.from_pylist(rows, schema=_FRONT)
 
-    return cut
+    return C.lean(cut)
 
 
 def _before(run: list, splitter: bytes, low: int) -> int:
@@ -358,7 +358,7 @@ def _merged(width: int) -> Callable[[pa.Table], pa.Table]:
         d, u, p, q = zip(*out) if out else ((), (), (), ())
         return pa.table({"doc_id": pa.array([None if x == _LEAST else x for x in d], pa.int64()), "uid": pa.array(u, pa.int64()), "start_word": pa.array(p, pa.int32()), "end_word": pa.array(q, pa.int32())})
 
-    return merged
+    return C.lean(merged)
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, per_range: int = 200_000) -> DataFrame:

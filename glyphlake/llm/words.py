@@ -116,7 +116,7 @@ def gram_hashes(hashes: np.ndarray, docs: np.ndarray, n: int) -> tuple[np.ndarra
     return at, mix((sums[at + n] - sums[at]) * powers(inverse(_WORD_BASE), k)[at])
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = (2 << 20) - 4096) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about so many bytes of text; a longer document is a slice of its own."""
     _, offsets = text_buffers(batch.column(column))
     at = 0
