@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from . import words as W
+from . import common as C, words as W
 
 U64 = np.uint64
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -218,7 +218,7 @@ def fit(texts: list[str], labels: list[str], path: str = VOCABULARY, rounds: int
 class Scorer:
     """Scores texts; each word that was met is scored once (up to a bound of memory, then anew)."""
 
-    def __init__(self, model: Model, most: int = 1_500_000) -> None:
+    def __init__(self, model: Model, most: int = 1_000_000) -> None:
         self.model, self.most = model, most
         self.known = np.zeros(0, U64)
         self.scores = np.zeros((0, len(model.languages)), np.float32)
@@ -284,13 +284,13 @@ def _label(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
         scorer = Scorer(model)
         names = np.array(model.languages)
         for batch in batches:
-            for part in W.pieces(batch, "text", 8 << 20):
+            for part in W.pieces(batch, "text"):
                 scores, size = scorer.texts(part.column("text"))
                 best, score, margin = _best(model, scores, size)
                 none = size == 0
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names[best], pa.string()), pa.array(score, mask=none), pa.array(margin, mask=none)], ["doc_id", "language", "score", "margin"])
 
-    return label
+    return C.lean(label)
 
 
 def identified(docs: DataFrame, each: int = SAMPLE, path: str = VOCABULARY) -> DataFrame:
@@ -307,12 +307,12 @@ def _keep(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
         model = shared.value
         scorer = Scorer(model)
         for batch in batches:
-            for part in W.pieces(batch, "text", 8 << 20):
+            for part in W.pieces(batch, "text"):
                 best, _, _ = _best(model, *scorer.texts(part.column("text")))
                 stays = best != len(model.languages) - 1
                 yield part if stays.all() else part.filter(pa.array(stays))
 
-    return keep
+    return C.lean(keep)
 
 
 def of_known_languages(docs: DataFrame, each: int = SAMPLE, path: str = VOCABULARY) -> DataFrame:
