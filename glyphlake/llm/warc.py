@@ -199,5 +199,5 @@ def written(pages: DataFrame, segment: int = SEGMENT, chunk: int = CHUNK) -> Dat
 def round_trip(pages: DataFrame) -> DataFrame:
     """(page_id, url, html, n_segments, status) of pages that went through records and back."""
     whole = reassembled(written(pages))
-    page = F.regexp_extract("record_id", "^<urn:page:(-?[0-9]+)>$", 1).cast("long")
+    page = F.regexp_extract("record_id", "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
     return whole.select(page.alias("page_id"), F.col("target_uri").alias("url"), F.col("body").cast("string").alias("html"), "n_segments", "http_status", "status")
