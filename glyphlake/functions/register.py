@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import SparkSession
 
 from . import bengali, classify, fonts, tables
@@ -53,6 +51,3 @@ def register(spark: SparkSession) -> list[str]:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
     return ["transliterate", "nfc", *[h.partition("(")[0] for h in bodies]]
 
-
-def as_json(options: dict) -> str:
-    return json.dumps(options, ensure_ascii=False)

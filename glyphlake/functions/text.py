@@ -48,14 +48,6 @@ def u_repr(text: Column) -> Column:
     return F.concat(F.lit("'"), text, F.lit("' ["), F.array_join(points, " "), F.lit("]"))
 
 
-def code_point_category(p: Column) -> Column:
-    """A rough name for a code point's kind."""
-    ladder = F.when(p < 0x20, "control").when(p == 0x20, "space").when(p.between(0x30, 0x39), "digit")
-    ladder = ladder.when(p.between(0x41, 0x5A), "upper").when(p.between(0x61, 0x7A), "lower").when(p < 0x7F, "ascii_punctuation")
-    ladder = ladder.when(p.between(0x7F, 0x9F), "c1_control").when(p == 0xA0, "nbsp").when(p == 0xAD, "soft_hyphen")
-    return ladder.when(p.between(0xA1, 0xFF), "latin1").when(p.between(0x100, 0x24F), "latin_extended").otherwise(F.when(p.between(0x980, 0x9FF), "bengali").when(p.between(0x2000, 0x206F), "general_punctuation").otherwise("other"))
-
-
 #: Identifiers of runs in a host's documents: kind -> (pattern, names of the numbers).
 RUN_IDS = {
     "docs": ("^docs:P([0-9]+):C([0-9]+)-([0-9]+)$", ("paragraph", "start", "end")),

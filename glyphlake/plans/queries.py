@@ -7,6 +7,8 @@ way here and in SQL; pieces of real legacy text come from a table of literals.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -14,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from glyphlake.functions import bengali as B, classify as K, fonts as N, tables as T, text as X
 from glyphlake.operators import convert as C, reports as R, runs as O, styles as S
 from glyphlake.plans.options import ConvertOptions
-from glyphlake.sources import ooxml
+from glyphlake.sources import made, ooxml
+from glyphlake.streaming.convert import convert_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -703,3 +706,57 @@ def theme_fonts(spark, sf_dir):
     d = F.col("doc_id")
     token = F.struct(F.when(d % 5 == 0, "A").alias("ascii"), F.when(d % 7 == 0, "H").alias("hansi"), F.when(d % 3 == 0, "minorHAnsi").when(d % 3 == 1, "majorBidi").alias("ascii_theme"), F.when(d % 2 == 0, "majorAscii").alias("hansi_theme"), F.lit("Minor").alias("minor_latin"), F.lit("Major").alias("major_latin"))
     return table(spark, sf_dir, "documents").select("doc_id", token.alias("rfonts")).select("doc_id", S.rfonts().alias("font"))
+
+
+# Files and streams --------------------------------------------------------------------------------
+
+_NUMBERED = f"(SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY run_index) - 1)::INT AS k FROM {SHORT_RUNS})"
+_NUMBERED_DONE = f"(SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY run_index) - 1)::INT AS k FROM {_DONE})"
+
+
+def _made(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return made.files(short_runs(spark, sf_dir), kind)
+
+
+@query(f"SELECT doc_id || '.docx' AS doc_id, 1::INT AS entry_idx, NULL::INT AS slide_index, k AS paragraph_index, 0::INT AS run_index, font_name, text FROM {_NUMBERED}")
+def docx_scan(spark, sf_dir):
+    return ooxml.scan(_made(spark, sf_dir, "docx"))
+
+
+@query(f"SELECT doc_id || '.pptx' AS doc_id, k AS entry_idx, (k + 1)::INT AS slide_index, 0::INT AS paragraph_index, 0::INT AS run_index, font_name, text FROM {_NUMBERED}")
+def pptx_scan(spark, sf_dir):
+    return ooxml.scan(_made(spark, sf_dir, "pptx"))
+
+
+@query(f"SELECT doc_id || '.docx' AS doc_id, k AS paragraph_index, CASE WHEN changed THEN 'Kalpurush' ELSE font_name END AS font_name, coalesce(new_text, text) AS text FROM {_NUMBERED_DONE}")
+def docx_round_trip(spark, sf_dir):
+    """Files that were converted, written and read again."""
+    made_files = _made(spark, sf_dir, "docx")
+    written = ooxml.write_back(made_files, C.convert_runs(ooxml.scan(made_files)))
+    return ooxml.scan(written).select("doc_id", "paragraph_index", "font_name", "text")
+
+
+@query(f"SELECT doc_id || '.pptx' AS doc_id, (k + 1)::INT AS slide_index, CASE WHEN changed THEN 'Kalpurush' ELSE font_name END AS font_name, coalesce(new_text, text) AS text FROM {_NUMBERED_DONE}")
+def pptx_round_trip(spark, sf_dir):
+    made_files = _made(spark, sf_dir, "pptx")
+    written = ooxml.write_back(made_files, C.convert_runs(ooxml.scan(made_files)))
+    return ooxml.scan(written).select("doc_id", "slide_index", "font_name", "text")
+
+
+@query(f"SELECT doc_id || '.docx' AS path, bool_or(changed) AS any_change, count(*) FILTER (changed)::INT AS runs_converted FROM {_DONE} GROUP BY doc_id")
+def file_results(spark, sf_dir):
+    made_files = _made(spark, sf_dir, "docx")
+    return ooxml.write_back(made_files, C.convert_runs(ooxml.scan(made_files))).select("path", "any_change", "runs_converted")
+
+
+@query(ORACLE["convert_run"])
+def stream_convert(spark, sf_dir):
+    """convert_run() on a stream that ends, into a table in memory."""
+    schema = table(spark, sf_dir, "conversations").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir) if not os.path.isdir(f"{sf_dir}/conversations.parquet") else spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations.parquet")
+    rows = source.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("run_index"), font_of(F.col("conv_id") + F.col("turn")).alias("font_name"), F.substring("text", 1, 300).alias("text"))
+    done = convert_stream(rows).select("doc_id", "run_index", "decision", "changed", "new_text", "new_font")
+    name = f"stream_{uuid.uuid4().hex}"
+    q = done.writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
