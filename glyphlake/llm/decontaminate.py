@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import words as W
+from . import common as C, words as W
 
 U64 = np.uint64
 MIN_WORDS, MIN_ITEM = 13, 8
@@ -156,7 +156,7 @@ def _parts(benchmark: DataFrame, min_words: int, min_item: int) -> Iterator[Benc
         yield Benchmark(pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), min_words, min_item)
 
 
-SHARD = 32 << 20
+SHARD = 16 << 20
 
 
 def _find(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -171,7 +171,7 @@ def _find(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
                 rows = [{"doc_id": ids[d], "item_id": bench.items[i], "match_words": n, "doc_word": w, "item_word": p} for d, i, n, w, p in found]
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return find
+    return C.lean(find)
 
 
 def _clean(shared, text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -182,7 +182,7 @@ def _clean(shared, text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 keep[[m[0] for m in matches(shared.value, part.column(text))]] = False
                 yield part if keep.all() else part.filter(pa.array(keep))
 
-    return clean
+    return C.lean(clean)
 
 
 def locations(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min_item: int = MIN_ITEM) -> DataFrame:

@@ -361,10 +361,10 @@ def _merged(width: int) -> Callable[[pa.Table], pa.Table]:
     return C.lean(merged)
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, per_range: int = 200_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = WIDTH, per_range: int = 100_000) -> DataFrame:
     """(doc_id, uid, start_word, end_word): maximal stretches of repeated words; end_word is the first beyond."""
     spark = docs.sparkSession
-    n = C.buckets(docs.select("doc_id", "text"))
+    n = C.buckets(docs.select("doc_id", "text"), 3 << 20)
     docs = docs.select(F.col("doc_id").cast("long"), C.identity(docs).alias("uid"), F.coalesce("text", F.lit("")).alias("text"))
     runs = docs.select("uid", "text").mapInArrow(_runs(width, n), "bucket int, run binary")
     found = C.cut(runs.repartition(n, "bucket").groupBy("bucket").applyInArrow(_repeated(n), "home int, found binary"))
