@@ -130,26 +130,29 @@ def unplanes(buffer: memoryview, at: int, n: int) -> tuple[np.ndarray, int]:
     return out.view(U64).reshape(-1), at + 1 + width * n
 
 
-def pack(sorted_keys: np.ndarray | None, owners: np.ndarray, table: np.ndarray, *columns: np.ndarray) -> bytes:
-    """Rows as bytes: ascending keys as differences, owners as places in the part of table that they name."""
+def pack(sorted_keys: np.ndarray | None, owners: np.ndarray, table: np.ndarray, *columns: np.ndarray, named: bool = True) -> bytes:
+    """Rows as bytes: ascending keys as differences, owners as places in the part of table that they name (or, if not named, as they are)."""
     n = len(owners)
-    used = np.zeros(len(table), bool)
-    used[owners] = True
-    places = np.cumsum(used) - 1
-    names = table[used].view(U64)
-    out = [np.array([n, len(names)], U64).tobytes(), names.tobytes(), planes(places[owners].astype(U64))]
+    if named:
+        used = np.zeros(len(table), bool)
+        used[owners] = True
+        owners = (np.cumsum(used) - 1)[owners]
+        names = table[used].view(U64)
+    else:
+        names = table[:0]
+    out = [np.array([n, len(names)], U64).tobytes(), names.tobytes(), planes(owners.astype(U64))]
     if sorted_keys is not None:
         out += [sorted_keys[:1].astype(U64).tobytes() if n else b"\0" * 8, planes(np.diff(sorted_keys, prepend=sorted_keys[:1]))]
     return _packer().compress(b"".join(out + [planes(c) for c in columns]))
 
 
-def unpack(blob: bytes | memoryview, keyed: bool, columns: int) -> list[np.ndarray]:
-    """Owners' names, then keys if there are any, then the columns."""
+def unpack(blob: bytes | memoryview, keyed: bool, columns: int, named: bool = True) -> list[np.ndarray]:
+    """Owners' names (their places, if not named), then keys if there are any, then the columns."""
     b = memoryview(_unpacker().decompress(blob))
     n, m = (int(x) for x in np.frombuffer(b, U64, 2))
     names = np.frombuffer(b, U64, m, 16)
     places, at = unplanes(b, 16 + 8 * m, n)
-    out = [names[places.astype(np.int64)]]
+    out = [names[places.astype(np.int64)] if named else places]
     if keyed:
         first = np.frombuffer(b, U64, 1, at)
         steps, at = unplanes(b, at + 8, n)
