@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 U64 = np.uint64
 #: Rows of a side (of a few numbers each) up to which it is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
+_CUTS: list[str] = []
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -42,6 +43,7 @@ def cut(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there, and its shuffle files may go."""
     spark = df.sparkSession
     path = shared_dir(spark)
+    _CUTS.append(path)
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
@@ -51,6 +53,20 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Removes the tables that cut() wrote in this session; what was made of them can't be read afterwards."""
+    while _CUTS:
+        remove(spark, _CUTS.pop())
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bytes_of(df: DataFrame) -> int:
     """What Catalyst knows of its size, without a job."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -367,7 +367,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, per_range: int = 100_000
     n = C.buckets(docs.select("doc_id", "text"), 3 << 20)
     docs = docs.select(F.col("doc_id").cast("long"), C.identity(docs).alias("uid"), F.coalesce("text", F.lit("")).alias("text"))
     runs = docs.select("uid", "text").mapInArrow(_runs(width, n), "bucket int, run binary")
-    found = C.cut(runs.repartition(n, "bucket").groupBy("bucket").applyInArrow(_repeated(n), "home int, found binary"))
+    found = C.cut(runs.repartition(3 * n, "bucket").groupBy("bucket").applyInArrow(_repeated(n), "home int, found binary"))
     keyed = docs.withColumn("home", F.pmod("uid", F.lit(n)).cast("int"))
     coded = C.cut(keyed.groupBy("home").cogroup(found.groupBy("home")).applyInArrow(_anchors(width), FRONT))
     total = coded.agg(F.sum(F.size("shared")).alias("n"), F.count("*").alias("pieces")).first()
@@ -396,7 +396,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     n_chars, if there is such a column, follows the text. The other columns stay.
     """
-    key, cut_out = "__uid", "__spans"
+    key, cut_out = C.fresh(docs, "__uid"), C.fresh(docs, "__spans")
     spans = repeated_spans(docs, width).groupBy("uid").agg(F.collect_list(F.struct("start_word", "end_word")).alias(cut_out))
     spans = C.cut(spans.withColumnRenamed("uid", key))
     joined = docs.withColumn(key, C.identity(docs)).join(C.small(spans, spans.count()), key, "left")

@@ -153,6 +153,7 @@ def verdicts(urls: DataFrame, entries: DataFrame, per_segment: int = SEGMENT_ENT
 
 def filtered(pages: DataFrame, entries: DataFrame, per_segment: int = SEGMENT_ENTRIES) -> DataFrame:
     """pages with `blocked` and `entry` (null where not blocked)."""
-    hits = verdicts(pages, entries, per_segment).select(F.col("url").alias("__url"), F.col("entry").alias("__entry"))
-    joined = pages.join(hits, pages["url"] == hits["__url"], "left")
-    return joined.select(*[pages[c] for c in pages.columns if c not in ("blocked", "entry")], F.col("__entry").isNotNull().alias("blocked"), F.col("__entry").alias("entry"))
+    key, entry = C.fresh(pages, "__url"), C.fresh(pages, "__entry")
+    hits = verdicts(pages, entries, per_segment).select(F.col("url").alias(key), F.col("entry").alias(entry))
+    joined = pages.join(hits, pages["url"] == hits[key], "left")
+    return joined.select(*[pages[c] for c in pages.columns if c not in ("blocked", "entry")], F.col(entry).isNotNull().alias("blocked"), F.col(entry).alias("entry"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from glyphlake.llm import decontaminate as D, language_id as L, licenses as S, queries as Q, url_filter as U
 
-CLASHING = ("uid", "language", "score", "segment", "digest", "entry", "blocked", "place", "rule", "item_id", "island")
+CLASHING = ("__url", "__entry", "uid", "language", "score", "segment", "digest", "entry", "blocked", "place", "rule", "item_id", "island")
 
 
 def extra(df, but=()):

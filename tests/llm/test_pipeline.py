@@ -56,7 +56,7 @@ def test_run(spark):
 def hard(spark):
     rows = [(i, t, None, f"s{k}", None if t is None else len(t)) for k, (i, t) in enumerate(HARD)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    return frame.withColumns({c: F.lit(1) for c in ("uid", "row", "group", "ids", "home", "item", "__n")})
+    return frame.withColumns({c: F.lit(1) for c in ("uid", "row", "group", "ids", "home", "item", "__uid", "__spans", "stays")})
 
 
 @pytest.mark.parametrize("k", range(len(C.STAGES)))
