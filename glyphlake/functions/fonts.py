@@ -11,7 +11,8 @@ SANS_DEFAULT = "Siyam Rupali"
 #: Target fonts that may be asked for.
 TARGETS = (DEFAULT, "SolaimanLipi", "Noto Sans Bengali", "Nikosh")
 STYLES = (" bold", " italic", " bolditalic", "-bold", "-italic", "-bolditalic")
-SUFFIXES = ("sushreemj", "matramj", "sreemj", "xmj", "cmj", "emj", "omj", "mj")
+#: One that ends with another comes before it.
+SUFFIXES = tuple("sreemj sushreemj matramj cmj omj xmj emj mj".split())
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

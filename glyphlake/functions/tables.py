@@ -7,7 +7,7 @@ from functools import cache
 from importlib.resources import files
 
 #: Glyphs that make text look legacy-encoded, and pairs of a letter and a vowel sign.
-DISTINCTIVE = "¡¢£¥¦§©ª«¬®¯µ¶·¸»¼½¾ÀÁÂÃÄÅÆÇÈÉÊËÌÏ×ØÙÚÛÜÞßàáâãäåçéêëìíîïðòóôõö÷ùûüýþŒŠš—†‡•‰‹›"
+DISTINCTIVE = "".join(chr(c) for c in range(0xA1, 0x100) if chr(c) not in "¤¨\xad°±²³´¹º¿ÍÎÐÑÒÓÔÕÖÝæèñøúÿ") + "ŒŠš—†‡•‰‹›"
 AA_SIGN = "ABKMNPRSTYZabcdefghijklmnpq"  # each before v
 I_SIGN = "KMPQRZabcdefghijklmnpq"  # each after w
 E_SIGN = "KLMNPQRSTUVWXYZbcdefghijklmnpq"  # each after ‡

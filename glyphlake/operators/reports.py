@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from glyphlake.functions import tables
 from glyphlake.functions.text import code_points
 
-PASSED = [*range(0x21), *map(ord, "!#%()*+,-./:;<=>?[]{}")]
+PASSED = [*range(0x21), *(ord(c) for c in string.punctuation if c not in "\"$&'@\\^_`|~")]
 FOREIGN = [0xFEFB, 0xFEFC, 0xFFFB, 0xFFFC, 0x20AC, 0xFFFD]
 #: (least, greatest, category), the first that fits.
 BLOCKS = [
