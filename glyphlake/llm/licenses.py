@@ -21,6 +21,7 @@ looked at.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -60,10 +61,6 @@ LEADS = ["Licensed under {}", "Licensed under the {}", "Released under {}", "Rel
          "This software is released under the {}", "The source code is licensed under the {}", "This program is distributed under the {}", "License: {}"]
 
 SENTENCES = {
-    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
-    "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
-    "mit-as-is": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT",
-    "mit-liability": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
     "bsd-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
@@ -78,6 +75,14 @@ SENTENCES = {
     "unlicense": "This is free and unencumbered software released into the public domain",
 }
 
+#: MD5 digests of further normalised sentences: of the MIT licence's text.
+DIGESTS = {
+    "mit-grant": "c3f318864dcc773bb59cc9867687a69a",
+    "mit-notice": "ae8c673ec7252a65aacd805c252f474d",
+    "mit-as-is": "4c90995cd680fbd49c0e375f42aa4fe6",
+    "mit-liability": "521e4a3032ee9467c31d4749aefee01e",
+}
+
 #: In order; of rules that match the same sentences the first counts.
 RULES = [
     ("MIT", ["mit-grant", "mit-notice", "mit-as-is", "mit-liability"]),
@@ -100,8 +105,17 @@ def normalised(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.translate(str.maketrans(_UPPER, _LOWER))).strip(" ")
 
 
+def digest(sentence: str) -> str:
+    return hashlib.md5(sentence.encode(), usedforsecurity=False).hexdigest()
+
+
 def known() -> dict[str, str]:
-    """Identifiers by normalised sentence; a sentence that the text's cutting would cut is known by its longest part."""
+    """Identifiers by the digest of the normalised sentence."""
+    return {digest(s): i for s, i in spelled().items()} | {d: i for i, d in DIGESTS.items()}
+
+
+def spelled() -> dict[str, str]:
+    """Identifiers by normalised sentence, of those that are kept in words; a sentence that the text's cutting would cut is known by its longest part."""
     found: dict[str, str] = {}
     for name, spellings in NAMES.items():
         for spelling in spellings:
@@ -116,12 +130,12 @@ def known() -> dict[str, str]:
 def licences(docs: DataFrame) -> DataFrame:
     """(doc_id, licence, first_sentence, n_sentences)."""
     spark = docs.sparkSession
-    sentences = F.broadcast(spark.createDataFrame(sorted(known().items()), "sentence string, id string"))
+    sentences = F.broadcast(spark.createDataFrame(sorted(known().items()), "digest string, id string"))
     rules = F.broadcast(spark.createDataFrame([(i, name, ids) for i, (name, ids) in enumerate(RULES)], "rule int, licence string, sequence array<string>"))
     unwrapped = F.regexp_replace(F.regexp_replace("text", COMMENT, "\n"), WRAP, "$1 $2")
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.identity(docs).alias("uid"), "text").filter(F.col("text").rlike(f"(?i){ANCHORS}")).select("doc_id", "uid", F.posexplode(F.filter(F.split(unwrapped, SPLIT), lambda x: x.rlike("[A-Za-z0-9]"))).alias("place", "raw"))
     plain = F.trim(F.regexp_replace(F.translate("raw", _UPPER, _LOWER), "[^a-z0-9]+", " "))
-    met = cut.select("doc_id", "uid", "place", plain.alias("sentence")).join(sentences, "sentence").select("doc_id", "uid", "place", "id").distinct()
+    met = cut.select("doc_id", "uid", "place", F.md5(plain).alias("digest")).join(sentences, "digest").select("doc_id", "uid", "place", "id").distinct()
     doc = Window.partitionBy("doc_id", "uid").orderBy("place")
     island = met.withColumn("island", F.col("place") - F.row_number().over(doc)).groupBy("doc_id", "uid", "island").agg(F.sort_array(F.collect_list(F.struct("place", "id"))).alias("run"))
     island = island.withColumn("ids", F.col("run.id"))
@@ -138,12 +152,12 @@ def oracle() -> str:
     sentences = ", ".join(f"({quote(s)}, {quote(i)})" for s, i in sorted(known().items()))
     rules = ", ".join(f"({i}, {quote(name)}, [{', '.join(map(quote, ids))}])" for i, (name, ids) in enumerate(RULES))
     return rf"""
-WITH k(sentence, id) AS (VALUES {sentences}),
+WITH k(digest, id) AS (VALUES {sentences}),
 rules(rule, licence, sequence) AS (VALUES {rules}),
 d AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(text, '\n[ \t]*[*#/]+[ \t]*', chr(10), 'g'), '([^.!?;: \t\n\x0B\f\r])[ \t\r]*\n[ \t]*([a-z(]|[A-Z][A-Z])', '\1 \2', 'g'), '[.!?;]+[ \t\n\x0B\f\r]+|\n+'), lambda x: regexp_matches(x, '[A-Za-z0-9]')) AS parts FROM documents),
 s AS (SELECT doc_id, unnest(range(0, len(parts))) AS place, unnest(parts) AS raw FROM d),
 n AS (SELECT doc_id, place, trim(regexp_replace(translate(raw, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM s),
-m AS (SELECT doc_id, place, id FROM n JOIN k USING (sentence)),
+m AS (SELECT doc_id, place, id FROM n JOIN k ON digest = md5(sentence)),
 i AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS island FROM m),
 g AS (SELECT doc_id, island, min(place) AS base, list(id ORDER BY place) AS ids FROM i GROUP BY doc_id, island),
 c AS (SELECT doc_id, island, base, ids, rule, licence, sequence, unnest(range(0, len(ids) - len(sequence) + 1)) AS start FROM g, rules WHERE len(ids) >= len(sequence)),
