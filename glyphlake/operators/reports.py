@@ -16,7 +16,7 @@ BLOCKS = [
     (0x21, 0x7E, "ascii-printable"), (0xA0, 0xFF, "latin1-extended"), (0x80, 0x9F, "c1-control"), (0x100, 0x24F, "latin-extended"), (0x900, 0x97F, "devanagari"), (0x980, 0x9FF, "bengali-unicode"),
     (0x2000, 0x206F, "general-punctuation"), (0x2070, 0x209F, "superscripts"), (0x20A0, 0x20CF, "currency"), (0x2100, 0x214F, "letterlike"), (0x250, 0x2FF, "ipa-spacing-modifiers"), (0xF000, 0xF8FF, "private-use"), (0xFB00, 0xFFFE, "compat-specials"),
 ]
-INTERESTING = ("ascii-printable", "latin1-extended", "ipa-spacing-modifiers", "general-punctuation", "other")
+INTERESTING = ("other", "general-punctuation", "latin1-extended", "ascii-printable", "ipa-spacing-modifiers")
 
 
 def category(point: Column) -> Column:

@@ -38,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# Inputs -------------------------------------------------------------------------------------------
+# --- Inputs
 
 FONTS = ["SutonnyMJ", "Kalpurush", None, "ABCDEF+AnandaMJ", "Arial", "JaJaDiMJ-Bold", "StyleMJ", "Noto Sans Bengali"]
 #: Legacy text with what the steps have to get right.
@@ -119,7 +119,7 @@ def _names() -> list[str]:
 
 FONT_NAMES = _font_names_sql()
 
-# SQL of the functions -----------------------------------------------------------------------------
+# --- SQL of the functions
 
 UP, LOW = N.UPPER, N.LOWER
 BENGALI = "[ঀ-৿]"
@@ -226,7 +226,7 @@ def sql_transliterated(source: str, text: str = "text", to: str = "new_text") ->
     return f"(SELECT * EXCLUDE (s{len(SQL_STEPS)}), nfc_normalize(s{len(SQL_STEPS)}) AS {to} FROM {out})"
 
 
-# Predicates and features --------------------------------------------------------------------------
+# --- Predicates and features
 
 
 @query(f"SELECT n, regexp_matches(text, '{BENGALI}') AS has_bengali FROM (SELECT n, text FROM {literals_sql(MARKED + SAMPLES)} UNION ALL SELECT doc_id + 1000, text FROM documents)")
@@ -304,7 +304,7 @@ def explanation(spark, sf_dir):
     return K.with_classification(runs(spark, sf_dir)).select("doc_id", "run_index", K.explanation().alias("explanation"))
 
 
-# Fonts --------------------------------------------------------------------------------------------
+# --- Fonts
 
 
 @query(f"SELECT n, name, regexp_replace(name, '^[A-Z]{{6}}\\+', '') AS plain_name FROM {FONT_NAMES}")
@@ -341,7 +341,7 @@ def font_part_join(spark, sf_dir):
     return names.join(parts, F.contains(N.plain(F.col("name")), F.col("part"))).select("part", "n")
 
 
-# Transliteration ----------------------------------------------------------------------------------
+# --- Transliteration
 
 
 @query(f"SELECT n, {sql_pre('text')} AS out FROM {GLYPH_TEXTS}")
@@ -401,7 +401,7 @@ def span_map(spark, sf_dir):
     return done.select("n", F.col("a.text").alias("new_text"), *[span[k].alias(k) for k in ("source_start", "source_end", "target_start", "target_end")])
 
 
-# Conversion ---------------------------------------------------------------------------------------
+# --- Conversion
 
 SHORT_RUNS = f"(SELECT doc_id, run_index, font_name, substr(text, 1, 300) AS text FROM {RUNS})"
 CHANGED = "decision = 'ansi_bengali' OR (decision = 'ambiguous' AND confidence >= 0.95)"
@@ -470,7 +470,7 @@ def changed_runs(spark, sf_dir):
     return C.convert_runs(short_runs(spark, sf_dir)).filter("changed").select("doc_id", "run_index", "font_name", "new_text")
 
 
-# The order of runs --------------------------------------------------------------------------------
+# --- The order of runs
 
 _PIECES = "(SELECT doc_id, (line - 1)::BIGINT AS run_index, CASE WHEN (doc_id + line) % 5 < 3 THEN 'SutonnyMJ' WHEN (doc_id + line) % 5 = 3 THEN 'Arial' ELSE 'AnandaMJ' END AS font_name, CASE (doc_id * 3 + line) % 7 WHEN 0 THEN '‡' WHEN 1 THEN 'w' WHEN 2 THEN '©' ELSE substr(text, 1, 12) END AS text FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS text FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n')[1:12] AS l FROM documents)))"
 
@@ -577,7 +577,7 @@ def object_places(spark, sf_dir):
     return O.located(objects, places).select(F.col("key").alias("object_id"), F.col("slide").cast("int").alias("slide"), "shape")
 
 
-# Names, code points, host documents ---------------------------------------------------------------
+# --- Names, code points, host documents
 
 
 @query("SELECT id, regexp_extract(id, '^docs:P([0-9]+):C([0-9]+)-([0-9]+)$', 1)::INT AS paragraph, regexp_extract(id, '^docs:P([0-9]+):C([0-9]+)-([0-9]+)$', 2)::INT AS start, regexp_extract(id, '^docs:P([0-9]+):C([0-9]+)-([0-9]+)$', 3)::INT AS \"end\" FROM (SELECT 'docs:P' || conv_id || ':C' || turn || '-' || (turn + length(text)) AS id FROM conversations)")
@@ -674,7 +674,7 @@ def point_category(spark, sf_dir):
     return spark.range(0, 65536, 7).select(F.col("id").cast("int").alias("point")).select("point", R.category(F.col("point")).alias("category"))
 
 
-# Styles -------------------------------------------------------------------------------------------
+# --- Styles
 
 _STYLES = "(SELECT doc_id // 50 AS doc_id, 's' || doc_id % 50 AS style_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 's' || (doc_id * 3 + 1) % 50 END AS based_on, CASE WHEN doc_id % 9 = 0 THEN source END AS font FROM documents)"
 _STYLE_FONTS = f"""s AS (SELECT * FROM {_STYLES}),
@@ -708,7 +708,7 @@ def theme_fonts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", token.alias("rfonts")).select("doc_id", S.rfonts().alias("font"))
 
 
-# Files and streams --------------------------------------------------------------------------------
+# --- Files and streams
 
 _NUMBERED = f"(SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY run_index) - 1)::INT AS k FROM {SHORT_RUNS})"
 _NUMBERED_DONE = f"(SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY run_index) - 1)::INT AS k FROM {_DONE})"

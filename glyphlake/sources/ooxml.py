@@ -31,7 +31,7 @@ class OoxmlError(ValueError):
     """A file that isn't what its name says."""
 
 
-# Tags ---------------------------------------------------------------------------------------------
+# --- Tags
 
 
 def tokens(xml: str) -> list[str]:
@@ -77,7 +77,7 @@ def with_attributes(token: str, values: dict[str, str], prefix: str) -> str:
     return done[: -len(end)].rstrip() + "".join(f" {prefix}{k}={quoteattr(v)}" for k, v in missing.items()) + end
 
 
-# Fonts --------------------------------------------------------------------------------------------
+# --- Fonts
 
 
 def is_legacy_font(font: str | None) -> bool:
@@ -167,7 +167,7 @@ def styles(xml: str, theme: dict[str, str]) -> Styles:
     return out
 
 
-# Runs ---------------------------------------------------------------------------------------------
+# --- Runs
 
 
 @dataclass
@@ -338,7 +338,7 @@ def parts(content: bytes, kind: str) -> list[Part]:
     return [Part(names.index(DOCUMENT), DOCUMENT, part, document_units(part, styles(read(STYLES), theme), theme))]
 
 
-# Writing ------------------------------------------------------------------------------------------
+# --- Writing
 
 
 def rewritten_run(part: list[str], text: str, font: str | None, kind: str) -> list[str]:
@@ -415,7 +415,7 @@ def rewritten(content: bytes, kind: str, actions: dict[tuple[int, int, int], tup
     return sink.getvalue()
 
 
-# DataFrames ---------------------------------------------------------------------------------------
+# --- DataFrames
 
 RUNS = "doc_id string, entry_idx int, slide_index int, paragraph_index int, run_index int, font_name string, text string"
 
