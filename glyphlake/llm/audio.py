@@ -39,7 +39,7 @@ _FEATURES = pa.schema([("media_id", pa.int64()), ("rate", pa.int32()), ("n_frame
 TENSOR = pa.fixed_shape_tensor(pa.float32(), (FRAMES, BANDS))
 
 
-# Polyphase resampling -----------------------------------------------------------------------------
+# --- Polyphase resampling
 
 
 @lru_cache(maxsize=8)
@@ -79,7 +79,7 @@ def resample(x: np.ndarray, rate: int, to: int = RATE) -> np.ndarray:
     return out.reshape(x.shape[0], -1)[:, :n]
 
 
-# Log-mel bands and segments -----------------------------------------------------------------------
+# --- Log-mel bands and segments
 
 
 @lru_cache(maxsize=4)
@@ -184,7 +184,7 @@ def audio_features(media: DataFrame) -> DataFrame:
     return media.selectExpr("cast(media_id as long) media_id", "cast(pcm as binary) pcm", "cast(rate as int) rate").mapInArrow(_features, FEATURES)
 
 
-# Sound for tests and queries: there is no audio table -------------------------------------------------
+# --- Sound for tests and queries: there is no audio table
 
 SYNTH_RATE, SYNTH_STEP = 22_050, 220
 

@@ -47,7 +47,7 @@ _LEAST = -(1 << 63)
 _PLACE_BASE = 0x9E3779B1  # odd, modulo 2**32
 
 
-# 1. windows ---------------------------------------------------------------------------------------
+# --- 1. windows
 
 
 def _runs(width: int, n_buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -121,7 +121,7 @@ def _repeated(n_docs: int) -> Callable[[pa.Table], pa.Table]:
     return C.lean(find)
 
 
-# 2, 3. anchors, in sorted and front-coded runs ------------------------------------------------------
+# --- 2, 3. anchors, in sorted and front-coded runs
 
 
 def shared(a: bytes, b: bytes, known: int = 0) -> int:
@@ -249,7 +249,7 @@ def _before(run: list, splitter: bytes, low: int) -> int:
     return low
 
 
-# 4. merging ---------------------------------------------------------------------------------------
+# --- 4. merging
 
 
 def merge(runs: list[tuple[list[int], list[bytes]]]) -> Iterator[tuple[int, int, int, bytes]]:

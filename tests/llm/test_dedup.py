@@ -34,7 +34,7 @@ def texts(n=60, seed=0, words=40, vocabulary=5):
 HARD = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (None, "a b c d e f g"), (None, None), (3, None), (4, ""), (5, " \n "), (6, "one"), (7, "one"), (8, "two words"), (9, "two  words"), (10, "a b c d e f g"), (11, "a\nb c d e f h"), (1, "p q r s t"), (12, "x " * 30000), (13, "y" * 200_000)]
 
 
-# Repeated passages --------------------------------------------------------------------------------
+# --- Repeated passages
 
 
 def brute_spans(rows, width):
@@ -114,7 +114,7 @@ def test_earlier(strings, rng):
     assert S.earlier(lcps, [(o,) for o in order]) == wanted
 
 
-# Similar pairs ------------------------------------------------------------------------------------
+# --- Similar pairs
 
 
 def grams(text, n):

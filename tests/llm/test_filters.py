@@ -22,7 +22,7 @@ def test_against_sql(spark, name):
     assert differences(Q.QUERIES[name], Q.ORACLE[name], spark, f"{DATA}/sf0.001") == ({}, {})
 
 
-# Language identification --------------------------------------------------------------------------
+# --- Language identification
 
 
 def segmentations(word, pieces):
@@ -90,7 +90,7 @@ def test_language_cases(spark):
     assert L.identified(both.limit(0)).count() == 0 and L.of_known_languages(both.limit(0)).count() == 0
 
 
-# Benchmark passages -------------------------------------------------------------------------------
+# --- Benchmark passages
 
 
 def brute_matches(docs, items, least, item_least):
@@ -145,7 +145,7 @@ def test_match_cases(spark, monkeypatch):
     assert D.decontaminated(docs, bench.limit(0)).count() == docs.count()
 
 
-# URL filter ---------------------------------------------------------------------------------------
+# --- URL filter
 
 
 def test_urls(spark):
@@ -174,7 +174,7 @@ def test_collisions_are_confirmed(tmp_path):
     assert segment.find(digests, [b"same", b"other", b"third", b"high", b"same"]).tolist() == [True, True, False, True, False]
 
 
-# Licences -----------------------------------------------------------------------------------------
+# --- Licences
 
 
 def test_every_known_sentence_has_an_anchor():

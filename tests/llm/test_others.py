@@ -24,7 +24,7 @@ def test_against_sql(spark, name):
     assert differences(Q.QUERIES[name], Q.ORACLE[name], spark, f"{DATA}/sf0.001") == ({}, {})
 
 
-# Packing ------------------------------------------------------------------------------------------
+# --- Packing
 
 
 def fewest_bins(lengths, capacity):
@@ -125,7 +125,7 @@ def test_packing_query(spark):
     assert found == {r.doc_id: len(encode(r.text)) for r in docs.collect()}
 
 
-# WARC ---------------------------------------------------------------------------------------------
+# --- WARC
 
 
 @given(st.binary(max_size=300), st.integers(1, 50), st.integers(1, 80))
@@ -177,7 +177,7 @@ def test_warc_files(spark, tmp_path):
     assert {r.record_id: bytes(r.body) for r in W.reassembled(W.records(files)).collect()} == {"<urn:1>": b"one" * 50, "<urn:2>": b"two"}
 
 
-# Sorted string tables -----------------------------------------------------------------------------
+# --- Sorted string tables
 
 
 @settings(max_examples=60, deadline=None)
@@ -219,7 +219,7 @@ def test_shards_query(spark):
     assert sum(len(t.get(-5)) for _, t in readers) == 0
 
 
-# Audio --------------------------------------------------------------------------------------------
+# --- Audio
 
 
 @pytest.mark.parametrize("rate", [8000, 16000, 16001, 22050, 44100, 48000])
