@@ -9,8 +9,17 @@ from xml.sax.saxutils import escape, quoteattr
 import pandas as pd
 from pyspark.sql import DataFrame
 
-_W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-_A = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+_SCHEMAS = "http://schemas.openxmlformats.org"
+_SPACES = {"w": f"{_SCHEMAS}/wordprocessingml/2006/main", "a": f"{_SCHEMAS}/drawingml/2006/main"}
+
+
+def element(name: str, *inside: str, **attributes: str) -> str:
+    """An XML element; w_val is the attribute w:val, and xmlns=True declares its prefix."""
+    if attributes.pop("xmlns", None):
+        prefix = name.partition(":")[0]
+        attributes[f"xmlns_{prefix}"] = _SPACES.get(prefix, prefix)
+    head = "".join([name, *(f" {k.replace('_', ':')}={quoteattr(v)}" for k, v in attributes.items())])
+    return f"<{head}>{''.join(inside)}</{name}>" if inside else f"<{head}/>"
 
 
 def archive(parts: dict[str, str]) -> bytes:
@@ -23,16 +32,23 @@ def archive(parts: dict[str, str]) -> bytes:
 
 def docx(runs: list[tuple[str | None, str]]) -> bytes:
     """Each run is a paragraph."""
-    fonts = [f"<w:rPr><w:rFonts w:ascii={quoteattr(f)}/></w:rPr>" if f else "" for f, _ in runs]
-    body = "".join(f'<w:p><w:r>{font}<w:t xml:space="preserve">{escape(text)}</w:t></w:r></w:p>' for font, (_, text) in zip(fonts, runs))
-    return archive({"[Content_Types].xml": "<Types/>", "word/document.xml": f"<w:document {_W}><w:body>{body}</w:body></w:document>"})
+
+    def run(font: str | None, text: str) -> str:
+        properties = [element("w:rPr", element("w:rFonts", w_ascii=font))] if font else []
+        return element("w:r", *properties, element("w:t", escape(text), xml_space="preserve"))
+
+    body = element("w:body", *(element("w:p", run(*r)) for r in runs))
+    return archive({"[Content_Types].xml": "<Types/>", "word/document.xml": element("w:document", body, xmlns=True)})
 
 
 def pptx(runs: list[tuple[str | None, str]]) -> bytes:
     """Each run is a paragraph on a slide of its own."""
-    fonts = [f"<a:rPr><a:latin typeface={quoteattr(f)}/></a:rPr>" if f else "" for f, _ in runs]
-    slides = [f"<p:sld {_A}><a:p><a:r>{font}<a:t>{escape(text)}</a:t></a:r></a:p></p:sld>" for font, (_, text) in zip(fonts, runs)]
-    return archive({f"ppt/slides/slide{i + 1}.xml": s for i, s in enumerate(slides)})
+
+    def slide(font: str | None, text: str) -> str:
+        properties = [element("a:rPr", element("a:latin", typeface=font))] if font else []
+        return element("a:sld", element("a:p", element("a:r", *properties, element("a:t", escape(text)))), xmlns=True)
+
+    return archive({f"ppt/slides/slide{i + 1}.xml": slide(*r) for i, r in enumerate(runs)})
 
 
 def files(runs: DataFrame, kind: str) -> DataFrame:

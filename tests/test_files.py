@@ -7,8 +7,8 @@ import pytest
 from glyphlake.plans import job
 from glyphlake.plans.options import ConvertOptions
 from glyphlake.sources import files, ooxml
+from glyphlake.sources.made import element as el
 
-W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 LEGACY, UNICODE = "Avwg evsjvq", "আমি বাংলায়"
 
 
@@ -20,15 +20,26 @@ def archive(parts):
     return sink.getvalue()
 
 
+def fonts(**names):
+    return el("w:rPr", el("w:rFonts", **{f"w_{k}": v for k, v in names.items()}))
+
+
 def run(text, font=None, properties=""):
-    fonts = f'<w:rFonts w:ascii="{font}" w:cs="Keep"/>' if font else ""
-    inner = f"<w:rPr>{fonts}{properties}</w:rPr>" if fonts or properties else ""
-    return f"<w:r>{inner}<w:t>{text}</w:t></w:r>"
+    inner = [x for x in (el("w:rFonts", w_ascii=font, w_cs="Keep") if font else "", properties) if x]
+    return el("w:r", *([el("w:rPr", *inner)] if inner else []), el("w:t", text))
 
 
 def docx(*paragraphs, **parts):
-    body = "".join(f"<w:p>{p}</w:p>" for p in paragraphs)
-    return archive({"[Content_Types].xml": "<Types/>", "word/document.xml": f"<w:document {W}><w:body>{body}</w:body></w:document>", "stored.bin": b"\x00\x01", **{k.replace("__", "/") + ".xml": v for k, v in parts.items()}})
+    body = el("w:body", *(el("w:p", p) for p in paragraphs))
+    return archive({"[Content_Types].xml": "<Types/>", "word/document.xml": el("w:document", body, xmlns=True), "stored.bin": b"\x00\x01", **{k.replace("__", "/") + ".xml": v for k, v in parts.items()}})
+
+
+def style(name, *inside, **more):
+    return el("w:style", *inside, w_type="paragraph", w_styleId=name, **more)
+
+
+def of_style(name, *more):
+    return el("w:pPr", el("w:pStyle", w_val=name), *more)
 
 
 def part(content, name="word/document.xml"):
@@ -40,18 +51,31 @@ def units(content, kind="docx"):
 
 
 MIXED = docx(run(LEGACY, "SutonnyMJ"), run("Source: Daily Star, 2023", "Times New Roman"), run("hello"), run(UNICODE, "Kalpurush"))
-STYLES = f'<w:styles {W}><w:docDefaults><w:rPrDefault><w:rPr><w:rFonts w:ascii="Base"/></w:rPr></w:rPrDefault></w:docDefaults><w:style w:type="paragraph" w:default="1" w:styleId="Normal"/><w:style w:type="paragraph" w:styleId="Body"><w:basedOn w:val="Root"/></w:style><w:style w:type="paragraph" w:styleId="Root"><w:rPr><w:rFonts w:ascii="SutonnyMJ"/></w:rPr></w:style><w:style w:styleId="A"><w:basedOn w:val="B"/></w:style><w:style w:styleId="B"><w:basedOn w:val="A"/></w:style></w:styles>'
-STYLED = docx(f'<w:pPr><w:pStyle w:val="Body"/></w:pPr>{run("K")}', run("x"), f'<w:pPr><w:pStyle w:val="A"/><w:rPr><w:rFonts w:hAnsi="Para"/></w:rPr></w:pPr>{run("y")}', f'<w:pPr><w:pStyle w:val="A"/></w:pPr>{run("z")}', word__styles=STYLES)
-THEME = '<a:theme xmlns:a="x"><a:fontScheme><a:majorFont><a:latin typeface="Major"/></a:majorFont><a:minorFont><a:latin typeface="SutonnyMJ"/><a:latin typeface="Second"/></a:minorFont></a:fontScheme></a:theme>'
-THEMED = docx('<w:r><w:rPr><w:rFonts w:asciiTheme="minorHAnsi"/></w:rPr><w:t>K</w:t></w:r>', '<w:r><w:rPr><w:rFonts w:asciiTheme="minorBidi" w:hAnsiTheme="majorHAnsi"/></w:rPr><w:t>L</w:t></w:r>', word__theme__theme1=THEME)
-SLIDE = '<p:sld xmlns:a="x" xmlns:p="y"><a:p>{}</a:p></p:sld>'
+STYLES = el(
+    "w:styles",
+    el("w:docDefaults", el("w:rPrDefault", fonts(ascii="Base"))),
+    style("Normal", w_default="1").replace("/>", "></w:style>"),
+    style("Body", el("w:basedOn", w_val="Root")),
+    style("Root", fonts(ascii="SutonnyMJ")),
+    style("A", el("w:basedOn", w_val="B")),
+    style("B", el("w:basedOn", w_val="A")),
+    xmlns=True,
+)
+STYLED = docx(of_style("Body") + run("K"), run("x"), of_style("A", fonts(hAnsi="Para")) + run("y"), of_style("A") + run("z"), word__styles=STYLES)
+FACES = [el("a:latin", typeface=f) for f in ("Major", "SutonnyMJ", "Second")]
+THEME = el("a:theme", el("a:fontScheme", el("a:majorFont", FACES[0]), el("a:minorFont", *FACES[1:])), xmlns=True)
+THEMED = docx(*(el("w:r", fonts(**f), el("w:t", t)) for t, f in (("K", {"asciiTheme": "minorHAnsi"}), ("L", {"asciiTheme": "minorBidi", "hAnsiTheme": "majorHAnsi"}))), word__theme__theme1=THEME)
+
+
+def slide(*runs):
+    return el("p:sld", el("a:p", *runs), xmlns=True)
 
 
 def slide_run(text, font=None):
-    return f'<a:r><a:rPr lang="bn">{f"<a:latin typeface={chr(34)}{font}{chr(34)}/>" if font else ""}</a:rPr><a:t>{text}</a:t></a:r>'
+    return el("a:r", el("a:rPr", *([el("a:latin", typeface=font)] if font else []), lang="bn"), el("a:t", text))
 
 
-PPTX = archive({"ppt/slides/slide2.xml": SLIDE.format(slide_run("K", "SutonnyMJ") + slide_run("Source: Daily Star", "Calibri")), "ppt/slides/slide1.xml": SLIDE.format(slide_run(UNICODE, "Kalpurush")), "ppt/slideLayouts/slideLayout1.xml": "<x/>"})
+PPTX = archive({"ppt/slides/slide2.xml": slide(slide_run("K", "SutonnyMJ"), slide_run("Source: Daily Star", "Calibri")), "ppt/slides/slide1.xml": slide(slide_run(UNICODE, "Kalpurush")), "ppt/slideLayouts/slideLayout1.xml": "<x/>"})
 
 
 def test_cascade():
@@ -72,7 +96,7 @@ def test_orphans_and_groups():
 
 
 def test_fonts_written():
-    content = docx(run("K", "SutonnyMJ"), "<w:r><w:t>L</w:t><w:t>M</w:t></w:r>", "<w:r><w:rPr/><w:t>N</w:t></w:r>", run("O", properties="<w:b/>"))
+    content = docx(run("K", "SutonnyMJ"), el("w:r", el("w:t", "L"), el("w:t", "M")), el("w:r", el("w:rPr"), el("w:t", "N")), run("O", properties=el("w:b")))
     entry = ooxml.parts(content, "docx")[0].entry
     done = part(ooxml.rewritten(content, "docx", {(entry, p, 0): (f"<{p}>", "Nikosh") for p in range(4)}))
     assert '<w:rFonts w:ascii="Nikosh" w:cs="Keep" w:hAnsi="Nikosh"/>' in done
@@ -83,7 +107,7 @@ def test_fonts_written():
 
 def test_slides():
     assert [(p.entry, u.slide, u.index, u.font) for p in ooxml.parts(PPTX, "pptx") for u in p.units] == [(0, 2, 0, "SutonnyMJ"), (0, 2, 1, "Calibri"), (1, 1, 0, "Kalpurush")]
-    empty = archive({"ppt/slides/slideX.xml": SLIDE.format('<a:r><a:rPr lang="bn"/><a:t>K</a:t></a:r>')})
+    empty = archive({"ppt/slides/slideX.xml": slide(slide_run("K"))})
     assert [u.slide for p in ooxml.parts(empty, "pptx") for u in p.units] == [0]
     done = part(ooxml.rewritten(empty, "pptx", {(0, 0, 0): ("ক", "Kalpurush")}), "ppt/slides/slideX.xml")
     assert '<a:rPr lang="bn"><a:latin typeface="Kalpurush"/></a:rPr><a:t>ক</a:t>' in done
@@ -110,7 +134,7 @@ def test_job(spark, tmp_path):
     code = job.run_job(spark, str(source), str(tmp_path / "out"), ConvertOptions(auto_match=True), str(audit))
     assert code == 1
     out = tmp_path / "out"
-    assert (out / "a.txt").read_text() == "আমি বাংলায় গান গাই।" or "আমি" in (out / "a.txt").read_text()
+    assert (out / "a.txt").read_text().startswith("আমি ")
     assert (out / "b.md").read_bytes() == b"hello"
     mixed = (out / "mixed.docx").read_bytes()
     assert "আমি" in part(mixed) and "SutonnyOMJ" in part(mixed) and "Source: Daily Star, 2023" in part(mixed) and "Times New Roman" in part(mixed)
