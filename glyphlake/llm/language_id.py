@@ -257,10 +257,10 @@ class Scorer:
 
 def sample(docs: DataFrame, each: int = SAMPLE) -> list[tuple[str, str]]:
     """(text, lang) of so many documents of each language, those with the least hashes of doc_id."""
-    labelled = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("label")).filter("id is not null and label is not null").distinct()
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
-    chosen = labelled.withColumn("rank", rank).filter(F.col("rank") <= each)
-    found = docs.select("doc_id", "lang", "text").filter("text is not null").join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("label")))
+    labelled = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("label")).filter("id is not null and label is not null")
+    rank = F.dense_rank().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))  # Spark prunes by it before the exchange
+    chosen = C.cut(labelled.withColumn("rank", rank).filter(F.col("rank") <= each).select("id", "label").distinct())
+    found = docs.select("doc_id", "lang", "text").filter("text is not null").join(C.small(chosen, chosen.count()), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("label")))
     return sorted({(r[0], r[1]) for r in found.select("text", "lang").collect()}, key=lambda x: (x[1], x[0]))
 
 
