@@ -96,32 +96,49 @@ def post_passes(text: Column) -> Column:
 
 
 @cache
-def _compiled():
+def _levels() -> tuple[list, list, dict]:
+    """Patterns of the longer sequences with their texts; the pairs of ASCII; the single glyphs."""
     levels = []
     for n in (4, 3, 2):
         level = tables.glyphs()[n]
         if level:
             levels.append((re.compile("|".join(map(re.escape, sorted(level)))), level))
-    steps = [(regex.compile(p), r) for p, r in (REORDER_LEADING, REORDER_CONJUNCT, REORDER_MARK)]
-    return levels, str.maketrans(tables.glyphs()[1]), steps, [(regex.compile(p), r) for p, r in (REPH, YA_PHALA)]
+    plain = [(k, tables.glyphs()[2][k]) for k in _ordered(tables.glyphs()[2]) if k.isascii()]
+    return levels, plain, str.maketrans(tables.glyphs()[1])
 
 
 def substitute_text(text: str) -> str:
-    levels, singles, _, _ = _compiled()
-    for pattern, level in levels:
-        text = pattern.sub(lambda m: level[m[0]], text)  # noqa: B023
+    levels, plain, singles = _levels()
+    if text.isascii():  # all longer sequences have another character
+        for key, by in plain:
+            if key in text:
+                text = text.replace(key, by)
+    else:
+        for pattern, level in levels:
+            text = pattern.sub(lambda m: level[m[0]], text)  # noqa: B023
     return text.translate(singles)
 
 
+_LEADING, _CONJUNCT, _MARK, _YA_PHALA = (re.compile(p[0]) for p in (REORDER_LEADING, REORDER_CONJUNCT, REORDER_MARK, YA_PHALA))
+_REPH = regex.compile(REPH[0])
+_LEADING_SIGNS, _MARKS = frozenset("\u09bf\u09c7\u09c8"), frozenset("\u0981\u0982\u0983")
+
+
 def word_to_unicode(word: str) -> str:
-    """A string without white space, from glyphs to Unicode."""
-    _, _, before, after = _compiled()
+    """A string without white space, from glyphs to Unicode. A step is left out where the word has nothing for it."""
     word = substitute_text(word)
-    for pattern, by in before:
-        word = pattern.sub(by, word)
-    word = word.replace(E_SIGN + AA_SIGN, O_SIGN).replace(E_SIGN + AU_TAIL, AU_SIGN)
-    for pattern, by in after:
-        word = pattern.sub(by, word)
+    if not _LEADING_SIGNS.isdisjoint(word):
+        word = _LEADING.sub(REORDER_LEADING[1], word)
+    halant = HALANT in word
+    if halant:
+        word = _CONJUNCT.sub(REORDER_CONJUNCT[1], word)
+    if not _MARKS.isdisjoint(word):
+        word = _MARK.sub(REORDER_MARK[1], word)
+    if E_SIGN in word:
+        word = word.replace(E_SIGN + AA_SIGN, O_SIGN).replace(E_SIGN + AU_TAIL, AU_SIGN)
+    if halant and RA + HALANT in word:
+        word = _REPH.sub(REPH[1], word)
+        word = _YA_PHALA.sub(YA_PHALA[1], word)
     return unicodedata.normalize("NFC", word)
 
 
