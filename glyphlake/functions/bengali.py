@@ -12,7 +12,7 @@ import re
 import unicodedata
 from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
@@ -167,24 +167,24 @@ def text_to_unicode(text: str) -> str:
     return "\n".join([" ".join(map(word, line.split(" "))) for line in text.split("\n")])
 
 
-def _mapped(f, series: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else f(x) for x in series], dtype=object)
+def _mapped(f, column: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else f(x) for x in column.to_pylist()], pa.string())
 
 
-@F.pandas_udf(StringType())
-def substitute_fast(text: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def substitute_fast(text: pa.Array) -> pa.Array:
     """As substitute()."""
     return _mapped(lambda x: substitute_text(x.replace("\u00ad", "")), text)
 
 
-@F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def nfc(text: pa.Array) -> pa.Array:
     """Unicode normalisation form C, which Spark has no function for."""
     return _mapped(lambda x: unicodedata.normalize("NFC", x), text)
 
 
-@F.pandas_udf(StringType())
-def transliterate(text: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def transliterate(text: pa.Array) -> pa.Array:
     """Glyphs to Unicode, all steps."""
     return _mapped(text_to_unicode, text)
 
