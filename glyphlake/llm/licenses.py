@@ -9,9 +9,15 @@ identifiers of adjacent sentences contain a rule's sequence, its licence is
 found. A match within a longer one doesn't count; of two of the same sentences,
 that of the rule that comes first does.
 
+The cutting also parts a list's numbers from what they number, and a sentence
+where a line begins with a capitalised word, a digit or a quotation mark. So
+numbers are known sentences, and each rule is there for all such line ends within
+its notice (at least LINE characters apart); n_sentences counts these parts. Of
+sentences that only name a licence, those that stand whole are known.
+
 All of it is column expressions; known sentences and rules are small fixed
-tables, sent to all tasks. Only texts with a word that every known sentence has
-one of (ANCHORS) are cut up.
+tables, sent to all tasks. Only texts with a word that every rule has one of
+(ANCHORS) are cut up.
 
 Defined results: null and blank texts have no licence, and no row. Rows of the
 same doc_id and text are one document. Sentences that are known but complete no
@@ -21,7 +27,9 @@ looked at.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import re
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -67,14 +75,38 @@ SENTENCES = {
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "apache-use": "you may not use this file except in compliance with the License",
+    "apache-obtain": "You may obtain a copy of the License at",
+    "apache-url": "http://www.apache.org/licenses/LICENSE-2.0",
+    "apache-obtain-url": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "apache-as-is": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
     "gpl-3-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     "gpl-2-later": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "gpl-2-version": "either version 2 of the License, or (at your option) any later version",
+    "gpl-3-version": "either version 3 of the License, or (at your option) any later version",
+    "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
     "gpl-no-warranty": "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
     "mpl-terms": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "unlicense": "This is free and unencumbered software released into the public domain",
 }
 
+_ENDORSE = "Neither the name of {} nor the names of {} contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_GPL = "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version"
+#: Further wordings of sentences.
+WORDINGS = {
+    "name:Apache-2.0": ['Licensed under the Apache License, Version 2.0 (the "License")', 'The ASF licenses this file to You under the Apache License, Version 2.0 (the "License")'],
+    "apache-url": ["https://www.apache.org/licenses/LICENSE-2.0"],
+    "apache-obtain-url": ["You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"],
+    "bsd-endorse": [_ENDORSE.format(who, whose) for who in ("the copyright holder", "the copyright holders", "the organization", "the <organization>", "the author", "the project", "the University") for whose in ("its", "their", "the")],
+    "gpl-2-whole": [_GPL.format(2), "This program is free software: " + _GPL.format(2)],
+    "gpl-3-later": [_GPL.format(3)],
+}
+#: Numbers of a list's entries, which are sentences or (as in "1)") begin one.
+LISTS = [("1", "2", "3"), ("a", "b", "c")]
+LISTED = ["bsd-source", "bsd-binary", "bsd-endorse"]
+ADVERTISE = "All advertising materials mentioning features or use of this software must display the following acknowledgement"
+#: Line ends within a sentence are at least that far apart.
+LINE = 40
+
 #: MD5 digests of further normalised sentences: of the MIT licence's text.
 DIGESTS = {
     "mit-grant": "c3f318864dcc773bb59cc9867687a69a",
@@ -83,24 +115,6 @@ DIGESTS = {
     "mit-liability": "521e4a3032ee9467c31d4749aefee01e",
 }
 
-#: In order; of rules that match the same sentences the first counts.
-RULES = [
-    ("MIT", ["mit-grant", "mit-notice", "mit-as-is", "mit-liability"]),
-    ("MIT", ["mit-grant", "mit-notice", "mit-as-is"]),
-    ("MIT", ["mit-grant", "mit-notice"]),
-    ("ISC", ["isc-grant"]),
-    ("BSD-3-Clause", ["bsd-conditions", "bsd-source", "bsd-binary", "bsd-endorse"]),
-    ("BSD-2-Clause", ["bsd-conditions", "bsd-source", "bsd-binary"]),
-    ("Apache-2.0", ["name:Apache-2.0", "apache-use", "apache-as-is"]),
-    ("Apache-2.0", ["name:Apache-2.0", "apache-use"]),
-    ("GPL-3.0-or-later", ["gpl-3-later", "gpl-no-warranty"]),
-    ("GPL-3.0-or-later", ["gpl-3-later"]),
-    ("MPL-2.0", ["mpl-terms"]),
-    ("Unlicense", ["unlicense"]),
-    *[(name, [f"name:{name}"]) for name in NAMES],
-]
-
-
 def normalised(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.translate(str.maketrans(_UPPER, _LOWER))).strip(" ")
 
@@ -111,9 +125,11 @@ def digest(sentence: str) -> str:
 
 def known() -> dict[str, str]:
     """Identifiers by the digest of the normalised sentence."""
-    return {digest(s): i for s, i in spelled().items()} | {d: i for i, d in DIGESTS.items()}
+    parts = {i for _, ids in RULES for i in ids if i.startswith("part:")}
+    return {digest(s): i for s, i in spelled().items()} | {digest(i.removeprefix("part:")): i for i in parts} | {d: i for i, d in DIGESTS.items()}
 
 
+@functools.cache
 def spelled() -> dict[str, str]:
     """Identifiers by normalised sentence, of those that are kept in words; a sentence that the text's cutting would cut is known by its longest part."""
     found: dict[str, str] = {}
@@ -123,10 +139,90 @@ def spelled() -> dict[str, str]:
                 found.setdefault(normalised(lead.format(spelling)), f"name:{name}")
         found.setdefault(normalised(f"SPDX-License-Identifier: {name}"), f"name:{name}")
     for identifier, sentence in SENTENCES.items():
-        found.setdefault(normalised(max(re.split(SPLIT, sentence), key=len)), identifier)
+        found.setdefault(normalised(heads(sentence)), identifier)
+    for identifier, sentences in WORDINGS.items():
+        for sentence in sentences:
+            found.setdefault(normalised(heads(sentence)), identifier)
+    for of in LISTS:
+        for number, identifier in zip(of, LISTED):
+            for sentence in [SENTENCES[identifier], *WORDINGS.get(identifier, [])]:
+                found.setdefault(normalised(f"{number}) {heads(sentence)}"), identifier)
     return found
 
 
+def heads(sentence: str) -> str:
+    """The longest part of a sentence that the text's cutting would cut."""
+    return max(re.split(SPLIT, sentence), key=len)
+
+
+def in_lines(sentence: str) -> list[list[str]]:
+    """The parts of a sentence, for each choice of line ends that the text's cutting doesn't join."""
+    words = sentence.split()
+    starts = [sum(len(w) + 1 for w in words[:i]) for i in range(len(words))]
+    places = [i for i in range(1, len(words)) if words[i - 1][-1] == ":" or not re.match("[a-z(]|[A-Z][A-Z]", words[i])]
+    chosen: list[list[int]] = [[]]
+    for i in places:
+        chosen += [c + [i] for c in chosen if not c or starts[i] - starts[c[-1]] >= LINE]
+    return [[normalised(" ".join(words[a:b])) for a, b in zip([0, *c], [*c, len(words)])] for c in chosen]
+
+
+def part(text: str) -> str:
+    """The identifier of a normalised sentence or part of one."""
+    return spelled().get(text, f"part:{text}")
+
+
+#: Sentences that say no more about which licence it is; those before them are a rule too.
+CLOSING = {"apache-as-is", "gpl-hope", "gpl-no-warranty"}
+
+
+def wrapped(ids: list[str]) -> list[list[str]]:
+    """A sequence of sentences, and the same with line ends within them (not within closing ones)."""
+    ways = []
+    for i in ids:
+        texts = [] if i in CLOSING else [*([SENTENCES[i]] if i in SENTENCES else []), *WORDINGS.get(i, [])]
+        split = [[part(t) for t in parts] for text in texts for parts in in_lines(heads(text)) if len(parts) > 1]
+        ways.append([[i], *(list(x) for x in dict.fromkeys(map(tuple, split)))])
+    return [sum(way, []) for way in itertools.product(*ways)]
+
+
+def _bsd(one: str, two: str, three: str) -> list[tuple[str, list[str]]]:
+    both = ["bsd-conditions", part(one), "bsd-source", part(two), "bsd-binary"]
+    third = [*both, part(three)]
+    return [("BSD-3-Clause", [*third, "bsd-endorse"]), ("BSD-4-Clause", [*third, part(normalised(ADVERTISE))]), ("LicenseRef-BSD-further-clauses", third), ("BSD-2-Clause", both)]
+
+
+#: Notices as they stand whole.
+NOTICES = [
+    ("MIT", ["mit-grant", "mit-notice", "mit-as-is", "mit-liability"]),
+    ("MIT", ["mit-grant", "mit-notice", "mit-as-is"]),
+    ("MIT", ["mit-grant", "mit-notice"]),
+    ("ISC", ["isc-grant"]),
+    ("BSD-3-Clause", ["bsd-conditions", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("BSD-4-Clause", ["bsd-conditions", "bsd-source", "bsd-binary", part(normalised(ADVERTISE))]),
+    ("BSD-2-Clause", ["bsd-conditions", "bsd-source", "bsd-binary"]),
+    *(rule for of in LISTS for rule in _bsd(*of)),
+    ("Apache-2.0", ["name:Apache-2.0", "apache-use", "apache-obtain", "apache-url", "apache-as-is"]),
+    ("Apache-2.0", ["name:Apache-2.0", "apache-use", "apache-obtain-url", "apache-as-is"]),
+    ("Apache-2.0", ["name:Apache-2.0", "apache-use", "apache-obtain", "apache-url"]),
+    ("Apache-2.0", ["name:Apache-2.0", "apache-use", "apache-as-is"]),
+    ("Apache-2.0", ["name:Apache-2.0", "apache-use"]),
+    ("GPL-3.0-or-later", ["gpl-3-later", "gpl-hope", "gpl-no-warranty"]),
+    ("GPL-3.0-or-later", ["gpl-3-later", "gpl-no-warranty"]),
+    ("GPL-3.0-or-later", ["gpl-3-later"]),
+    ("GPL-3.0-or-later", ["gpl-2-later", "gpl-3-version", "gpl-hope", "gpl-no-warranty"]),
+    ("GPL-3.0-or-later", ["gpl-2-later", "gpl-3-version"]),
+    ("GPL-2.0-or-later", ["gpl-2-later", "gpl-2-version", "gpl-hope", "gpl-no-warranty"]),
+    ("GPL-2.0-or-later", ["gpl-2-later", "gpl-2-version"]),
+    ("GPL-2.0-or-later", ["gpl-2-whole", "gpl-hope", "gpl-no-warranty"]),
+    ("GPL-2.0-or-later", ["gpl-2-whole"]),
+    ("MPL-2.0", ["mpl-terms"]),
+    ("Unlicense", ["unlicense"]),
+    *[(name, [f"name:{name}"]) for name in NAMES],
+]
+#: In order; of rules that match the same sentences the first counts.
+RULES = [(name, way) for name, ids in NOTICES for way in wrapped(ids)]
+
+
 def licences(docs: DataFrame) -> DataFrame:
     """(doc_id, licence, first_sentence, n_sentences)."""
     spark = docs.sparkSession
@@ -140,7 +236,8 @@ def licences(docs: DataFrame) -> DataFrame:
     island = met.withColumn("island", F.col("place") - F.row_number().over(doc)).groupBy("doc_id", "uid", "island").agg(F.sort_array(F.collect_list(F.struct("place", "id"))).alias("run"))
     island = island.withColumn("ids", F.col("run.id"))
     starts = F.filter(F.sequence(F.lit(0), F.size("ids") - F.size("sequence")), lambda i: F.slice("ids", i + 1, F.size("sequence")) == F.col("sequence"))
-    fits = island.join(rules, F.array_contains("ids", F.col("sequence")[0]) & (F.size("ids") >= F.size("sequence"))).withColumn("start", F.explode(starts))
+    headed = island.withColumn("head", F.explode(F.array_distinct("ids")))
+    fits = headed.join(rules, (headed["head"] == rules["sequence"][0]) & (F.size("ids") >= F.size("sequence"))).withColumn("start", F.explode(starts))
     fits = fits.withColumn("end", F.col("start") + F.size("sequence"))
     order = Window.partitionBy("doc_id", "uid", "island").orderBy("start", F.desc("end"), "rule").rowsBetween(Window.unboundedPreceding, -1)
     within = F.coalesce(F.max("end").over(order), F.lit(-1)) >= F.col("end")

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from conftest import DATA, differences
 from pyspark.sql import functions as F
@@ -200,6 +201,80 @@ def test_licences(spark):
     assert S.licences(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+ASF = """Licensed to the Apache Software Foundation (ASF) under one or more
+contributor license agreements.  See the NOTICE file distributed with
+this work for additional information regarding copyright ownership.
+The ASF licenses this file to You under the Apache License, Version 2.0
+(the "License"); you may not use this file except in compliance with
+the License.  You may obtain a copy of the License at
+
+   http://www.apache.org/licenses/LICENSE-2.0"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+"""
+BSD_3 = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+"""
+BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"\nAND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.'
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+GPL_2 = """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+
+def test_standard_notices(spark, tmp_path):
+    rewrapped = GPL_2.replace("\n", " ").replace("GNU General", "GNU\nGeneral").replace("the Free Software", "the Free\nSoftware").replace("of the License", "of the\nLicense")
+    notices = [
+        ("Apache-2.0", APACHE), ("Apache-2.0", ASF), ("BSD-2-Clause", BSD + BSD_END), ("BSD-3-Clause", BSD + BSD_3 + BSD_END), ("BSD-3-Clause", (BSD + BSD_3 + BSD_END).replace(". R", ") R").replace(". N", ") N")),
+        ("LicenseRef-BSD-further-clauses", BSD + "3. Whatever else there is.\n" + BSD_END), ("MPL-2.0", MPL), ("GPL-2.0-or-later", GPL_2), ("GPL-2.0-or-later", rewrapped), ("GPL-3.0-or-later", GPL_2.replace("version 2", "version 3")),
+        ("Apache-2.0", APACHE.replace("Apache License", "Apache\nLicense").replace("compliance with the License", "compliance with the\nLicense")),
+    ]
+    for mark in ("", "# ", " * ", "// "):
+        rows = [(i, "Copyright 2020 Somebody\n\n" + "".join(f"{mark}{line}\n" for line in text.split("\n"))) for i, (_, text) in enumerate(notices)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted((r.doc_id, r.licence) for r in S.licences(docs).collect()) == [(i, name) for i, (name, _) in enumerate(notices)]
+        assert of_sql(spark, docs, tmp_path) == ({}, {})
+
+
+def of_sql(spark, docs, folder):
+    """Differences from the SQL over given documents."""
+    folder = folder / str(len(list(folder.iterdir())))
+    folder.mkdir()
+    for name in "region nation customer supplier part orders lineitem events embeddings pages benchmark labels conversations".split():
+        (folder / f"{name}.parquet").symlink_to(f"{DATA}/sf0.001/{name}.parquet")
+    pq.write_table(docs.toArrow(), folder / "documents.parquet")
+    return differences(Q.QUERIES["op8_license_scan"], Q.ORACLE["op8_license_scan"], spark, folder)
+
+
 def test_digests(spark, monkeypatch):
     """A licence that is known by digests only."""
     parts = ["You may copy this permit", "It comes without warranty"]
