@@ -40,7 +40,7 @@ SPLIT = "[.!?;]+[ \\t\\n\\x0B\\f\\r]+|\\n+"
 #: Marks of comments at the beginning of lines go, and a line end within a sentence is a space.
 COMMENT = "\\n[ \\t]*[*#/]+[ \\t]*"
 WRAP = "([^.!?;: \\t\\n\\x0B\\f\\r])[ \\t\\r]*\\n[ \\t]*([a-z(]|[A-Z][A-Z])"
-ANCHORS = "licen[cs]|permi|warrant|redistribut|copyright|public domain|liable|cc0|cc[^a-z0-9]+by"
+ANCHORS = "licen[cs]|permi|warrant|redistribut|copyright|public[^a-z0-9]+domain|liable|cc0|cc[^a-z0-9]+by"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 NAMES = {

@@ -275,6 +275,13 @@ def of_sql(spark, docs, folder):
     return differences(Q.QUERIES["op8_license_scan"], Q.ORACLE["op8_license_scan"], spark, folder)
 
 
+def test_anchor_in_two_lines(spark, tmp_path):
+    sentence = "This is free and unencumbered software released into the public{}domain."
+    docs = spark.createDataFrame([(i, sentence.format(x)) for i, x in enumerate((" ", "\n", "  ", "\n# ", "\n * "))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.licence) for r in S.licences(docs).collect()) == [(i, "Unlicense") for i in range(5)]
+    assert of_sql(spark, docs, tmp_path) == ({}, {})
+
+
 def test_digests(spark, monkeypatch):
     """A licence that is known by digests only."""
     parts = ["You may copy this permit", "It comes without warranty"]
