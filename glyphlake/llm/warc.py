@@ -15,7 +15,9 @@ the numbers, or no last one, where the record says that it is segmented);
 ``length mismatch`` (the total length is another); ``bad chunk`` (the chunked
 framing breaks off or isn't such). The body is then null, for ``bad chunk`` what
 was decoded before. Segments that are there twice count once, the first by their
-content. A record that isn't segmented is its own origin. Content that is null
+content. A record that isn't segmented is its own origin; several of the same
+identifier are as many records, of which exact repeats count once. A continuation
+without a number is a ``missing segment`` of its own. Content that is null
 is empty. Segments of no identifier are left alone: each is its own record, with
 a null identifier. Extra columns are not looked at. Without rows there are no rows.
 """
@@ -119,7 +121,7 @@ def http(content: bytes) -> tuple[int | None, str | None, bytes, bool]:
 
 
 def _whole(rows: list[dict]) -> dict:
-    """The record of an origin's segments, in their order."""
+    """The record of an origin's segments, in their order, or of a record without a number."""
     parts, last = [], None
     for r in rows:
         if r["segment"] != last or last is None:
@@ -128,6 +130,8 @@ def _whole(rows: list[dict]) -> dict:
     first = parts[0]
     out = {"record_id": first["origin"], "target_uri": first["target_uri"], "n_segments": len(parts), "http_status": None, "content_type": None, "body": None, "status": "ok"}
     total = next((r["total_length"] for r in parts if r["total_length"] is not None), None)
+    if first["segment"] is None and first["continues"]:
+        return out | {"status": "missing segment"}
     if first["segment"] is not None and ([r["segment"] for r in parts] != list(range(1, len(parts) + 1)) or total is None):
         return out | {"status": "missing segment"}
     content = b"".join(r["content"] or b"" for r in parts)
@@ -137,16 +141,26 @@ def _whole(rows: list[dict]) -> dict:
     return out | {"http_status": code, "content_type": kind, "body": body, "status": "ok" if sound else "bad chunk"}
 
 
+def _same(r: dict, last: dict) -> bool:
+    """Whether a row goes with the one before it: as a segment of its origin, or as a repeat."""
+    if r["origin"] is None or r["origin"] != last["origin"]:
+        return False
+    if r["segment"] is None or last["segment"] is None:
+        return r == last
+    return True
+
+
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[dict] = []
     for batch in batches:
         done, size = [], 0
         for r in batch.to_pylist():
-            if held and (r["origin"] is None or r["origin"] != held[0]["origin"]):
+            if held and not _same(r, held[-1]):
                 done.append(_whole(held))
                 size += len(done[-1]["body"] or b"")
                 held = []
-            held.append(r)
+            if not held or r["segment"] is not None:
+                held.append(r)
             if size > 16 << 20:
                 yield pa.RecordBatch.from_pylist(done, schema=_WHOLE)
                 done, size = [], 0
@@ -158,8 +172,8 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def reassembled(records: DataFrame) -> DataFrame:
     """WHOLE rows of RECORDS rows."""
     origin = F.coalesce("origin_id", "record_id")
-    rows = records.select(origin.alias("origin"), "target_uri", "segment", "total_length", "content")
-    return rows.repartition("origin").sortWithinPartitions("origin", "segment", "content").mapInArrow(_join, WHOLE)
+    rows = records.select(origin.alias("origin"), "target_uri", "segment", "total_length", F.coalesce("content", F.lit(bytearray())).alias("content"), F.col("origin_id").isNotNull().alias("continues"))
+    return rows.repartition("origin").sortWithinPartitions("origin", "segment", "content", "target_uri", "total_length", "continues").mapInArrow(_join, WHOLE)
 
 
 def _records_of(column: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -180,7 +194,7 @@ def records(files: DataFrame, column: str = "content") -> DataFrame:
 def written(pages: DataFrame, segment: int = SEGMENT, chunk: int = CHUNK) -> DataFrame:
     """RECORDS of pages (page_id, url, html), each written as segments in chunked coding and parsed from these bytes.
 
-    A null url or html is empty. Pages of a null page_id are told apart by what they hold.
+    A null url or html is empty. Pages of the same or no page_id are told apart by what they hold.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +203,8 @@ def written(pages: DataFrame, segment: int = SEGMENT, chunk: int = CHUNK) -> Dat
                 rows = []
                 for r in batch.slice(at, 512).to_pylist():
                     html = (r["html"] or "").encode()
-                    name = f"none-{xxhash.xxh3_128_hexdigest((r['url'] or '').encode() + html)}" if r["page_id"] is None else r["page_id"]
+                    held = xxhash.xxh3_128_hexdigest((r["url"] or "").encode() + b"\0" + html)
+                    name = f"{'none' if r['page_id'] is None else r['page_id']}-{held}"
                     rows += parse(segmented(f"<urn:page:{name}>", r["url"] or "", html, segment, chunk))
                 yield pa.RecordBatch.from_pylist(rows, schema=_RECORDS)
 
@@ -199,5 +214,5 @@ def written(pages: DataFrame, segment: int = SEGMENT, chunk: int = CHUNK) -> Dat
 def round_trip(pages: DataFrame) -> DataFrame:
     """(page_id, url, html, n_segments, status) of pages that went through records and back."""
     whole = reassembled(written(pages))
-    page = F.regexp_extract("record_id", "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
+    page = F.regexp_extract("record_id", "^<urn:page:(-?[0-9]+)-[0-9a-f]+>$", 1).try_cast("long")
     return whole.select(page.alias("page_id"), F.col("target_uri").alias("url"), F.col("body").cast("string").alias("html"), "n_segments", "http_status", "status")

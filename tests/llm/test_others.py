@@ -171,6 +171,20 @@ def test_page_cases(spark):
     assert sorted(((r.page_id, r.url, r.html, r.status) for r in found.collect()), key=repr) == sorted([(1, "u", "h", "ok"), (2, "", "", "ok"), (None, "v", "x", "ok"), (None, "w", "", "ok"), (3, "z", "é" * 100_000, "ok")], key=repr)
 
 
+def test_records_without_numbers(spark):
+    head = bytearray(b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n")
+    rows = [
+        ("a", "response", "u", None, None, None, bytearray(b"x")), ("a", "response", "u", None, None, None, bytearray(b"x")), ("a", "response", "u", None, None, None, bytearray(b"y")), ("a", "response", "v", None, None, None, bytearray(b"x")),
+        ("b", "response", "u", None, None, None, head + b"1\r\np\r\n0\r\n\r\n"), ("b", "response", "u", None, None, None, head + b"1\r\nq\r\n0\r\n\r\n"),
+        ("c", "response", "u", None, None, None, None), ("c", "response", "u", None, None, None, bytearray()), ("c", "response", "u", 1, None, None, bytearray(b"r")), ("c2", "continuation", "u", 2, "c", 2, bytearray(b"s")),
+        ("d2", "continuation", "u", None, "d", None, bytearray(b"t")),
+    ]
+    found = sorted((r.record_id, r.target_uri, r.n_segments, r.status, None if r.body is None else bytes(r.body)) for r in W.reassembled(spark.createDataFrame(rows, W.RECORDS)).collect())
+    assert found == [("a", "u", 1, "ok", b"x"), ("a", "u", 1, "ok", b"y"), ("a", "v", 1, "ok", b"x"), ("b", "u", 1, "ok", b"p"), ("b", "u", 1, "ok", b"q"), ("c", "u", 1, "ok", b""), ("c", "u", 2, "ok", b"rs"), ("d", "u", 1, "missing segment", None)]
+    pages = spark.createDataFrame([(1, "u", "h"), (1, "u", "h"), (1, "u", "other"), (1, "u", "x" * 1000), (1, "u", "y" * 1000)], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.html, r.n_segments) for r in W.round_trip(pages).collect()) == [(1, "h", 1), (1, "other", 1), (1, "x" * 1000, 2), (1, "y" * 1000, 2)]
+
+
 def test_warc_files(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(W.segmented("<urn:1>", "http://a/", b"one" * 50, 60, 20) + W.segmented("<urn:2>", "http://b/", b"two", 500, 20) + b"WARC/1.1\r\ncut")
     files = spark.read.format("binaryFile").load(str(tmp_path))
