@@ -13,8 +13,10 @@ holds one record at a time.
 Defined results, in `status`: ``ok``; ``missing segment`` (no first one, a gap in
 the numbers, or no last one, where the record says that it is segmented);
 ``length mismatch`` (the total length is another); ``bad chunk`` (the chunked
-framing breaks off or isn't such). The body is then null, for ``bad chunk`` what
-was decoded before. Segments that are there twice count once, the first by their
+framing breaks off or isn't such); ``other coding`` (a transfer coding besides
+chunked is left on the body). The body is then null, for ``bad chunk`` what
+was decoded before, for ``other coding`` what is left after the chunked framing,
+if that was the last coding. Segments that are there twice count once, the first by their
 content. A record that isn't segmented is its own origin; several of the same
 identifier are as many records, of which exact repeats count once. A continuation
 without a number is a ``missing segment`` of its own. Content that is null
@@ -105,19 +107,27 @@ def dechunk(data: bytes) -> tuple[bytes, bool]:
         at = begin + n + 2
 
 
-def http(content: bytes) -> tuple[int | None, str | None, bytes, bool]:
-    """Status, content type, body and whether it is sound. Content that isn't a response is a body as it is."""
+def codings(lines: list[bytes]) -> list[bytes]:
+    """The transfer codings of a head's lines, in the order they were applied; a header given twice is one list."""
+    values = [v for k, _, v in (line.partition(b":") for line in lines) if k.strip().lower() == b"transfer-encoding"]
+    names = [x.split(b";")[0].strip().lower() for x in b",".join(values).split(b",")]
+    return [x for x in names if x not in (b"", b"identity")]
+
+
+def http(content: bytes) -> tuple[int | None, str | None, bytes, str]:
+    """Status, content type, body and its status. Content that isn't a response is a body as it is."""
     if not content.startswith(b"HTTP/"):
-        return None, None, content, True
+        return None, None, content, "ok"
     head, _, body = content.partition(b"\r\n\r\n")
     first, *lines = head.split(b"\r\n")
     fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(b":") for line in lines)}
     code = first.split(b" ")[1:2]
-    sound = True
-    if fields.get(b"transfer-encoding", b"").lower() == b"chunked":
+    sound, coded = True, codings(lines)
+    if coded[-1:] == [b"chunked"]:
         body, sound = dechunk(body)
+        coded.pop()
     kind = fields.get(b"content-type")
-    return int(code[0]) if code and code[0].isdigit() else None, kind.decode("latin-1") if kind is not None else None, body, sound
+    return int(code[0]) if code and code[0].isdigit() else None, kind.decode("latin-1") if kind is not None else None, body, "bad chunk" if not sound else "other coding" if coded else "ok"
 
 
 def _whole(rows: list[dict]) -> dict:
@@ -137,8 +147,8 @@ def _whole(rows: list[dict]) -> dict:
     content = b"".join(r["content"] or b"" for r in parts)
     if total is not None and total != len(content):
         return out | {"status": "length mismatch"}
-    code, kind, body, sound = http(content)
-    return out | {"http_status": code, "content_type": kind, "body": body, "status": "ok" if sound else "bad chunk"}
+    code, kind, body, status = http(content)
+    return out | {"http_status": code, "content_type": kind, "body": body, "status": status}
 
 
 def _same(r: dict, last: dict) -> bool:

@@ -185,6 +185,15 @@ def test_records_without_numbers(spark):
     assert sorted((r.page_id, r.html, r.n_segments) for r in W.round_trip(pages).collect()) == [(1, "h", 1), (1, "other", 1), (1, "x" * 1000, 2), (1, "y" * 1000, 2)]
 
 
+def test_transfer_codings():
+    framed = b"3\r\nabc\r\n0\r\n\r\n"
+    of = lambda *values: W.http(b"HTTP/1.1 200 OK\r\n" + b"".join(b"Transfer-Encoding: " + v + b"\r\n" for v in values) + b"\r\n" + framed)[2:]
+    assert of(b"Chunked") == of(b"identity, chunked") == of(b"identity", b"chunked") == of(b"chunked", b"identity") == (b"abc", "ok")
+    assert of(b"gzip, chunked") == of(b"gzip", b"chunked") == (b"abc", "other coding")
+    assert of(b"gzip") == of(b"chunked, gzip") == (framed, "other coding")
+    assert of() == (framed, "ok")
+
+
 def test_warc_files(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(W.segmented("<urn:1>", "http://a/", b"one" * 50, 60, 20) + W.segmented("<urn:2>", "http://b/", b"two", 500, 20) + b"WARC/1.1\r\ncut")
     files = spark.read.format("binaryFile").load(str(tmp_path))
