@@ -52,6 +52,21 @@ SELECT doc AS doc_a, x AS doc_b, n AS overlap, 1.0::DOUBLE AS jaccard FROM (SELE
 """
 
 
+def op6_ngram_jaccard_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of documents whose sets of word 3-grams are similar by a half at least, copies not collapsed."""
+    return jaccard_join.all_pairs(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op6_ngram_jaccard_join_all"] = op6_ngram_jaccard_join_all
+ORACLE["op6_ngram_jaccard_join_all"] = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i : i + 2], ' ')) END) AS g FROM w WHERE len(ws) > 0),
+u AS (SELECT doc_id, len(g) AS n, unnest(g) AS t FROM s),
+p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, a.n AS na, b.n AS nb, count(*) AS overlap FROM u a JOIN u b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT doc_a, doc_b, overlap, overlap / (na + nb - overlap)::DOUBLE AS jaccard FROM p WHERE overlap / (na + nb - overlap)::DOUBLE >= 0.5
+"""
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The affected documents' longest verbatim matches with benchmark items, and where they are."""
     return decontaminate.locations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -1,5 +1,6 @@
 """Operators 6 and 7: against brute force, on hard cases, and the queries against their SQL."""
 
+import itertools
 import random
 
 import pytest
@@ -155,6 +156,20 @@ def test_pairs_hard(spark):
     assert J.pairs(frame(spark, [])).count() == 0
 
 
+def test_all_pairs(spark):
+    originals = texts(20, seed=3, words=12, vocabulary=2)
+    rows = [(None if i == 41 else i, t) for i, t in enumerate(originals * 2 + originals[:3] + ["", None])]
+    sets = [(i, frozenset(tuple(t.split()[k : k + 2]) for k in range(len(t.split()) - 1)) or frozenset([tuple(t.split())])) for i, t in rows if t and t.split()]
+    wanted = []
+    for (a, x), (b, y) in itertools.combinations(sorted(sets, key=lambda r: (r[0] is not None, r[0] or 0)), 2):
+        if len(x & y) / len(x | y) >= 0.4:
+            wanted.append((a, b, len(x & y), round(len(x & y) / len(x | y), 9)))
+    found = [(r.doc_a, r.doc_b, r.overlap, round(r.jaccard, 9)) for r in J.all_pairs(frame(spark, rows), 2, 0.4).collect()]
+    assert sorted(found, key=repr) == sorted(wanted, key=repr)
+    assert len(found) > J.pairs(frame(spark, rows), 2, 0.4).count()
+    assert differences(Q.QUERIES["op6_ngram_jaccard_join_all"], Q.ORACLE["op6_ngram_jaccard_join_all"], spark, f"{DATA}/sf0.001") == ({}, {})
+
+
 def test_tiles(spark, monkeypatch):
     monkeypatch.setattr(J, "TILE", 3)
     rows = list(enumerate(texts(40, seed=9, words=10, vocabulary=2)))
