@@ -140,7 +140,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     plain = url_filter.bare(F.col("url"))
     entries = pages.filter("page_id % 10 = 0").select(plain.alias("entry")).union(pages.filter("page_id % 97 = 0").select(url_filter.host(plain).alias("entry")))
-    return url_filter.filtered(pages, entries)
+    return url_filter.filtered(pages, entries, plain=True)
 
 
 QUERIES["op4_url_filter"] = op4_url_filter

@@ -1,6 +1,7 @@
 """Operator 4: URLs held against a list, by a sorted array of digests.
 
-Entries are a URL without its scheme, a host, or a parent domain. The list is
+Entries are a URL, a host, or a parent domain, brought to the form that URLs are
+held in (see bare), in which they are also given back. The list is
 kept as segments, ranges of 64-bit xxHash digests: of each, a file of ascending
 digests, one of the strings' places and one of the strings, in the folder that
 the cluster shares. Tasks map these files into memory (the workers of a machine
@@ -104,10 +105,11 @@ class Segment:
         return out
 
 
-def build(entries: DataFrame, per_segment: int = SEGMENT_ENTRIES) -> tuple[str, DataFrame, int]:
-    """Writes the list of a column `entry`: its folder, its manifest (segment, entries) and the number of ranges."""
+def build(entries: DataFrame, per_segment: int = SEGMENT_ENTRIES, plain: bool = False) -> tuple[str, DataFrame, int]:
+    """Writes the list of a column `entry` (plain: in bare form already): its folder, its manifest (segment, entries) and the number of ranges."""
     spark = entries.sparkSession
-    clean = C.cut(entries.select("entry").filter("entry is not null and entry <> ''").distinct())
+    entry = F.col("entry") if plain else bare(F.col("entry"))
+    clean = C.cut(entries.select(entry.alias("entry")).filter("entry is not null and entry <> ''").distinct())
     n = max(1, -(-clean.count() // per_segment))
     folder = _folder(C.shared_dir(spark))
     keyed = clean.withColumn("digest", F.xxhash64("entry")).withColumn("segment", segment_of(n))
@@ -139,11 +141,11 @@ def _probe(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return probe
 
 
-def verdicts(urls: DataFrame, entries: DataFrame, per_segment: int = SEGMENT_ENTRIES) -> DataFrame:
+def verdicts(urls: DataFrame, entries: DataFrame, per_segment: int = SEGMENT_ENTRIES, plain: bool = False) -> DataFrame:
     """(url, entry): the entry that blocks each distinct URL that is blocked."""
-    folder, _, n = build(entries, per_segment)
-    plain = urls.select("url").filter("url is not null").distinct()
-    probes = plain.select("url", F.explode(candidates(bare(F.col("url")))).alias("entry")).filter("entry <> ''").withColumn("digest", F.xxhash64("entry")).withColumn("segment", segment_of(n))
+    folder, _, n = build(entries, per_segment, plain)
+    distinct = urls.select("url").filter("url is not null").distinct()
+    probes = distinct.select("url", F.explode(candidates(bare(F.col("url")))).alias("entry")).filter("entry <> ''").withColumn("digest", F.xxhash64("entry")).withColumn("segment", segment_of(n))
     if n > 1:
         probes = probes.repartition("segment", F.pmod("digest", F.lit(16)))
     hits = probes.mapInArrow(_probe(folder), "url string, entry string")
@@ -151,9 +153,9 @@ def verdicts(urls: DataFrame, entries: DataFrame, per_segment: int = SEGMENT_ENT
     return hits.groupBy("url").agg(best.getField("entry").alias("entry"))
 
 
-def filtered(pages: DataFrame, entries: DataFrame, per_segment: int = SEGMENT_ENTRIES) -> DataFrame:
+def filtered(pages: DataFrame, entries: DataFrame, per_segment: int = SEGMENT_ENTRIES, plain: bool = False) -> DataFrame:
     """pages with `blocked` and `entry` (null where not blocked)."""
     key, entry = C.fresh(pages, "__url"), C.fresh(pages, "__entry")
-    hits = verdicts(pages, entries, per_segment).select(F.col("url").alias(key), F.col("entry").alias(entry))
+    hits = verdicts(pages, entries, per_segment, plain).select(F.col("url").alias(key), F.col("entry").alias(entry))
     joined = pages.join(hits, pages["url"] == hits[key], "left")
     return joined.select(*[pages[c] for c in pages.columns if c not in ("blocked", "entry")], F.col(entry).isNotNull().alias("blocked"), F.col(entry).alias("entry"))

@@ -167,6 +167,13 @@ def test_urls(spark):
     assert U.filtered(pages.limit(0), listed).count() == 0
 
 
+def test_entries_in_any_form(spark):
+    listed = spark.createDataFrame([(e,) for e in ("www.d.com", "Example.com", "http://a.com/", "b.org/x/", "https://", "HTTPS://www.F.net:443/P/")], "entry string")
+    cases = {"http://d.com/1": "d.com", "http://example.com": "example.com", "https://m.a.com/": "a.com", "http://b.org/x": "b.org/x", "http://f.net/p": "f.net/p", "http://g.com": None}
+    pages = spark.createDataFrame(list(enumerate(cases)), "page_id long, url string")
+    assert {r.url: r.entry for r in U.filtered(pages, listed).collect()} == cases
+
+
 def test_collisions_are_confirmed(tmp_path):
     group = pa.table({"segment": pa.array([0, 0, 0], pa.int32()), "digest": pa.array([5, 5, -3], pa.int64()), "entry": ["same", "other", "high"]})
     U._segments(str(tmp_path))(group)
