@@ -5,9 +5,10 @@ from __future__ import annotations
 import ctypes
 import functools
 import math
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,20 +16,32 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 U64 = np.uint64
-#: Rows of a side (of a few numbers each) up to which it is broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a side up to which it is broadcast; beyond, the join shuffles.
+BROADCAST_BYTES = 32 << 20
+#: Bytes that go to a Python worker in a batch, where the session has no bound of its own.
+BATCH_BYTES = 2 << 20
 _CUTS: list[str] = []
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def steady(spark: SparkSession) -> None:
+    """Bounds the batches that Python workers get, by bytes; a bound that the session has stays as it is."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's name within the one that the cluster shares.
 
-    spark.checkpoint.dir names that folder. Only where the session has none, as in tests, a temporary one is set.
+    spark.checkpoint.dir names that folder. Where the session has none, a temporary
+    one is set, but only if all is done on this machine, as in tests.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="glyphlake-")
         context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/glyphlake-{uuid.uuid4().hex}"
@@ -67,26 +80,31 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def bytes_of(df: DataFrame) -> int:
-    """What Catalyst knows of its size, without a job."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(size, 1 << 60)
+def text_bytes(docs: DataFrame) -> int:
+    """Of all texts, decoded: one look at the column. Sizes of files or estimates of a plan say little about it."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
 
+def bytes_of(table: DataFrame) -> int:
+    """Of the files of a shared table."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
-def buckets(df: DataFrame, each: int = 8 << 20, least: int | None = None) -> int:
-    """How many buckets to spread work over df's text on; least: spark.sql.shuffle.partitions if not given."""
-    conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = bytes_of(df)
-    return max(conf if least is None else least, math.ceil(size / each)) if size < 1 << 50 else conf
 
+def buckets(size: int, each: int) -> int:
+    """How many buckets to spread so many bytes on."""
+    return max(1, math.ceil(size / each))
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df to be broadcast, if it has few rows."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+def small(df: DataFrame, size: int) -> DataFrame:
+    """df to be broadcast, if it has few bytes."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def identity(docs: DataFrame) -> "F.Column":
-    """A document's key: rows with the same doc_id and text are the same document."""
+    """A document's hash: rows with the same doc_id and text are the same document.
+
+    Where documents are dropped or edited, they are told apart by doc_id too, so a collision matters only between documents of the same (or no) doc_id.
+    """
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.col("text"), F.lit("\x00null")))
 
 
@@ -96,20 +114,25 @@ def _libc():
     return libc if hasattr(libc, "malloc_trim") else None
 
 
-def lean(f: Callable) -> Callable:
-    """f, after which a worker gives back the memory that it no longer uses; workers live on after their tasks."""
+def release() -> None:
+    """Gives back the memory that a worker no longer uses; workers live on after their tasks."""
+    from . import words
+
+    words.forget()
+    pa.default_memory_pool().release_unused()
+    if _libc():
+        _libc().malloc_trim(0)
 
-    def release() -> None:
-        pa.default_memory_pool().release_unused()
-        if _libc():
-            _libc().malloc_trim(0)
 
+def lean(f: Callable) -> Callable:
+    """f, after which memory is given back. A generator may be that of a group's batches."""
     if f.__code__.co_flags & 0x20:  # a generator
 
         def generator(batches):
             yield from f(batches)
             release()
 
+        generator.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
         return generator
 
     def function(*args):
@@ -146,29 +169,31 @@ def unplanes(buffer: memoryview, at: int, n: int) -> tuple[np.ndarray, int]:
     return out.view(U64).reshape(-1), at + 1 + width * n
 
 
-def pack(sorted_keys: np.ndarray | None, owners: np.ndarray, table: np.ndarray, *columns: np.ndarray, named: bool = True) -> bytes:
-    """Rows as bytes: ascending keys as differences, owners as places in the part of table that they name (or, if not named, as they are)."""
-    n = len(owners)
-    if named:
-        used = np.zeros(len(table), bool)
+def pack(sorted_keys: np.ndarray | None, owners: np.ndarray, names: list[np.ndarray], *columns: np.ndarray) -> bytes:
+    """Rows as bytes: owners as places among those of the names that they use (as they are, if there are no names), ascending keys as differences."""
+    n, m = len(owners), 0
+    if names:
+        used = np.zeros(len(names[0]), bool)
         used[owners] = True
         owners = (np.cumsum(used) - 1)[owners]
-        names = table[used].view(U64)
-    else:
-        names = table[:0]
-    out = [np.array([n, len(names)], U64).tobytes(), names.tobytes(), planes(owners.astype(U64))]
+        names = [x[used] for x in names]
+        m = len(names[0])
+    out = [np.array([n, m], U64).tobytes(), *map(planes, names), planes(owners.astype(U64))]
     if sorted_keys is not None:
         out += [sorted_keys[:1].astype(U64).tobytes() if n else b"\0" * 8, planes(np.diff(sorted_keys, prepend=sorted_keys[:1]))]
     return _packer().compress(b"".join(out + [planes(c) for c in columns]))
 
 
-def unpack(blob: bytes | memoryview, keyed: bool, columns: int, named: bool = True) -> list[np.ndarray]:
-    """Owners' names (their places, if not named), then keys if there are any, then the columns."""
+def unpack(blob: bytes | memoryview, keyed: bool, columns: int, named: int = 1) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The names' columns; and owners' places, then keys if there are any, then the columns."""
     b = memoryview(_unpacker().decompress(blob))
     n, m = (int(x) for x in np.frombuffer(b, U64, 2))
-    names = np.frombuffer(b, U64, m, 16)
-    places, at = unplanes(b, 16 + 8 * m, n)
-    out = [names[places.astype(np.int64)] if named else places]
+    at, names = 16, []
+    for _ in range(named):
+        name, at = unplanes(b, at, m)
+        names.append(name)
+    places, at = unplanes(b, at, n)
+    out = [places.astype(np.int64)]
     if keyed:
         first = np.frombuffer(b, U64, 1, at)
         steps, at = unplanes(b, at + 8, n)
@@ -176,12 +201,50 @@ def unpack(blob: bytes | memoryview, keyed: bool, columns: int, named: bool = Tr
     for _ in range(columns):
         column, at = unplanes(b, at, n)
         out.append(column)
-    return out
-
-
-def unpack_all(blobs: pa.ChunkedArray | pa.Array, keyed: bool, columns: int) -> list[np.ndarray]:
-    parts = [unpack(b.as_buffer(), keyed, columns) for b in blobs]
-    return [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, U64)] * (1 + keyed + columns)
+    return names, out
+
+
+def unpack_all(blobs, keyed: bool, columns: int, named: int = 1) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of several blobs: the names, one behind the other, and the rows, whose owners are places among them."""
+    names: list[list[np.ndarray]] = [[np.zeros(0, U64)] for _ in range(named)]
+    parts: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], *([np.zeros(0, U64)] for _ in range(keyed + columns))]
+    before = 0
+    for b in blobs:
+        found, rows = unpack(b if isinstance(b, (bytes, memoryview)) else b.as_buffer(), keyed, columns, named)
+        for x, y in zip(names, found):
+            x.append(y)
+        rows[0] = rows[0] + before
+        before += len(found[0]) if named else 0
+        for x, y in zip(parts, rows):
+            x.append(y)
+    return [np.concatenate(x) for x in names], [np.concatenate(x) for x in parts]
+
+
+def distinct(names: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For each of several rows of columns its number among the distinct ones, and these in ascending order of the first column."""
+    order = np.lexsort(names[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for x in names:
+        new[1:] |= x[order][1:] != x[order][:-1]
+    number = np.zeros(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, [x[order][new] for x in names]
+
+
+def totals(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys, ascending, and each column's sum over each (modulo 2**64)."""
+    order = np.argsort(keys, kind="stable")
+    at = cuts(keys[order])
+    return keys[order][at[:-1]], *(np.add.reduceat(x[order], at[:-1]) if len(keys) else x for x in columns)
+
+
+def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values of wanted keys, 0 where there is none; keys ascend."""
+    if not len(keys):
+        return np.zeros(len(wanted), values.dtype)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], values.dtype.type(0))
 
 
 def cuts(codes: np.ndarray) -> np.ndarray:

@@ -156,7 +156,8 @@ def _parts(benchmark: DataFrame, min_words: int, min_item: int) -> Iterator[Benc
         yield Benchmark(pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), min_words, min_item)
 
 
-SHARD = 16 << 20
+#: Bytes of text in a shard.
+SHARD = 4 << 20
 
 
 def _find(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -188,6 +189,7 @@ def _clean(shared, text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 def locations(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min_item: int = MIN_ITEM) -> DataFrame:
     """(doc_id, item_id, match_words, doc_word, item_word): each affected document's longest match with each item."""
     spark = docs.sparkSession
+    C.steady(spark)
     kind = "doc_id long, item_id long, match_words int, doc_word int, item_word int"
     out = None
     for part in _parts(benchmark, min_words, min_item):
@@ -198,6 +200,7 @@ def locations(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS,
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min_item: int = MIN_ITEM) -> DataFrame:
     """docs without those that match an item."""
+    C.steady(docs.sparkSession)
     for part in _parts(benchmark, min_words, min_item):
         docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(part), "text"), docs.schema)
     return docs

@@ -21,6 +21,7 @@ _POWERS: dict[int, np.ndarray] = {}
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
+    n = int(n)
     known = _POWERS.get(base)
     if known is None or len(known) < n:
         size = max(1024, 1 << (n - 1).bit_length())
@@ -30,6 +31,12 @@ def powers(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
+def forget() -> None:
+    """Drops long tables of powers, which a very long text needed."""
+    for base in [b for b, known in _POWERS.items() if len(known) > 1 << 20]:
+        del _POWERS[base]
+
+
 def inverse(base: int) -> int:
     return pow(base, -1, 1 << 64)
 
@@ -116,7 +123,7 @@ def gram_hashes(hashes: np.ndarray, docs: np.ndarray, n: int) -> tuple[np.ndarra
     return at, mix((sums[at + n] - sums[at]) * powers(inverse(_WORD_BASE), k)[at])
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = (2 << 20) - 4096) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = (1 << 20) - 4096) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about so many bytes of text; a longer document is a slice of its own."""
     _, offsets = text_buffers(batch.column(column))
     at = 0
