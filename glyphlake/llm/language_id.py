@@ -14,9 +14,11 @@ for all pieces: text that it explains best is of none of the languages.
 
 Defined results: a null or blank text has no score and is ``und``. Where there is
 nothing to fit to (no labelled row, an empty table) there is no model: every text
-is ``und``. Words of over 32 bytes are scored in stretches of 32. Equal scores go
-to the language that is first by name. Repeated rows have equal results. Extra
-columns stay.
+is ``und``. Words are scored whole, however long (scripts without spaces have
+sentences for words); of the sample, words of over ``FITTED`` bytes are not fitted
+to. Very long texts are scored whole, one at a time. Equal scores go to the
+language that is first by name. Repeated rows have equal results. Extra columns
+stay.
 """
 
 from __future__ import annotations
@@ -33,10 +35,16 @@ from . import common as C, words as W
 U64 = np.uint64
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLE = 300
-LONGEST = 32
+#: Bytes of the longest words of the sample that the model is fitted to.
+FITTED = 1024
 ROUNDS = 3
-#: Factor per byte that keeps products of probabilities within the range of doubles.
+#: Bytes of text that are scored at once.
+PIECE = (2 << 20) - 4096
+#: Factor per byte that keeps products of probabilities within the range of doubles, over EVERY bytes at least.
 SCALE = 12.0
+EVERY = 16
+#: Bytes up to which words of one length are scored side by side; up to which words of similar lengths are.
+SHORT, MIDDLE = 32, 1024
 UND = "und"
 _BASE = 0x9E3779B97F4A7C15
 
@@ -53,7 +61,7 @@ def vocabulary(path: str = VOCABULARY) -> list[bytes]:
             found.add(bytes([int(piece[3:-1], 16)]))
         elif not (model.is_control(i) or model.is_unknown(i)):
             text = piece.replace("▁", " ").encode()
-            if text.rfind(b" ") <= 0 and len(text) <= LONGEST:  # no word has a space within
+            if text.rfind(b" ") <= 0:  # no word has a space within
                 found.add(text)
     return sorted(found | {bytes([b]) for b in range(256)})
 
@@ -119,59 +127,119 @@ class Pieces:
                     yield begin, end, has, piece[has]
 
 
-def forward(pieces: Pieces, scaled: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-    """Scaled probabilities of words of one length: [place, word, language]."""
-    alpha = np.zeros((matrix.shape[1] + 1, len(matrix), scaled.shape[1]))
-    alpha[0] = 1
-    for begin, end, which, piece in pieces.lattice(matrix):
-        if len(which) == len(matrix):
-            alpha[end] += alpha[begin] * scaled[piece]
-        else:
-            alpha[end, which] += alpha[begin, which] * scaled[piece]
-    return alpha
-
+def forward(pieces: Pieces, scaled: np.ndarray, matrix: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled probabilities [place, word, language]; the words' probabilities, as logarithms; and the logarithms that the places were divided by.
 
-def expected_counts(pieces: Pieces, scaled: np.ndarray, matrix: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    A row of the matrix is a word, filled up behind its length.
+    """
+    n, kinds = matrix.shape[1], scaled.shape[1]
+    alpha = np.zeros((n + 1, len(matrix), kinds))
+    taken = np.zeros((n + 1, len(matrix), kinds)) if n > EVERY else np.zeros((n + 1, 1, 1))
+    out = np.zeros((len(matrix), kinds))
+    alpha[0] = 1
+    last = 0
+
+    def close(end: int) -> None:
+        nonlocal last
+        for e in range(last + 1, end + 1):
+            done = np.flatnonzero(lengths == e)
+            if len(done):
+                out[done] = np.log(alpha[e, done]) + (taken[e, done] if n > EVERY else 0)
+        last = end
+
+    steps = pieces.lattice(matrix)
+    held = next(steps, None)
+    for end in range(1, n + 1):
+        if n > EVERY:
+            taken[end] = taken[end - 1]
+        while held is not None and held[1] == end:
+            begin, _, which, piece = held
+            if n > EVERY:
+                alpha[end, which] += alpha[begin, which] * scaled[piece] * np.exp(np.minimum(taken[begin, which] - taken[end, which], 690))
+            elif len(which) == len(matrix):
+                alpha[end] += alpha[begin] * scaled[piece]
+            else:
+                alpha[end, which] += alpha[begin, which] * scaled[piece]
+            held = next(steps, None)
+        if n > EVERY and end % EVERY == 0:
+            top = np.maximum(alpha[end], 1e-300)
+            alpha[end] /= top
+            taken[end] += np.log(top)
+    close(n)
+    return alpha, out, taken
+
+
+def long_word(pieces: Pieces, scaled: np.ndarray, word: np.ndarray, block: int = 4096) -> np.ndarray:
+    """The logarithms of one long word's scaled probabilities, in a window as long as the longest piece."""
+    reach, kinds = pieces.lengths[-1], scaled.shape[1]
+    lengths = np.array(pieces.lengths)
+    window = np.zeros((reach + block + 1, kinds))
+    window[reach] = 1
+    taken = np.zeros(kinds)
+    for a in range(0, len(word), block):
+        ends = np.arange(a + 1, min(a + block, len(word)) + 1)
+        low = max(0, a - reach)
+        terms = (word[low : ends[-1]].astype(U64) + U64(1)) * W.powers(_BASE, ends[-1] - low)
+        sums = np.concatenate([[U64(0)], np.cumsum(terms, dtype=U64)])
+        back = W.powers(W.inverse(_BASE), len(sums))
+        p = np.zeros((len(ends), len(lengths), kinds))
+        for j, length in enumerate(pieces.lengths):
+            some = np.flatnonzero(ends >= length)
+            begin = ends[some] - length - low
+            found = pieces.find(W.mix((sums[begin + length] - sums[begin]) * back[begin] + U64(length)))
+            has = found >= 0
+            p[some[has], j] = scaled[found[has]]
+        for i in range(len(ends)):
+            x = window[reach + 1 + i - lengths]
+            x *= p[i]
+            window[reach + 1 + i] = x.sum(axis=0)
+            if i % EVERY == EVERY - 1 or i == len(ends) - 1:
+                top = np.maximum(window[reach + 1 + i], 1e-300)
+                seen = window[max(0, i + 1 - reach) : reach + 2 + i]
+                top = np.maximum(top, seen.max(axis=0) * 1e-250)  # no overflow of what no piece reaches any more
+                seen /= top
+                taken += np.log(top)
+        window[: reach + 1] = window[len(ends) : len(ends) + reach + 1].copy()
+    return np.log(window[reach]) + taken
+
+
+def expected_counts(pieces: Pieces, scaled: np.ndarray, matrix: np.ndarray, lengths: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Expected occurrences of each piece; weight: how often each language has each word."""
     n = matrix.shape[1]
+    alpha, whole, taken = forward(pieces, scaled, matrix, lengths)
+    beta = np.zeros_like(alpha)  # times what alpha was divided by, and by the word's probability
+    own = np.arange(len(matrix))
+    beta[lengths, own] = np.exp((taken[lengths, own] if n > EVERY else 0) - whole)
     edges = list(pieces.lattice(matrix))
-    alpha, beta = np.zeros((n + 1, len(matrix), scaled.shape[1])), np.zeros((n + 1, len(matrix), scaled.shape[1]))
-    alpha[0], beta[n] = 1, 1
-    for begin, end, which, piece in edges:
-        alpha[end, which] += alpha[begin, which] * scaled[piece]
-    for begin, end, which, piece in reversed(edges):
-        beta[begin, which] += beta[end, which] * scaled[piece]
-    share = weight / alpha[n]
     out = np.zeros_like(scaled)
+    for begin, end, which, piece in reversed(edges):
+        step = beta[end, which] * scaled[piece]
+        if n > EVERY:
+            step *= np.exp(np.minimum(taken[begin, which] - taken[end, which], 690))
+        beta[begin, which] += step
     for begin, end, which, piece in edges:
-        part = alpha[begin, which] * beta[end, which] * scaled[piece] * share[which]
+        part = alpha[begin, which] * beta[end, which] * scaled[piece] * weight[which]
+        if n > EVERY:
+            part *= np.exp(np.minimum(taken[begin, which] - taken[end, which], 690))
         for k in range(scaled.shape[1]):
             out[:, k] += np.bincount(piece, part[:, k], len(out))
     return out
 
 
-def by_length(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(which, matrix): the words of each length, with a space before each."""
+def side_by_side(data: np.ndarray, start: np.ndarray, end: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(which, matrix, lengths): words of up to `most` bytes, those of one length (or of similar ones, if they are long) in a matrix, with a space before each."""
     lengths = end - start
     order = np.argsort(lengths, kind="stable")
-    bounds = np.searchsorted(lengths[order], np.arange(1, LONGEST + 1))
-    for n in range(1, LONGEST + 1):
-        which = order[bounds[n - 1] : bounds[n] if n < LONGEST else len(order)]
-        for a in range(0, len(which), 20_000):
-            some = which[a : a + 20_000]
-            yield some, np.concatenate([np.full((len(some), 1), 32, np.uint8), data[start[some][:, None] + np.arange(n)]], axis=1)
-
-
-def stretches(words: W.Words) -> W.Words:
-    """Words of over LONGEST bytes as several."""
-    lengths = words.end - words.start
-    if not len(lengths) or lengths.max() <= LONGEST:
-        return words
-    parts = -(-lengths // LONGEST)
-    of = np.repeat(np.arange(len(lengths)), parts)
-    place = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
-    start = words.start[of] + place * LONGEST
-    return W.Words(words.data, start, np.minimum(start + LONGEST, words.end[of]), np.concatenate([[0], np.cumsum(parts)])[words.first])
+    classes = [*range(1, min(SHORT, most) + 1)]
+    while classes[-1] < most:
+        classes.append(min(classes[-1] * 2, most))
+    bounds = np.searchsorted(lengths[order], classes, "right")
+    padded = np.append(data, np.zeros(classes[-1], np.uint8)) if len(order) and lengths.max() > SHORT else data
+    for n, low, high in zip(classes, [0, *bounds[:-1]], bounds):
+        each = max(1, 256_000 // n)
+        for a in range(low, high, each):
+            some = order[a : min(a + each, high)]
+            yield some, np.concatenate([np.full((len(some), 1), 32, np.uint8), padded[start[some][:, None] + np.arange(n)]], axis=1), lengths[some] + 1
 
 
 @dataclass
@@ -185,10 +253,11 @@ class Model:
     def score(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Log probabilities of words, by language."""
         out = np.zeros((len(start), self.scaled.shape[1]))
-        for which, matrix in by_length(data, start, end):
-            last = forward(self.pieces, self.scaled, matrix)[-1]
-            out[which] = np.log(np.maximum(last, 1e-300)) - matrix.shape[1] * np.log(SCALE)
-        return out
+        for which, matrix, lengths in side_by_side(data, start, end, MIDDLE):
+            out[which] = forward(self.pieces, self.scaled, matrix, lengths)[1]
+        for i in np.flatnonzero(end - start > MIDDLE):
+            out[i] = long_word(self.pieces, self.scaled, np.append(np.uint8(32), data[start[i] : end[i]]))
+        return out - ((end - start + 1) * np.log(SCALE))[:, None]
 
 
 def fit(texts: list[str], labels: list[str], path: str = VOCABULARY, rounds: int = ROUNDS) -> Model | None:
@@ -197,7 +266,7 @@ def fit(texts: list[str], labels: list[str], path: str = VOCABULARY, rounds: int
     if not languages:
         return None
     pieces = Pieces(vocabulary(path))
-    words = stretches(W.split(pa.array(texts, pa.large_string())))
+    words = W.split(pa.array(texts, pa.large_string()))
     hashes = W.word_hashes(words)
     known, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
     label = np.array([languages.index(x) for x in labels])[words.docs()]
@@ -208,8 +277,8 @@ def fit(texts: list[str], labels: list[str], path: str = VOCABULARY, rounds: int
     start, end = words.start[first], words.end[first]
     for _ in range(rounds):
         counts = np.zeros_like(p)
-        for which, matrix in by_length(words.data, start, end):
-            counts += expected_counts(pieces, p * grow, matrix, weight[which])
+        for which, matrix, lengths in side_by_side(words.data, start, end, FITTED):
+            counts += expected_counts(pieces, p * grow, matrix, lengths, weight[which])
         counts += 0.1
         p = counts / counts.sum(axis=0)
     return Model([*languages, UND], pieces, np.hstack([p, np.full((len(p), 1), 1 / len(p))]) * grow)
@@ -218,7 +287,7 @@ def fit(texts: list[str], labels: list[str], path: str = VOCABULARY, rounds: int
 class Scorer:
     """Scores texts; each word that was met is scored once (up to a bound of memory, then anew)."""
 
-    def __init__(self, model: Model, most: int = 1_000_000) -> None:
+    def __init__(self, model: Model, most: int = 300_000) -> None:
         self.model, self.most = model, most
         self.known = np.zeros(0, U64)
         self.scores = np.zeros((0, len(model.languages)), np.float32)
@@ -243,7 +312,7 @@ class Scorer:
 
     def texts(self, column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         """(scores by text and language, number of bytes scored)."""
-        words = stretches(W.split(column))
+        words = W.split(column)
         n = len(words.first) - 1
         out = np.zeros((n, len(self.model.languages)))
         size = np.zeros(n, np.int64)
@@ -260,7 +329,7 @@ def sample(docs: DataFrame, each: int = SAMPLE) -> list[tuple[str, str]]:
     labelled = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("label")).filter("id is not null and label is not null")
     rank = F.dense_rank().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))  # Spark prunes by it before the exchange
     chosen = C.cut(labelled.withColumn("rank", rank).filter(F.col("rank") <= each).select("id", "label").distinct())
-    found = docs.select("doc_id", "lang", "text").filter("text is not null").join(C.small(chosen, chosen.count()), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("label")))
+    found = docs.select("doc_id", "lang", "text").filter("text is not null").join(C.small(chosen, 64 * chosen.count()), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("label")))
     return sorted({(r[0], r[1]) for r in found.select("text", "lang").collect()}, key=lambda x: (x[1], x[0]))
 
 
@@ -284,7 +353,7 @@ def _label(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
         scorer = Scorer(model)
         names = np.array(model.languages)
         for batch in batches:
-            for part in W.pieces(batch, "text"):
+            for part in W.pieces(batch, "text", PIECE):
                 scores, size = scorer.texts(part.column("text"))
                 best, score, margin = _best(model, scores, size)
                 none = size == 0
@@ -307,7 +376,7 @@ def _keep(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
         model = shared.value
         scorer = Scorer(model)
         for batch in batches:
-            for part in W.pieces(batch, "text"):
+            for part in W.pieces(batch, "text", PIECE):
                 best, _, _ = _best(model, *scorer.texts(part.column("text")))
                 stays = best != len(model.languages) - 1
                 yield part if stays.all() else part.filter(pa.array(stays))
