@@ -1,21 +1,25 @@
 """Operator 1: documents packed into sequences of a fixed number of tokens.
 
 A document's whole multiples of the capacity are sequences of their own; what is
-left of each document is an item. Items are dealt to pools by their keys' hashes.
-Each pool packs its items by best fit, longest first, and computes lower bounds
-on the number of sequences from dual-feasible functions of the lengths
-(Martello-Toth, Fekete-Schepers, Carlier-Clautiaux-Moukrim). Where the greatest
-bound equals the number of sequences, that number is certified: no packing of
-the pool has fewer. Pools with a gap exchange documents, two and two: what both
-hold is packed anew, and kept if it takes fewer sequences. That is repeated for
-the pools that have a gap then, at most ``rounds`` times.
+left of each document is an item. Items are dealt to pools by their hashes. Each
+pool packs its items by best fit, longest first, and computes lower bounds on the
+number of sequences from dual-feasible functions of the lengths (Martello-Toth,
+Fekete-Schepers, Carlier-Clautiaux-Moukrim). Where the greatest bound equals the
+number of sequences, that number is certified: no packing of the pool has fewer.
+Pools with a gap exchange documents: they are dealt to small groups, what a group
+holds is packed anew, and its sequences, fullest first, are dealt back to as many
+pools of the same size as before. So the room that is left gathers in the last
+pool of a group, and the others come to be certified. The exchange is kept if it
+takes fewer sequences, or certifies more pools. That goes on, with other groups
+each time, until two rounds running bring nothing, or one pool with a gap is left.
 
 Token counts are those of a public byte-level vocabulary, over whole texts.
 
 Defined results: a null or empty text has no tokens: its one row has no bin.
 Rows that repeat are packed as often as they are there. Ties in length go by the
-key's hash. A null doc_id is packed like others. Extra columns are not looked at.
-Without rows there are no rows.
+key's hash. A null doc_id is packed like others. A very long text takes as many
+sequences as it needs. Extra columns are not looked at. Without rows there are no
+rows.
 """
 
 from __future__ import annotations
@@ -25,13 +29,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import common as C
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-CAPACITY, PER_POOL, ROUNDS = 2048, 50_000, 4
+CAPACITY, PER_POOL = 2048, 50_000
+#: Pools of a group that exchange documents, on average.
+TOGETHER = 2
 
 
 def encoding(path: str = RANKS):
@@ -103,46 +109,71 @@ STATE = "item long, uid long, rest int, pool long, bin int, at int, pool_bins in
 
 
 def _pack(capacity: int) -> Callable[[pa.Table], pa.Table]:
+    def state(group: pa.Table, which: np.ndarray, pool: int, bins: np.ndarray, at: np.ndarray) -> pa.Table:
+        """Of some rows, which are a pool; its bins are numbered anew."""
+        part = group.select(["item", "uid", "rest"]).take(pa.array(which))
+        names, bins = np.unique(bins, return_inverse=True)
+        bound = lower_bound(part.column("rest").to_numpy(), capacity)
+        same = lambda x, kind: pa.array(np.full(len(which), x), kind)
+        return pa.table([*part.columns, same(pool, pa.int64()), pa.array(bins, pa.int32()), pa.array(at, pa.int32()), same(len(names), pa.int32()), same(bound, pa.int32())], schema=_STATE)
+
     def pack(group: pa.Table) -> pa.Table:
         group = group.sort_by([("rest", "descending"), ("uid", "ascending"), ("item", "ascending")])
         rest = group.column("rest").to_numpy()
-        bins, at, n = best_fit(rest.tolist(), capacity)
-        pools = group.column("pool").to_numpy()
-        if "pool_bins" in group.column_names:
-            _, first = np.unique(pools, return_index=True)
-            if n >= int(group.column("pool_bins").to_numpy()[first].sum()):
-                return group.select(_STATE.names).cast(_STATE)
-        m = len(rest)
-        return pa.table([group.column("item"), group.column("uid"), group.column("rest"), pa.array(np.full(m, pools.min()), pa.int64()), pa.array(bins, pa.int32()), pa.array(at, pa.int32()), pa.array(np.full(m, n), pa.int32()), pa.array(np.full(m, lower_bound(rest, capacity)), pa.int32())], schema=_STATE)
+        every, at, n = best_fit(rest.tolist(), capacity)
+        every, at = np.array(every, np.int64), np.array(at, np.int64)
+        names, first = np.unique(group.column("pool").to_numpy(), return_index=True)
+        if "pool_bins" not in group.column_names:
+            return state(group, np.arange(len(rest)), int(names[0]), every, at)
+        before = group.select(["pool_bins", "pool_bound"]).take(pa.array(first))
+        gaps = int((before.column("pool_bins").to_numpy() > before.column("pool_bound").to_numpy()).sum())
+        fullest = np.argsort(-np.bincount(every, rest, n), kind="stable")
+        place = np.zeros(n, np.int64)
+        place[fullest] = np.arange(n)
+        of = place[every] * len(names) // n  # the pool that a bin is dealt to
+        parts = []
+        for k, pool in enumerate(names.tolist()):
+            which = np.flatnonzero(of == k)
+            if len(which):
+                parts.append(state(group, which, pool, every[which], at[which]))
+        done = pa.concat_tables(parts)
+        _, firsts = np.unique(done.column("pool").to_numpy(), return_index=True)
+        after = done.select(["pool_bins", "pool_bound"]).take(pa.array(firsts))
+        left = int((after.column("pool_bins").to_numpy() > after.column("pool_bound").to_numpy()).sum())
+        better = (n, left) < (int(before.column("pool_bins").to_numpy().sum()), gaps)
+        return done if better and len(names) > 1 else group.select(_STATE.names).cast(_STATE)
 
     return pack
 
 
-def placed(items: DataFrame, capacity: int = CAPACITY, per_pool: int = PER_POOL, rounds: int = ROUNDS) -> DataFrame:
-    """STATE for items (item, uid, rest), 0 < rest < capacity."""
+def placed(items: DataFrame, capacity: int = CAPACITY, per_pool: int = PER_POOL, rounds: int | None = None) -> DataFrame:
+    """STATE for items (item, uid, rest), 0 < rest < capacity. rounds: at most so many, if given."""
     n = items.count()
-    dealt = items.withColumn("pool", F.pmod("uid", F.lit(max(1, -(-n // per_pool)))))
+    dealt = items.withColumn("pool", F.pmod(F.xxhash64("uid", "item"), F.lit(max(1, -(-n // per_pool)))))
     state = C.cut(dealt.groupBy("pool").applyInArrow(_pack(capacity), STATE))
-    for k in range(rounds):
-        gaps = state.filter("pool_bins > pool_bound").select("pool").distinct()
-        ranked = gaps.withColumn("rank", F.row_number().over(Window.orderBy(F.xxhash64("pool", F.lit(k)), "pool")) - 1)
-        total = ranked.count()
-        if total < 2:
+    k, idle, last = 0, 0, None
+    while idle < 2 and (rounds is None or k < rounds):
+        pools = state.groupBy("pool").agg(F.first("pool_bins").alias("bins"), F.first("pool_bound").alias("bound"))
+        now = pools.agg(F.coalesce(F.sum("bins"), F.lit(0)), F.count_if(F.col("bins") > F.col("bound"))).first()
+        idle = 0 if last is None or tuple(now) < last else idle + 1
+        last = tuple(now)
+        if now[1] < 2 or idle == 2:
             break
-        pairs = C.cut(ranked.filter(F.col("rank") < total // 2 * 2).select("pool", F.floor(F.col("rank") / 2).alias("pair")))
-        both = state.join(C.small(pairs, total), "pool")
-        anew = both.groupBy("pair").applyInArrow(_pack(capacity), STATE)
-        state = C.cut(state.join(C.small(pairs, total), "pool", "left_anti").unionByName(anew))
+        group = F.pmod(F.xxhash64("pool", F.lit(k)), F.lit(-(-now[1] // TOGETHER)))
+        open_, closed = state.filter("pool_bins > pool_bound"), state.filter("pool_bins = pool_bound")
+        state = C.cut(closed.unionByName(open_.withColumn("group", group).groupBy("group").applyInArrow(_pack(capacity), STATE)))
+        k += 1
     return state
 
 
-def packed(docs: DataFrame, capacity: int = CAPACITY, per_pool: int = PER_POOL, rounds: int = ROUNDS, path: str = RANKS) -> DataFrame:
+def packed(docs: DataFrame, capacity: int = CAPACITY, per_pool: int = PER_POOL, rounds: int | None = None, path: str = RANKS) -> DataFrame:
     """One row for each piece of each document.
 
     doc_id; piece, numbered from 0; token_start and n_tokens, of the piece in the
     document; bin, the sequence, and bin_offset, the piece's place in it; bins and
     bound, of the pool that it was packed in (null for whole sequences).
     """
+    C.steady(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long"), C.identity(docs).alias("uid"), "text")
     items = C.cut(keyed.mapInArrow(_counts(path), "doc_id long, uid long, n_tokens long").withColumn("item", F.monotonically_increasing_id()))
     state = placed(items.select("item", "uid", (F.col("n_tokens") % capacity).cast("int").alias("rest")).filter("rest > 0"), capacity, per_pool, rounds)
