@@ -8,63 +8,91 @@ the order of their numbers and joined; the length is held against the total. An
 HTTP response's head is parsed, and a body in chunked transfer coding is decoded.
 
 Segments are shuffled by origin and sorted; a task reads them as a stream and
-holds one record at a time.
-
-Defined results, in `status`: ``ok``; ``missing segment`` (no first one, a gap in
-the numbers, or no last one, where the record says that it is segmented);
-``length mismatch`` (the total length is another); ``bad chunk`` (the chunked
-framing breaks off or isn't such); ``other coding`` (a transfer coding besides
-chunked is left on the body). The body is then null, for ``bad chunk`` what
-was decoded before, for ``other coding`` what is left after the chunked framing,
-if that was the last coding. Segments that are there twice count once, the first by their
-content. A record that isn't segmented is its own origin; several of the same
-identifier are as many records, of which exact repeats count once. A continuation
-without a number is a ``missing segment`` of its own. Content that is null
-is empty. Segments of no identifier are left alone: each is its own record, with
-a null identifier. Extra columns are not looked at. Without rows there are no rows.
+holds one record at a time. Files may be gzipped, as a whole or record by record.
+
+Defined results, in `status`: ``ok``; ``malformed`` (a record of a file whose head
+has no length, or a length or segment number that is none, or that the file ends
+in: what follows the next record's head is read on); ``missing segment`` (no first
+one, a gap in the numbers, or no last one, where the record says that it is
+segmented); ``length mismatch`` (the total length is another); ``bad chunk`` (the
+chunked framing breaks off or isn't such); ``other coding`` (a transfer coding
+besides chunked, gzip and deflate, or one that can't be undone, is left on the
+body). The body is then null, for ``bad chunk`` what was decoded before, for
+``other coding`` what is left after the codings behind it. Segments that are there
+twice count once, the first by their content. A record that isn't segmented is its
+own origin; several of the same identifier are as many records, of which exact
+repeats count once. A continuation without a number is a ``missing segment`` of its
+own. Content that is null is empty. Segments of no identifier are left alone: each
+is its own record, with a null identifier. A very long record is held whole, by
+the task that puts it together. Extra columns are not looked at. Without rows
+there are no rows.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from . import common as C
+
 SEGMENT, CHUNK = 1024, 700
-RECORDS = "record_id string, type string, target_uri string, segment int, origin_id string, total_length long, content binary"
-_RECORDS = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("target_uri", pa.string()), ("segment", pa.int32()), ("origin_id", pa.string()), ("total_length", pa.int64()), ("content", pa.binary())])
+RECORDS = "record_id string, type string, target_uri string, segment int, origin_id string, total_length long, content binary, malformed boolean"
+_RECORDS = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("target_uri", pa.string()), ("segment", pa.int32()), ("origin_id", pa.string()), ("total_length", pa.int64()), ("content", pa.binary()), ("malformed", pa.bool_())])
 WHOLE = "record_id string, target_uri string, n_segments int, http_status int, content_type string, body binary, status string"
 _WHOLE = pa.schema([("record_id", pa.string()), ("target_uri", pa.string()), ("n_segments", pa.int32()), ("http_status", pa.int32()), ("content_type", pa.string()), ("body", pa.binary()), ("status", pa.string())])
+_HEAD = re.compile(rb"WARC/[0-9]+[.][0-9]+\r\n")
+
+
+def inflated(data: bytes) -> bytes:
+    """A gzipped file's content, member by member, as far as it goes; another one as it is."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            break
+        data = member.unused_data
+    return b"".join(out) if out else data
+
+
+def _number(text: bytes | str | None, most: int) -> int | None:
+    """A number of digits up to a greatest one; None for anything else."""
+    return int(text) if text is not None and re.fullmatch(rb"[0-9]{1,19}" if isinstance(text, bytes) else "[0-9]{1,19}", text) and int(text) <= most else None
 
 
 def parse(data: bytes) -> Iterator[dict]:
-    """The records of an (uncompressed) WARC file. What comes after the last whole record is not returned."""
+    """The records of a WARC file. One that can't be read is `malformed`; reading goes on at the next head."""
+    data = inflated(data)
     at = 0
-    while (head := data.find(b"\r\n\r\n", at)) >= 0:
-        lines = data[at:head].split(b"\r\n")
-        if not lines[0].startswith(b"WARC/"):
-            break
-        fields = {k.strip().lower(): v.strip().decode("utf-8", "replace") for k, _, v in (line.partition(b":") for line in lines[1:])}
-        size = int(fields[b"content-length"])
-        begin = head + 4
-        if begin + size > len(data):
-            break
-        number = fields.get(b"warc-segment-number")
-        yield {
+    while (found := _HEAD.search(data, at)) is not None:
+        begin = found.start()
+        head = data.find(b"\r\n\r\n", begin)
+        lines = data[begin : head if head >= 0 else found.end()].split(b"\r\n")[1:]
+        fields = {k.strip().lower(): v.strip().decode("utf-8", "replace") for k, _, v in (line.partition(b":") for line in lines)}
+        size = _number(fields.get(b"content-length"), 1 << 40)
+        out = {
             "record_id": fields.get(b"warc-record-id"),
             "type": fields.get(b"warc-type"),
             "target_uri": fields.get(b"warc-target-uri"),
-            "segment": int(number) if number else None,
+            "segment": _number(fields.get(b"warc-segment-number"), (1 << 31) - 1),
             "origin_id": fields.get(b"warc-segment-origin-id"),
-            "total_length": int(fields[b"warc-segment-total-length"]) if b"warc-segment-total-length" in fields else None,
-            "content": data[begin : begin + size],
+            "total_length": _number(fields.get(b"warc-segment-total-length"), (1 << 63) - 1),
+            "content": None,
+            "malformed": False,
         }
-        at = begin + size
-        while data[at : at + 2] == b"\r\n":
-            at += 2
+        numbers = (("segment", b"warc-segment-number"), ("total_length", b"warc-segment-total-length"))
+        if head < 0 or size is None or head + 4 + size > len(data) or any(out[k] is None and name in fields for k, name in numbers):
+            yield out | {"malformed": True}
+            at = found.end()
+        else:
+            at = head + 4 + size
+            yield out | {"content": data[head + 4 : at]}
 
 
 def record(fields: dict[str, str | int], content: bytes) -> bytes:
@@ -114,6 +142,19 @@ def codings(lines: list[bytes]) -> list[bytes]:
     return [x for x in names if x not in (b"", b"identity")]
 
 
+def undone(body: bytes, coding: bytes) -> bytes | None:
+    """What gzip or deflate (with zlib's head or without) was done to; None if it can't be told."""
+    for window in {b"gzip": (31,), b"x-gzip": (31,), b"deflate": (15, -15)}.get(coding, ()):
+        try:
+            stream = zlib.decompressobj(window)
+            out = stream.decompress(body) + stream.flush()
+            if stream.eof:
+                return out
+        except zlib.error:
+            pass
+    return None
+
+
 def http(content: bytes) -> tuple[int | None, str | None, bytes, str]:
     """Status, content type, body and its status. Content that isn't a response is a body as it is."""
     if not content.startswith(b"HTTP/"):
@@ -126,8 +167,11 @@ def http(content: bytes) -> tuple[int | None, str | None, bytes, str]:
     if coded[-1:] == [b"chunked"]:
         body, sound = dechunk(body)
         coded.pop()
+    while coded and sound and (plain := undone(body, coded[-1])) is not None:
+        body = plain
+        coded.pop()
     kind = fields.get(b"content-type")
-    return int(code[0]) if code and code[0].isdigit() else None, kind.decode("latin-1") if kind is not None else None, body, "bad chunk" if not sound else "other coding" if coded else "ok"
+    return _number(code[0] if code else None, (1 << 31) - 1), kind.decode("latin-1") if kind is not None else None, body, "bad chunk" if not sound else "other coding" if coded else "ok"
 
 
 def _whole(rows: list[dict]) -> dict:
@@ -140,6 +184,8 @@ def _whole(rows: list[dict]) -> dict:
     first = parts[0]
     out = {"record_id": first["origin"], "target_uri": first["target_uri"], "n_segments": len(parts), "http_status": None, "content_type": None, "body": None, "status": "ok"}
     total = next((r["total_length"] for r in parts if r["total_length"] is not None), None)
+    if first["malformed"]:
+        return out | {"status": "malformed"}
     if first["segment"] is None and first["continues"]:
         return out | {"status": "missing segment"}
     if first["segment"] is not None and ([r["segment"] for r in parts] != list(range(1, len(parts) + 1)) or total is None):
@@ -181,23 +227,31 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def reassembled(records: DataFrame) -> DataFrame:
     """WHOLE rows of RECORDS rows."""
-    origin = F.coalesce("origin_id", "record_id")
-    rows = records.select(origin.alias("origin"), "target_uri", "segment", "total_length", F.coalesce("content", F.lit(bytearray())).alias("content"), F.col("origin_id").isNotNull().alias("continues"))
-    return rows.repartition("origin").sortWithinPartitions("origin", "segment", "content", "target_uri", "total_length", "continues").mapInArrow(_join, WHOLE)
+    C.steady(records.sparkSession)
+    bad = F.coalesce("malformed", F.lit(False))
+    origin = F.when(bad, F.col("record_id")).otherwise(F.coalesce("origin_id", "record_id"))
+    rows = records.select(origin.alias("origin"), "target_uri", F.when(~bad, F.col("segment")).alias("segment"), "total_length", F.coalesce("content", F.lit(bytearray())).alias("content"), (F.col("origin_id").isNotNull() & ~bad).alias("continues"), bad.alias("malformed"))
+    return rows.repartition("origin").sortWithinPartitions("origin", "segment", "content", "target_uri", "total_length", "continues", "malformed").mapInArrow(_join, WHOLE)
 
 
 def _records_of(column: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(column):
-                rows = list(parse(data.as_buffer().to_pybytes())) if data.is_valid else []
-                yield pa.RecordBatch.from_pylist(rows, schema=_RECORDS)
+                held, size = [], 0
+                for r in parse(data.as_buffer().to_pybytes()) if data.is_valid else ():
+                    held.append(r)
+                    size += len(r["content"] or b"")
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_pylist(held, schema=_RECORDS)
+                        held, size = [], 0
+                yield pa.RecordBatch.from_pylist(held, schema=_RECORDS)
 
     return records
 
 
 def records(files: DataFrame, column: str = "content") -> DataFrame:
-    """RECORDS of WARC files, as spark.read.format("binaryFile") has them."""
+    """RECORDS of WARC files, gzipped or not, as spark.read.format("binaryFile") has them."""
     return files.select(column).mapInArrow(_records_of(column), RECORDS)
 
 
@@ -218,6 +272,7 @@ def written(pages: DataFrame, segment: int = SEGMENT, chunk: int = CHUNK) -> Dat
                     rows += parse(segmented(f"<urn:page:{name}>", r["url"] or "", html, segment, chunk))
                 yield pa.RecordBatch.from_pylist(rows, schema=_RECORDS)
 
+    C.steady(pages.sparkSession)
     return pages.select("page_id", "url", "html").mapInArrow(write, RECORDS)
 
 
