@@ -16,8 +16,9 @@ run again does no harm.
 Defined results: a URL is *blocked* if an entry equals it or is its host or a
 parent domain; of several entries the longest counts. A null or empty URL, and one without a host, is not blocked. Entries that
 are null or empty are left out; entries that repeat count once. Rows that repeat
-have equal results. Other columns stay (but those named blocked and entry).
-Without entries nothing is blocked.
+have equal results; a very long URL is looked up as any other. Other columns stay
+(but those named blocked and entry). Without entries nothing is blocked. Where a
+segment's files aren't found, or aren't whole, the job fails: nothing passes unseen.
 """
 
 from __future__ import annotations
@@ -122,20 +123,23 @@ def segment_of(n: int) -> Column:
     return F.floor((F.shiftrightunsigned("digest", 33) * F.lit(n)) / F.lit(float(1 << 31))).cast("int")
 
 
-def _probe(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _probe(folder: str, manifest: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_segments: dict[int, Segment | None] = {}
+        open_segments: dict[int, Segment] = {}
         for batch in batches:
             segments = batch.column("segment").to_numpy()
             digests = batch.column("digest").to_numpy().astype(np.int64).view(U64)
             keep = np.zeros(batch.num_rows, bool)
             for s in np.unique(segments).tolist():
+                if s not in manifest:  # the list has no entry in this range
+                    continue
                 if s not in open_segments:
-                    open_segments[s] = Segment(folder, s) if os.path.exists(f"{folder}/{s:06d}.places") and os.path.getsize(f"{folder}/{s:06d}.digests") else None
-                if open_segments[s] is not None:
-                    mine = np.flatnonzero(segments == s)
-                    texts = [x.encode() for x in batch.column("entry").take(pa.array(mine)).to_pylist()]
-                    keep[mine] = open_segments[s].find(digests[mine], texts)
+                    open_segments[s] = Segment(folder, s)
+                    if len(open_segments[s].digests) != manifest[s]:
+                        raise OSError(f"{folder}: segment {s} isn't whole on this machine")
+                mine = np.flatnonzero(segments == s)
+                texts = [x.encode() for x in batch.column("entry").take(pa.array(mine)).to_pylist()]
+                keep[mine] = open_segments[s].find(digests[mine], texts)
             yield batch.select(["url", "entry"]).filter(pa.array(keep))
 
     return probe
@@ -143,12 +147,15 @@ def _probe(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 def verdicts(urls: DataFrame, entries: DataFrame, per_segment: int = SEGMENT_ENTRIES, plain: bool = False) -> DataFrame:
     """(url, entry): the entry that blocks each distinct URL that is blocked."""
-    folder, _, n = build(entries, per_segment, plain)
-    distinct = urls.select("url").filter("url is not null").distinct()
+    C.steady(urls.sparkSession)
+    folder, manifest, n = build(entries, per_segment, plain)
+    known = {r.segment: r.entries for r in manifest.collect()}
+    tasks = max(urls.sparkSession.sparkContext.defaultParallelism, int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    distinct = urls.select("url").filter("url is not null").repartition(tasks, "url").distinct()  # else few bytes, but much work, come to one task
     probes = distinct.select("url", F.explode(candidates(bare(F.col("url")))).alias("entry")).filter("entry <> ''").withColumn("digest", F.xxhash64("entry")).withColumn("segment", segment_of(n))
-    if n > 1:
-        probes = probes.repartition("segment", F.pmod("digest", F.lit(16)))
-    hits = probes.mapInArrow(_probe(folder), "url string, entry string")
+    if n > 1:  # with one segment, a URL's candidates may stay where they are
+        probes = probes.repartition("segment", F.pmod(F.xxhash64("url"), F.lit(16)))
+    hits = probes.mapInArrow(_probe(folder, known), "url string, entry string")
     best = F.max(F.struct(F.char_length("entry").alias("n"), F.col("entry")))
     return hits.groupBy("url").agg(best.getField("entry").alias("entry"))
 
