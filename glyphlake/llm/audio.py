@@ -10,13 +10,16 @@ shape, [FRAMES, BANDS], as an Arrow fixed-shape tensor column beside the time at
 which each window starts and ends, in Arrow's stream format, which readers map
 without a copy.
 
-Everything is done on batches of clips, in numpy; there is no shuffle.
+Everything is done on batches of clips, in numpy, and on stretches of long ones;
+there is no shuffle.
 
 Defined results: without sound (null or under two bytes) or a positive rate there
 are no windows: `tensors` is null, and `segments` empty. An odd last byte is
 ignored. Silence has frames but no segments. The last window is filled with the
-logarithm of silence. Rows that repeat have equal results; a null identifier is
-kept; extra columns are not looked at.
+logarithm of silence. A very long clip is held as it came and as its features,
+what is between for STRETCH frames at a time. Rows that repeat have equal results;
+a null identifier is kept; extra columns are not looked at. Without rows there are
+no rows.
 """
 
 from __future__ import annotations
@@ -27,10 +30,16 @@ from math import gcd
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
+
+from . import common as C
 
 RATE, FRAME, HOP, FFT, BANDS, FRAMES = 16_000, 400, 160, 512, 40, 32
-TAPS = 24
+#: Samples of the slower of the two rates that the resampling filter spans; where it cuts, as a share of that rate's half; its window's shape.
+TAPS, CUTOFF, KAISER = 64, 0.92, 9.0
+#: Frames that are handled at once; samples of all clips together.
+STRETCH, TOGETHER = 4096, 1 << 20
 RISE_DB, FALL_DB, LEAST = -20.0, -30.0, 2
 FLOOR = np.float32(1e-10)
 FEATURES = "media_id long, rate int, n_frames int, n_windows int, segments array<struct<start_s:double,end_s:double>>, tensors binary"
@@ -44,39 +53,52 @@ TENSOR = pa.fixed_shape_tensor(pa.float32(), (FRAMES, BANDS))
 
 @lru_cache(maxsize=8)
 def _phases(rate: int, to: int) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """up, down, and for each of the `up` phases its first input sample and its taps."""
+    """up, down, and for each of the `up` phases its first input sample and its taps: a sinc in a Kaiser window, as long as the slower rate asks for."""
     g = gcd(rate, to)
     up, down = to // g, rate // g
     at = np.arange(up, dtype=np.int64) * down
     base, phase = at // up, (at % up) / up
-    k = np.arange(TAPS) - TAPS // 2 + 1
+    slower = min(1.0, to / rate)
+    n = 2 * int(np.ceil(TAPS / 2 / slower))
+    k = np.arange(n) - n // 2 + 1
     x = k[None, :] - phase[:, None]
-    cutoff = min(1.0, to / rate)
-    window = np.where(np.abs(x) < TAPS / 2, np.cos(np.pi * x / TAPS) ** 2, 0)
+    cutoff = CUTOFF * slower
+    window = np.i0(KAISER * np.sqrt(np.maximum(0, 1 - (2 * x / n) ** 2))) * (np.abs(x) < n / 2)
     taps = cutoff * np.sinc(cutoff * x) * window
     return up, down, base, (taps / taps.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def resample(x: np.ndarray, rate: int, to: int = RATE) -> np.ndarray:
-    """Clips [clip, sample] at another rate."""
+def resampled_length(n: int, rate: int, to: int = RATE) -> int:
+    g = gcd(rate, to)
+    return -(-n * (to // g) // (rate // g))
+
+
+def resample(x: np.ndarray, rate: int, to: int = RATE, begin: int = 0, end: int | None = None) -> np.ndarray:
+    """Samples [begin, end) of clips [clip, sample] at another rate; all of them if end is not given."""
+    length = resampled_length(x.shape[1], rate, to)
+    end = length if end is None else min(end, length)
     if rate == to or not x.shape[1]:
-        return x
+        return x[:, begin:end].astype(np.float32)
     up, down, base, taps = _phases(rate, to)
-    n = -(-x.shape[1] * up // down)
-    blocks = -(-n // up)
-    pad = np.zeros((x.shape[0], blocks * down + TAPS + down), np.float32)
-    pad[:, TAPS // 2 - 1 : TAPS // 2 - 1 + x.shape[1]] = x
+    n = taps.shape[1]
+    first, last = begin // up, -(-end // up)
+    blocks = last - first
+    low, high = first * down - n // 2 + 1, last * down + n // 2 + 1  # of the input; what lies outside is silence
+    pad = np.zeros((x.shape[0], max(high - low, blocks * down + n)), np.float32)
+    a, b = max(low, 0), min(high, x.shape[1])
+    if a < b:
+        pad[:, a - low : b - low] = x[:, a:b]
     out = np.zeros((x.shape[0], blocks, up), np.float32)
-    if up <= 1024 and (down + TAPS) * up <= 1 << 20:  # a block of `down` samples gives `up`: one product for all blocks
-        matrix = np.zeros((down + TAPS, up), np.float32)
-        matrix[base[None, :] + np.arange(TAPS)[:, None], np.arange(up)[None, :]] = taps.T
-        views = np.lib.stride_tricks.sliding_window_view(pad, down + TAPS, axis=1)[:, ::down][:, :blocks]
-        out = views @ matrix
+    if up <= 1024 and (down + n) * up <= 1 << 20:  # a block of `down` samples gives `up`: one product for all blocks
+        matrix = np.zeros((down + n, up), np.float32)
+        matrix[base[None, :] + np.arange(n)[:, None], np.arange(up)[None, :]] = taps.T
+        views = np.lib.stride_tricks.sliding_window_view(pad, down + n - 1, axis=1)[:, ::down][:, :blocks]
+        out = views @ matrix[:-1]
     else:
+        views = np.lib.stride_tricks.sliding_window_view(pad, n, axis=1)
         for p in range(up):
-            first = base[p] + np.arange(blocks) * down
-            out[:, :, p] = pad[:, first[:, None] + np.arange(TAPS)] @ taps[p]
-    return out.reshape(x.shape[0], -1)[:, :n]
+            out[:, :, p] = views[:, base[p] + np.arange(blocks) * down] @ taps[p]
+    return out.reshape(x.shape[0], -1)[:, begin - first * up : end - first * up]
 
 
 # --- Log-mel bands and segments
@@ -92,9 +114,13 @@ def mel_bands(rate: int = RATE, size: int = FFT, bands: int = BANDS) -> np.ndarr
     return np.maximum(0, np.minimum(rise, fall)).astype(np.float32)
 
 
-def frames(x: np.ndarray) -> np.ndarray:
-    """[clip, frame, FRAME], at least one; the last is filled with silence."""
-    n = max(1, -(-(x.shape[1] - FRAME) // HOP) + 1)
+def frame_count(n: int) -> int:
+    """At least one; the last is filled with silence."""
+    return max(1, -(-(n - FRAME) // HOP) + 1)
+
+
+def frames(x: np.ndarray, n: int) -> np.ndarray:
+    """[clip, frame, FRAME], so many."""
     pad = np.zeros((x.shape[0], (n - 1) * HOP + FRAME), np.float32)
     pad[:, : min(x.shape[1], pad.shape[1])] = x[:, : pad.shape[1]]
     return np.lib.stride_tricks.sliding_window_view(pad, FRAME, axis=1)[:, ::HOP]
@@ -113,16 +139,11 @@ def active(energy: np.ndarray, least: int = LEAST) -> list[tuple[int, int]]:
     if top <= FLOOR:
         return []
     level = 10 * np.log10(np.maximum(energy / top, 1e-12))
-    out, begin = [], None
-    for i, db in enumerate(level.tolist()):
-        if begin is None and db >= RISE_DB:
-            begin = i
-        elif begin is not None and db < FALL_DB:
-            out.append((begin, i))
-            begin = None
-    if begin is not None:
-        out.append((begin, len(level)))
-    return [(a, b) for a, b in out if b - a >= least]
+    turns = np.where(level >= RISE_DB, 1, np.where(level < FALL_DB, -1, 0))
+    last = np.maximum.accumulate(np.where(turns != 0, np.arange(len(level)), -1))
+    on = np.concatenate([[False], (last >= 0) & (turns[last] == 1), [False]])
+    edges = np.flatnonzero(on[1:] != on[:-1]).reshape(-1, 2)
+    return [(a, b) for a, b in edges.tolist() if b - a >= least]
 
 
 def tensors(mel: np.ndarray, seconds: float) -> bytes:
@@ -147,40 +168,51 @@ def read_tensors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def features(clips: np.ndarray, rate: int) -> list[dict]:
-    """Of clips of the same length and rate."""
-    sound = resample(clips, rate)
-    cut = frames(sound)
-    mel, energy = log_mel(cut), np.einsum("cfs,cfs->cf", cut, cut) / FRAME
+    """Of clips (16-bit numbers) of the same length and rate."""
+    length = resampled_length(clips.shape[1], rate)
+    n = frame_count(length)
+    mel, energy = np.empty((len(clips), n, BANDS), np.float32), np.empty((len(clips), n), np.float32)
+    for a in range(0, n, STRETCH):
+        b = min(a + STRETCH, n)
+        sound = resample(clips, rate, RATE, a * HOP, (b - 1) * HOP + FRAME) / np.float32(32768)
+        cut = frames(sound, b - a)
+        mel[:, a:b], energy[:, a:b] = log_mel(cut), np.einsum("cfs,cfs->cf", cut, cut) / FRAME
     seconds = clips.shape[1] / rate
     step = HOP / RATE
     out = []
     for i in range(len(clips)):
         segments = [{"start_s": a * step, "end_s": min(b * step, seconds)} for a, b in active(energy[i])]
-        out.append({"rate": rate, "n_frames": mel.shape[1], "n_windows": -(-mel.shape[1] // FRAMES), "segments": segments, "tensors": tensors(mel[i], seconds)})
+        out.append({"rate": rate, "n_frames": n, "n_windows": -(-n // FRAMES), "segments": segments, "tensors": tensors(mel[i], seconds)})
     return out
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            rows = batch.slice(at, 256).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column("pcm")), 0).to_numpy().astype(np.int64)
+        at = 0
+        while at < batch.num_rows:
+            to = at + 1
+            while to < batch.num_rows and to - at < 256 and sizes[at : to + 1].sum() <= 8 << 20:
+                to += 1
+            rows = batch.slice(at, to - at).to_pylist()
             out = [{"media_id": r["media_id"], "rate": r["rate"], "n_frames": 0, "n_windows": 0, "segments": [], "tensors": None} for r in rows]
             alike: dict[tuple[int, int], list[int]] = {}
             for i, r in enumerate(rows):
                 if r["pcm"] is not None and len(r["pcm"]) > 1 and (r["rate"] or 0) > 0:
                     alike.setdefault((r["rate"], len(r["pcm"]) // 2), []).append(i)
             for (rate, n), which in alike.items():
-                most = max(1, (1 << 20) // n)
+                most = max(1, TOGETHER // n)
                 for a in range(0, len(which), most):
                     some = which[a : a + most]
-                    clips = np.stack([np.frombuffer(rows[i]["pcm"], "<i2", n) for i in some]).astype(np.float32) / np.float32(32768)
-                    for i, found in zip(some, features(clips, rate)):
+                    for i, found in zip(some, features(np.stack([np.frombuffer(rows[i]["pcm"], "<i2", n) for i in some]), rate)):
                         out[i] |= found
             yield pa.RecordBatch.from_pylist(out, schema=_FEATURES)
+            at = to
 
 
 def audio_features(media: DataFrame) -> DataFrame:
     """FEATURES of (media_id, pcm, rate)."""
+    C.steady(media.sparkSession)
     return media.selectExpr("cast(media_id as long) media_id", "cast(pcm as binary) pcm", "cast(rate as int) rate").mapInArrow(_features, FEATURES)
 
 
@@ -189,31 +221,24 @@ def audio_features(media: DataFrame) -> DataFrame:
 SYNTH_RATE, SYNTH_STEP = 22_050, 220
 
 
-def _sound(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _sound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("media_id", pa.int64()), ("pcm", pa.binary()), ("rate", pa.int32())])
-
-    def sound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = np.arange(SYNTH_STEP) / SYNTH_RATE
-        tones = np.sin(2 * np.pi * (200 + 50 * np.arange(width))[:, None] * t).astype(np.float32)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                vectors = part.column("embedding").to_pylist()
-                pcm = []
-                for v in vectors:
-                    if not v:
-                        pcm.append(None)
-                        continue
-                    x = np.zeros(width, np.float32)
-                    x[: len(v)] = [y or 0 for y in v[:width]]
-                    x /= max(np.abs(x).max(), 1e-9)
-                    x[np.abs(x) < 0.3] = 0
-                    pcm.append((x[:, None] * tones * 32000).astype("<i2").tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array(pcm, pa.binary()), pa.array([SYNTH_RATE] * part.num_rows, pa.int32())], schema=schema)
-
-    return sound
-
-
-def sounded(embeddings: DataFrame, width: int = 64) -> DataFrame:
-    """(media_id, pcm, rate): each embedding as a clip of `width` tones of 10 ms, as loud as its elements; faint ones are silent."""
-    return embeddings.selectExpr("cast(vec_id as long) vec_id", "embedding").mapInArrow(_sound(width), "media_id long, pcm binary, rate int")
+    t = np.arange(SYNTH_STEP) / SYNTH_RATE
+    for batch in batches:
+        pcm = []
+        for v in batch.column("embedding"):
+            if not v.is_valid or not len(v):
+                pcm.append(None)
+                continue
+            x = np.nan_to_num(v.values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float32))
+            x = x / max(np.abs(x).max(), np.float32(1e-9))
+            x[np.abs(x) < 0.3] = 0
+            tones = np.sin(2 * np.pi * (200 + 50 * (np.arange(len(x)) % 64))[:, None] * t).astype(np.float32)
+            pcm.append((x[:, None] * tones * 32000).astype("<i2").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(pcm, pa.binary()), pa.array([SYNTH_RATE] * batch.num_rows, pa.int32())], schema=schema)
+
+
+def sounded(embeddings: DataFrame) -> DataFrame:
+    """(media_id, pcm, rate): each embedding as a clip of tones of 10 ms, one for each element and as loud; faint ones are silent."""
+    C.steady(embeddings.sparkSession)
+    return embeddings.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(_sound, "media_id long, pcm binary, rate int")
