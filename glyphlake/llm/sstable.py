@@ -36,12 +36,12 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import buckets
+from .common import buckets, steady, text_bytes
 from .packing import RANKS, encoding
 
 MAGIC = b"GLSST\x01"
 BLOCK, RESTART, BITS_PER_KEY, PROBES = 32 << 10, 16, 10, 7
-SHARD_BYTES, RANGE_BYTES = 32 << 20, 12 << 20
+SHARD_BYTES, RANGE_BYTES = 32 << 20, 32 << 20
 _FOOTER = struct.Struct("<QQQQQB6s")
 
 
@@ -240,6 +240,7 @@ def _write(path: str, shard_bytes: int) -> Callable[[Iterator[pa.RecordBatch]],
 def shards(docs: DataFrame, range_bytes: int = RANGE_BYTES, shard_bytes: int = SHARD_BYTES, path: str = RANKS) -> DataFrame:
     """SHARD rows: data is a whole table. shard is named by its range and its number within."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = buckets(rows, range_bytes, 1)
-    order = F.col("doc_id").asc_nulls_first()
-    return rows.repartitionByRange(n, order).sortWithinPartitions(order, F.col("text").asc_nulls_first()).mapInArrow(_write(path, shard_bytes), SHARD)
+    steady(docs.sparkSession)
+    n = buckets(text_bytes(rows), range_bytes)
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]  # many documents of one identifier may be in several ranges
+    return rows.repartitionByRange(n, *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first()).mapInArrow(_write(path, shard_bytes), SHARD)
