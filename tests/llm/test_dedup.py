@@ -115,6 +115,25 @@ def test_earlier(strings, rng):
     assert S.earlier(lcps, [(o,) for o in order]) == wanted
 
 
+@pytest.mark.parametrize("size", [S._BUCKET, 3000])
+def test_a_passage_in_every_document(spark, monkeypatch, size):
+    """Windows that a run has often: in one bucket, and in many."""
+    monkeypatch.setattr(S, "_BUCKET", size)
+    rng = random.Random(7)
+    own = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage, other = own(30), own(12)
+    rows = [(i, f"{own(5)} {passage} {own(3)}" + (f" {other} {own(2)}" if i % 3 else "")) for i in range(120)] + [(500 + i, f"{passage} {other}") for i in range(20)] + [(3, "x " * 50)]
+    rows += rows[:15]
+    for per_range in (100_000, 10):
+        found = {}
+        for r in S.repeated_spans(frame(spark, rows), width=8, per_range=per_range).collect():
+            found.setdefault(r.doc_id, []).append((r.start_word, r.end_word))
+        wanted = {}
+        for (d, _), spans in brute_spans(rows, 8).items():
+            wanted.setdefault(d, []).extend(spans)
+        assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in wanted.items()}
+
+
 # --- Similar pairs
 
 
@@ -156,6 +175,21 @@ def test_pairs_hard(spark):
     assert J.pairs(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("size", [J._BUCKET, 3000])
+def test_a_gram_in_every_document(spark, monkeypatch, size):
+    """Columns that a run has often: in one bucket, and in many."""
+    monkeypatch.setattr(J, "_BUCKET", size)
+    rng = random.Random(11)
+    own = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    common, texts = own(9), []
+    for i in range(60):
+        base = f"{common} {own(6)}"
+        texts += [base, f"{base} {own(1)}"] + ([base] if i % 4 == 0 else [])
+    rows = list(enumerate(texts + [common] * 3 + texts[:30]))
+    found = {(r.doc_a, r.doc_b, r.overlap, round(r.jaccard, 9)) for r in J.pairs(frame(spark, rows), 3, 0.5).collect()}
+    assert found == brute_pairs(rows, 3, 0.5)
+
+
 def test_all_pairs(spark):
     originals = texts(20, seed=3, words=12, vocabulary=2)
     rows = [(None if i == 41 else i, t) for i, t in enumerate(originals * 2 + originals[:3] + ["", None])]
@@ -204,6 +238,24 @@ def test_components(spark):
     assert J.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_shared_folder(spark, monkeypatch):
+    """Off one machine, a folder has to be named."""
+    from types import SimpleNamespace
+
+    from glyphlake.llm import common as C
+
+    for master, fine in (("local[4]", True), ("local-cluster[3,2,1000]", False), ("spark://h:7077", False), ("yarn", False)):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda _: None)
+        session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None))
+        if fine:
+            assert C.shared_dir(session).startswith("file:///")
+        else:
+            with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+                C.shared_dir(session)
+        session.conf = SimpleNamespace(get=lambda *_: "hdfs://x/y/")
+        assert C.shared_dir(session).startswith("hdfs://x/y/glyphlake-")
+
+
 @pytest.mark.parametrize("name", ["op6_ngram_jaccard_join", "op7_suffix_array_dedup"])
 def test_against_sql(spark, name):
     assert differences(Q.QUERIES[name], Q.ORACLE[name], spark, f"{DATA}/sf0.001") == ({}, {})

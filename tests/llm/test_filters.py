@@ -49,11 +49,51 @@ def test_forward_sums_all_segmentations():
             assert scores[i, k] == pytest.approx(np.log(segmentations(b" " + w, table)))
 
 
+def log_sums(word, log_p):
+    """The logarithm of the sum over all segmentations, in logarithms from the start."""
+    longest, at = max(map(len, log_p)), [0.0] + [-np.inf] * len(word)
+    for e in range(1, len(word) + 1):
+        parts = [at[b] + log_p[word[b:e]] for b in range(max(0, e - longest), e) if word[b:e] in log_p]
+        at[e] = np.logaddexp.reduce(parts)
+    return at[-1]
+
+
+def test_long_words_are_scored_whole():
+    pieces = L.Pieces(L.vocabulary())
+    p = np.random.default_rng(1).random((len(pieces.pieces), 2)) ** 4
+    p /= p.sum(axis=0)
+    model = L.Model(["a", "b"], pieces, p * np.power(L.SCALE, [len(x) for x in pieces.pieces])[:, None])
+    words = ["自然言語処理は人間が日常的に使っている自然言語をコンピュータに処理させる一連の技術である", "हिन्दीहिन्दीहिन्दीहिन्दीहिन्दी", "the" * 11, "x" * 31, "x" * 32, "y" * 33, "été" * 300, "qzxj" * 3000, "\u0e20\u0e32" * 170]
+    coded = [w.encode() for w in words]
+    assert {len(w) <= L.SHORT for w in coded} == {True, False} and any(len(w) > L.MIDDLE for w in coded)
+    data, ends = np.frombuffer(b"".join(coded), np.uint8), np.cumsum([len(w) for w in coded])
+    scores = model.score(data, ends - [len(w) for w in coded], ends)
+    for k in range(2):
+        log_p = dict(zip(pieces.pieces, np.log(p[:, k])))
+        assert scores[:, k] == pytest.approx([log_sums(b" " + w, log_p) for w in coded], rel=1e-9)
+    together = L.Scorer(model).texts(pa.array([" ".join(words)]))
+    assert together[0][0] == pytest.approx(scores[:, :].sum(axis=0).tolist() + [0] * (together[0].shape[1] - 2), rel=1e-5) and together[1][0] == sum(len(w) + 1 for w in coded)
+
+
+def test_expectation_of_long_words():
+    """Each word's pieces cover its bytes, whatever its length; and side by side is as alone."""
+    pieces = L.Pieces(L.vocabulary())
+    lengths = np.array([len(x) for x in pieces.pieces])
+    scaled = np.random.default_rng(2).random((len(lengths), 2)) ** 3 * np.power(L.SCALE, lengths)[:, None] * 1e-4
+    words = ["言語" * 9, "a" * 40, "thing" * 11]
+    coded = [w.encode() for w in words]
+    data, ends = np.frombuffer(b"".join(coded), np.uint8), np.cumsum([len(w) for w in coded])
+    total = np.zeros_like(scaled)
+    for which, matrix, n in L.side_by_side(data, ends - [len(w) for w in coded], ends, L.FITTED):
+        total += L.expected_counts(pieces, scaled, matrix, n, np.ones((len(which), 2)))
+    assert (total * lengths[:, None]).sum(axis=0) == pytest.approx([sum(len(w) + 1 for w in coded)] * 2)
+
+
 def test_expectation_counts_add_up():
     pieces = L.Pieces(L.vocabulary())
     scaled = np.full((len(pieces.pieces), 1), 1e-4) * np.power(L.SCALE, [len(x) for x in pieces.pieces])[:, None]
     matrix = np.frombuffer(b" house train", np.uint8).reshape(2, 6)
-    counts = L.expected_counts(pieces, scaled, matrix, np.array([[3.0], [2.0]]))
+    counts = L.expected_counts(pieces, scaled, matrix, np.array([6, 6]), np.array([[3.0], [2.0]]))
     lengths = np.array([len(x) for x in pieces.pieces])
     assert (counts[:, 0] * lengths).sum() == pytest.approx(6 * 5)  # each word's pieces cover its bytes
 
@@ -174,6 +214,18 @@ def test_entries_in_any_form(spark):
     assert {r.url: r.entry for r in U.filtered(pages, listed).collect()} == cases
 
 
+def test_a_missing_segment_fails(tmp_path):
+    group = pa.table({"segment": pa.array([0], pa.int32()), "digest": pa.array([5], pa.int64()), "entry": ["same"]})
+    U._segments(str(tmp_path))(group)
+    batch = pa.record_batch({"url": ["u"], "entry": ["same"], "digest": pa.array([5], pa.int64()), "segment": pa.array([0], pa.int32())})
+    assert [b.num_rows for b in U._probe(str(tmp_path), {0: 1})(iter([batch]))] == [1]
+    assert [b.num_rows for b in U._probe(str(tmp_path), {})(iter([batch]))] == [0]
+    with pytest.raises(OSError, match="whole"):
+        list(U._probe(str(tmp_path), {0: 2})(iter([batch])))
+    with pytest.raises(FileNotFoundError):
+        list(U._probe(str(tmp_path / "gone"), {0: 1})(iter([batch])))
+
+
 def test_collisions_are_confirmed(tmp_path):
     group = pa.table({"segment": pa.array([0, 0, 0], pa.int32()), "digest": pa.array([5, 5, -3], pa.int64()), "entry": ["same", "other", "high"]})
     U._segments(str(tmp_path))(group)
@@ -289,10 +341,29 @@ def test_anchor_in_two_lines(spark, tmp_path):
     assert of_sql(spark, docs, tmp_path) == ({}, {})
 
 
-def test_digests(spark, monkeypatch):
-    """A licence that is known by digests only."""
-    parts = ["You may copy this permit", "It comes without warranty"]
-    monkeypatch.setattr(S, "DIGESTS", {f"own-{k}": S.digest(S.normalised(p)) for k, p in enumerate(parts)})
-    monkeypatch.setattr(S, "RULES", [("Own", ["own-0", "own-1"])])
-    rows = S.licences(spark.createDataFrame([(1, ". ".join(parts) + "."), (2, parts[1])], "doc_id long, text string")).collect()
-    assert [(r.doc_id, r.licence, r.n_sentences) for r in rows] == [(1, "Own", 2)]
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+
+
+def test_mit(spark):
+    texts = ["MIT License\n\nCopyright (c) 2001 A. Person\n\n" + MIT, MIT.replace("\n\n", "@").replace("\n", " ").replace("@", "\n"), "\n".join("// " + x for x in MIT.split("\n")), MIT[:600], MIT.upper()[:300]]
+    found = {}
+    for r in S.licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        found.setdefault(r.doc_id, []).append((r.licence, r.n_sentences))
+    assert {k: [x for x, _ in v] for k, v in found.items()} == {0: ["MIT"], 1: ["MIT"], 2: ["MIT"], 3: ["MIT"]}
+    assert all(n >= 4 for v in (found[k] for k in (0, 1, 2)) for _, n in v)
