@@ -3,16 +3,19 @@
 The steps, in order: clean up white space; substitute glyph sequences, longer ones
 first; put signs in their logical order; join vowel signs; move reph; keep
 ya-phala from merging; normalise (NFC). None looks across white space but the
-first, so the Arrow function works word by word and does each word once.
+first, so the Arrow function cuts its column into words, does each distinct word
+once and puts the texts together again, all of it by Arrow's kernels but the steps.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
@@ -95,98 +98,131 @@ def post_passes(text: Column) -> Column:
     return text
 
 
-@cache
-def _levels() -> tuple[list, list, dict]:
-    """Patterns of the longer sequences with their texts; the pairs of ASCII; the single glyphs."""
-    levels = []
-    for n in (4, 3, 2):
-        level = tables.glyphs()[n]
-        if level:
-            levels.append((re.compile("|".join(map(re.escape, sorted(level)))), level))
-    plain = [(k, tables.glyphs()[2][k]) for k in _ordered(tables.glyphs()[2]) if k.isascii()]
-    return levels, plain, str.maketrans(tables.glyphs()[1])
-
-
-def substitute_text(text: str) -> str:
-    levels, plain, singles = _levels()
-    if text.isascii():  # all longer sequences have another character
-        for key, by in plain:
-            if key in text:
-                text = text.replace(key, by)
-    else:
-        for pattern, level in levels:
-            text = pattern.sub(lambda m: level[m[0]], text)  # noqa: B023
-    return text.translate(singles)
-
-
 _LEADING, _CONJUNCT, _MARK, _YA_PHALA = (re.compile(p[0]) for p in (REORDER_LEADING, REORDER_CONJUNCT, REORDER_MARK, YA_PHALA))
 _REPH = regex.compile(REPH[0])
-_LEADING_SIGNS, _MARKS = frozenset("\u09bf\u09c7\u09c8"), frozenset("\u0981\u0982\u0983")
-
-
-def word_to_unicode(word: str) -> str:
-    """A string without white space, from glyphs to Unicode. A step is left out where the word has nothing for it."""
-    word = substitute_text(word)
-    if not _LEADING_SIGNS.isdisjoint(word):
-        word = _LEADING.sub(REORDER_LEADING[1], word)
-    halant = HALANT in word
-    if halant:
-        word = _CONJUNCT.sub(REORDER_CONJUNCT[1], word)
-    if not _MARKS.isdisjoint(word):
-        word = _MARK.sub(REORDER_MARK[1], word)
-    if E_SIGN in word:
-        word = word.replace(E_SIGN + AA_SIGN, O_SIGN).replace(E_SIGN + AU_TAIL, AU_SIGN)
-    if halant and RA + HALANT in word:
-        word = _REPH.sub(REPH[1], word)
-        word = _YA_PHALA.sub(YA_PHALA[1], word)
-    return unicodedata.normalize("NFC", word)
-
-
-class _Words(dict):
-    """Words that were converted before; forgets all when it is large."""
-
-    def __missing__(self, word: str) -> str:
-        if len(self) > 500_000:
-            self.clear()
-        found = self[word] = word_to_unicode(word)
-        return found
-
-
-_WORDS = _Words()
-_RETURNS = re.compile("\r([\r\u00a0]*)\n?")
+_RETURNS = "\r([\r\u00a0]*)\n?"
+
+
+class Converter:
+    """The steps on Python strings and Arrow columns, with the words that were converted before; forgets all when they are many.
+
+    No step looks across white space, so all new words of a batch go through a step at once, with spaces between.
+    """
+
+    def __init__(self, glyphs: dict[int, dict[str, str]], most: int = 500_000) -> None:
+        self.most = most
+        self.levels = [(re.compile("|".join(map(re.escape, sorted(glyphs[n])))), glyphs[n]) for n in (4, 3, 2) if glyphs[n]]
+        plain_only = all(not k.isascii() for n in (4, 3) for k in glyphs[n])
+        self.plain = [(k, glyphs[2][k]) for k in _ordered(glyphs[2]) if k.isascii()] if plain_only else None
+        self.singles = str.maketrans(glyphs[1])
+        self.unicode: dict[str, str] = {}
+        self.substituted: dict[str, str] = {}
+
+    def substitute(self, text: str) -> str:
+        if self.plain is not None and text.isascii():  # all longer sequences have another character
+            for key, by in self.plain:
+                if key in text:
+                    text = text.replace(key, by)
+        else:
+            for pattern, level in self.levels:
+                text = pattern.sub(lambda m: level[m[0]], text)  # noqa: B023
+        return text.translate(self.singles)
+
+    def convert(self, text: str) -> str:
+        """All steps behind the clean-up."""
+        text = self.substitute(text)
+        text = _LEADING.sub(REORDER_LEADING[1], text)
+        halant = HALANT in text
+        if halant:
+            text = _CONJUNCT.sub(REORDER_CONJUNCT[1], text)
+        text = _MARK.sub(REORDER_MARK[1], text)
+        if E_SIGN in text:
+            text = text.replace(E_SIGN + AA_SIGN, O_SIGN).replace(E_SIGN + AU_TAIL, AU_SIGN)
+        if halant and RA + HALANT in text:
+            text = _REPH.sub(REPH[1], text)
+            text = _YA_PHALA.sub(YA_PHALA[1], text)
+        return unicodedata.normalize("NFC", text)
+
+    def words(self, words: list[str], step: Callable[[str], str], known: dict[str, str]) -> list[str]:
+        """Each word after a step."""
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > self.most:
+            known.clear()
+            new = words
+        for plain in (True, False):  # those of ASCII go a shorter way
+            some = [w for w in new if w.isascii() == plain]
+            if some:
+                done = step(" ".join(some)).split(" ")
+                known.update(zip(some, done if len(done) == len(some) else map(step, some)))
+        return [known[w] for w in words]
+
+    def column(self, texts: pa.Array, step: Callable[[str], str], known: dict[str, str]) -> pa.Array:
+        """Texts, each distinct word done once."""
+        missing = texts.is_null()
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", "\n "), " ")
+        words = lists.flatten().dictionary_encode()
+        done = pa.array(self.words(words.dictionary.to_pylist(), step, known), pa.string()).take(words.indices)
+        joined = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, done), " ")
+        return pc.if_else(missing, pa.scalar(None, pa.string()), pc.replace_substring(joined, "\n ", "\n"))
+
+
+def _clean(texts: pa.Array) -> pa.Array:
+    """As pre_normalize()."""
+    has = lambda c: pc.any(pc.match_substring(texts, c)).as_py()
+    if has("\u00ad"):
+        texts = pc.replace_substring(texts, "\u00ad", "")
+    if has("\r"):
+        texts = pc.replace_substring(pc.replace_substring_regex(texts, _RETURNS, "\\1\n"), "\r", "")
+    return pc.replace_substring(texts, "\u00a0", " ") if has("\u00a0") else texts
+
+
+_CONVERTERS: dict[str, Converter] = {}
+
+
+def converter(encoding: str = "bijoy", glyphs: dict[int, dict[str, str]] | None = None) -> Converter:
+    """The process's converter of an encoding."""
+    if encoding not in _CONVERTERS:
+        _CONVERTERS[encoding] = Converter(glyphs or tables.glyphs(encoding))
+    return _CONVERTERS[encoding]
 
 
 def text_to_unicode(text: str) -> str:
-    if "\u00ad" in text:
-        text = text.replace("\u00ad", "")
-    if "\r" in text:
-        text = _RETURNS.sub("\\1\n", text).replace("\r", "")
-    if "\u00a0" in text:
-        text = text.replace("\u00a0", " ")
-    word = _WORDS.__getitem__
-    return "\n".join([" ".join(map(word, line.split(" "))) for line in text.split("\n")])
+    return to_unicode(pa.array([text], pa.string()))[0].as_py()
 
 
-def _mapped(f, column: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else f(x) for x in column.to_pylist()], pa.string())
+def to_unicode(texts: pa.Array, encoding: str = "bijoy", glyphs: dict[int, dict[str, str]] | None = None) -> pa.Array:
+    one = converter(encoding, glyphs)
+    return one.column(_clean(texts), one.convert, one.unicode)
 
 
 @F.arrow_udf(StringType())
 def substitute_fast(text: pa.Array) -> pa.Array:
     """As substitute()."""
-    return _mapped(lambda x: substitute_text(x.replace("\u00ad", "")), text)
+    one = converter()
+    return one.column(pc.replace_substring(text, "\u00ad", ""), one.substitute, one.substituted)
 
 
 @F.arrow_udf(StringType())
 def nfc(text: pa.Array) -> pa.Array:
     """Unicode normalisation form C, which Spark has no function for."""
-    return _mapped(lambda x: unicodedata.normalize("NFC", x), text)
+    return pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in text.to_pylist()], pa.string())
 
 
-@F.arrow_udf(StringType())
-def transliterate(text: pa.Array) -> pa.Array:
+def transliterate(text: Column | str, encoding: str = "bijoy") -> Column:
     """Glyphs to Unicode, all steps."""
-    return _mapped(text_to_unicode, text)
+    return transliterator(encoding)(text)
+
+
+@cache
+def transliterator(encoding: str = "bijoy") -> Callable[[Column | str], Column]:
+    """The function of an encoding, which takes its glyphs along."""
+    glyphs = None if tables.ENCODINGS[encoding].file else tables.glyphs(encoding)
+
+    @F.arrow_udf(StringType())
+    def transliterate(text: pa.Array) -> pa.Array:
+        return to_unicode(text, encoding, glyphs)
+
+    return transliterate
 
 
 def transliterate_native(text: Column) -> Column:

@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from glyphlake import __version__
+
 from . import bengali, classify, fonts, tables
 
 
+def core_version() -> str:
+    """Of the functions that are registered."""
+    return __version__
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -22,7 +29,7 @@ def register(spark: SparkSession) -> list[str]:
     which Catalyst puts in their callers' place.
     """
     legacy, unicode_, families = tables.fonts()
-    spark.udf.register("transliterate", bengali.transliterate)
+    spark.udf.register("transliterate", bengali.transliterator())
     spark.udf.register("nfc", bengali.nfc)
     plain = f"translate(regexp_replace(name, '^[A-Z]{{6}}\\\\+', ''), '{fonts.UPPER}', '{fonts.LOWER}')"
     base = plain
@@ -34,6 +41,7 @@ def register(spark: SparkSession) -> list[str]:
     words = ", ".join(_quoted(w) for w in sorted(tables.english()))
     density = lambda chars: f"regexp_count(text, {_quoted(chars)}) / greatest(char_length(text), 1)"
     bodies = {
+        "core_version() RETURNS STRING": f"'{__version__}'",
         "has_bengali_unicode(text STRING) RETURNS BOOLEAN": "text rlike '[ঀ-৿]'",
         "strip_subset_prefix(name STRING) RETURNS STRING": "regexp_replace(name, '^[A-Z]{6}\\\\+', '')",
         "is_ansi_font(name STRING) RETURNS BOOLEAN": f"exists({_strings(legacy)}, f -> contains({plain}, f)) OR endswith({plain}, 'mj')",

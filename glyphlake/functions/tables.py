@@ -7,7 +7,7 @@ from functools import cache
 from importlib.resources import files
 
 #: Glyphs that make text look legacy-encoded, and pairs of a letter and a vowel sign.
-DISTINCTIVE = "".join(chr(c) for c in range(0xA1, 0x100) if chr(c) not in "¤¨\xad°±²³´¹º¿ÍÎÐÑÒÓÔÕÖÝæèñøúÿ") + "ŒŠš—†‡•‰‹›"
+DISTINCTIVE = "¡¢£¥¦§©ª«¬®¯µ¶·¸»¼½¾ÀÁÂÃÄÅÆÇÈÉÊËÌÏ×ØÙÚÛÜÞßàáâãäåçéêëìíîïðòóôõö÷ùûüýþŒŠš—†‡•‰‹›"
 AA_SIGN = "ABKMNPRSTYZabcdefghijklmnpq"  # each before v
 I_SIGN = "KMPQRZabcdefghijklmnpq"  # each after w
 E_SIGN = "KLMNPQRSTUVWXYZbcdefghijklmnpq"  # each after ‡
@@ -28,12 +28,38 @@ def _text(points: str) -> str:
     return "".join(chr(int(p, 16)) for p in points.split("."))
 
 
+@dataclass(frozen=True)
+class Encoding:
+    """A legacy encoding: its name, other names for it, and the file of glyphs or the pairs themselves.
+
+    A new one is a new entry of ENCODINGS; options name it, and conversions use its glyphs.
+    """
+
+    name: str
+    aliases: tuple[str, ...]
+    file: str | None = None
+    pairs: tuple[tuple[str, str], ...] = ()
+
+
+ENCODINGS = {"bijoy": Encoding("bijoy", ("bijoy", "sutonnymj"), "glyphs.txt")}
+
+
+def encoding_of(name: str | None) -> str:
+    """The encoding of a name or an alias, in any case."""
+    wanted = (name or "bijoy").lower()
+    for encoding in ENCODINGS.values():
+        if wanted in encoding.aliases:
+            return encoding.name
+    raise ValueError(f"unknown encoding {name!r}")
+
+
 @cache
-def glyphs() -> dict[int, dict[str, str]]:
+def glyphs(encoding: str = "bijoy") -> dict[int, dict[str, str]]:
     """Unicode text by glyph sequence, by the sequence's length."""
+    chosen = ENCODINGS[encoding]
+    pairs = [(key, text) for text, key in ((_text(x) for x in line.split(" = ")) for line in _lines(chosen.file))] if chosen.file else chosen.pairs
     out: dict[int, dict[str, str]] = {4: {}, 3: {}, 2: {}, 1: {}}
-    for line in _lines("glyphs.txt"):
-        text, key = (_text(x) for x in line.split(" = "))
+    for key, text in pairs:
         out[len(key)][key] = text
     return out
 
@@ -55,23 +81,3 @@ def fonts() -> tuple[list[str], list[str], list[Family]]:
 @cache
 def english() -> frozenset[str]:
     return frozenset(w for line in _lines("english.txt") for w in line.split())
-
-
-@dataclass(frozen=True)
-class Encoding:
-    """A legacy encoding; a new one is a new entry of ENCODINGS."""
-
-    name: str
-    aliases: tuple[str, ...]
-
-
-ENCODINGS = {"bijoy": Encoding("bijoy", ("bijoy", "sutonnymj"))}
-
-
-def encoding_of(name: str | None) -> str:
-    """The encoding of a name or an alias, in any case."""
-    wanted = (name or "bijoy").lower()
-    for encoding in ENCODINGS.values():
-        if wanted in encoding.aliases:
-            return encoding.name
-    raise ValueError(f"unknown encoding {name!r}")

@@ -61,3 +61,8 @@ def parse_run_id(identifier: Column, kind: str) -> Column:
     pattern, names = RUN_IDS[kind]
     parts = [F.regexp_extract(identifier, pattern, i + 1).cast("int").alias(n) for i, n in enumerate(names)]
     return F.when(identifier.rlike(pattern), F.struct(*parts))
+
+
+def is_entire_sheet(rows: Column, columns: Column, most_rows: Column, most_columns: Column) -> Column:
+    """Whether a selection covers its sheet."""
+    return (rows >= most_rows) & (columns >= most_columns)

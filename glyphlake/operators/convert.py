@@ -23,7 +23,7 @@ def convert_runs(runs: DataFrame, options: ConvertOptions = ConvertOptions(), te
     Only the texts to be changed go to Python. Extra columns stay.
     """
     out = classify.with_classification(runs, text, font, options.mode).withColumn("changed", should_convert(options.bar))
-    out = out.withColumn("new_text", bengali.transliterate(F.when(F.col("changed"), F.col(text))))
+    out = out.withColumn("new_text", bengali.transliterate(F.when(F.col("changed"), F.col(text)), options.encoding))
     target: Column = F.lit(options.unicode_font)
     if options.auto_match and font is not None:
         target = F.coalesce(fonts.matched(F.col(font)), target)
@@ -86,6 +86,11 @@ def exit_code(summary: DataFrame, error: str | None = None) -> DataFrame:
     return summary.agg(F.when(failed, 2).otherwise(F.coalesce(F.max(F.col("any_change").cast("int")), F.lit(0))).alias("exit_code"))
 
 
+def job_results(results: DataFrame) -> DataFrame:
+    """(status, files, runs_converted) of what convert_batch() gives, by status."""
+    return results.groupBy("status").agg(F.count("*").alias("files"), F.coalesce(F.sum("runs_converted"), F.lit(0)).alias("runs_converted"))
+
+
 def batch_totals(results: DataFrame) -> DataFrame:
     """(status, files) of files with `error`, `skipped` and `changed`."""
     status = F.when(F.col("skipped"), "skipped").when(F.col("error").isNotNull(), "error").when(F.col("changed"), "converted").otherwise("unchanged")

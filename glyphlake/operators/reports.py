@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from glyphlake.functions import tables
 from glyphlake.functions.text import code_points
 
-PASSED = [*range(0x21), *(ord(c) for c in string.punctuation if c not in "\"$&'@\\^_`|~")]
+PASSED = [*range(0x21), *map(ord, "!#%()*+,-./:;<=>?[]{}")]
 FOREIGN = [0xFEFB, 0xFEFC, 0xFFFB, 0xFFFC, 0x20AC, 0xFFFD]
 #: (least, greatest, category), the first that fits.
 BLOCKS = [
     (0x21, 0x7E, "ascii-printable"), (0xA0, 0xFF, "latin1-extended"), (0x80, 0x9F, "c1-control"), (0x100, 0x24F, "latin-extended"), (0x900, 0x97F, "devanagari"), (0x980, 0x9FF, "bengali-unicode"),
     (0x2000, 0x206F, "general-punctuation"), (0x2070, 0x209F, "superscripts"), (0x20A0, 0x20CF, "currency"), (0x2100, 0x214F, "letterlike"), (0x250, 0x2FF, "ipa-spacing-modifiers"), (0xF000, 0xF8FF, "private-use"), (0xFB00, 0xFFFE, "compat-specials"),
 ]
-INTERESTING = ("other", "general-punctuation", "latin1-extended", "ascii-printable", "ipa-spacing-modifiers")
+INTERESTING = ("ascii-printable", "latin1-extended", "ipa-spacing-modifiers", "general-punctuation", "other")
 
 
 def category(point: Column) -> Column:
@@ -69,6 +67,18 @@ def unmapped_points(points: DataFrame, mapped: DataFrame) -> DataFrame:
     return kept.select(kind.alias("category"), "point", "fonts", "sample", kind.isin(*INTERESTING).alias("interesting"))
 
 
+def category_counts(points: DataFrame, mapped: DataFrame) -> DataFrame:
+    """(category, points, interesting) of unmapped points, the largest category first."""
+    found = unmapped_points(points, mapped)
+    return found.groupBy("category").agg(F.count("*").alias("points"), F.first("interesting").alias("interesting")).orderBy(F.desc("points"), "category")
+
+
+def top_fonts(points: DataFrame, mapped: DataFrame, n: int = 10) -> DataFrame:
+    """(font, unmapped): the fonts with most points that no glyph has, ties by name: a top-k, without a whole sort."""
+    rest = points.distinct().filter(~F.col("point").isin(PASSED + FOREIGN)).join(mapped, "point", "left_anti")
+    return rest.groupBy("font").agg(F.count("*").alias("unmapped")).orderBy(F.desc("unmapped"), "font").limit(n)
+
+
 def dead_points(points: DataFrame, mapped: DataFrame) -> DataFrame:
     """(point): of glyphs, but of no font."""
     return mapped.select("point").subtract(points.select("point")).filter(~F.col("point").isin(PASSED + FOREIGN))

@@ -79,3 +79,30 @@ def test_small_functions(spark):
     assert (r.k, r.o, tuple(r.d), r.s, r.h) == ("docx", "a.B.unicode.docx", (5, 10, 25), None, "&lt;a&amp;&#39;&quot;&gt;")
     long = "x" * 100
     assert spark.createDataFrame([(long,)], "t string").select(X.base64_plain(F.col("t"))).first()[0] == __import__("base64").b64encode(long.encode()).decode()
+
+
+def test_english_shares_agree(spark):
+    import random
+
+    rng = random.Random(3)
+    parts = ["the", "The", "HOUSE", "it's", "né", "é", "x", "of", "\u00a0", "\u2003", "\x0b", "\x1c", ",", "(", "]", "`", "\\", "/", "-", "İt", " ", "\n", "\t", "\u3000", "\u0995"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(800)] + ["", None, "the", "of"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", K.english_coverage("t").alias("a"), K.english_coverage_native(F.col("t")).alias("b")).collect()
+    assert [(r.t, r.a) for r in rows if r.t is not None] == [(r.t, r.b) for r in rows if r.t is not None]
+    assert [r.a for r in rows if r.t is None] == [None]
+
+
+def test_another_encoding(spark, monkeypatch):
+    from glyphlake.functions import tables
+
+    monkeypatch.setitem(tables.ENCODINGS, "toy", tables.Encoding("toy", ("toy", "plaything"), pairs=(("ab", "ক"), ("a", "খ"), ("X", "গ"))))
+    options = ConvertOptions.of(encoding="Plaything")
+    assert options.encoding == "toy"
+    runs = spark.createDataFrame([("ab aX b", "SutonnyMJ"), ("ab", None)], RUNS)
+    assert [r.new_text for r in C.convert_runs(runs, options).collect()] == ["ক খগ b", None]
+
+
+def test_hosts(spark):
+    assert register.core_version() == spark.sql(f"SELECT {'core_version()' if register.register(spark) else ''} AS v").first().v
+    row = spark.range(1).select(X.is_entire_sheet(F.lit(3), F.lit(4), F.lit(3), F.lit(4)).alias("a"), X.is_entire_sheet(F.lit(3), F.lit(3), F.lit(3), F.lit(4)).alias("b")).first()
+    assert (row.a, row.b) == (True, False)
