@@ -60,3 +60,38 @@ def files(runs: DataFrame, kind: str) -> DataFrame:
         return pd.DataFrame([(f"{key[0]}.{kind}", content)], columns=["path", "content"])
 
     return runs.groupBy("doc_id").applyInPandas(make, "path string, content binary")
+
+
+def _styled(doc: int) -> bytes:
+    fonts = lambda **names: element("w:rFonts", **{f"w_{k}": v for k, v in names.items()})
+    style = lambda name, *inside, **more: element("w:style", *inside, w_type="paragraph", w_styleId=name, **more)
+    based = lambda name: element("w:basedOn", w_val=name)
+    kind = doc % 7
+    styles = element(
+        "w:styles",
+        element("w:docDefaults", element("w:rPrDefault", element("w:rPr", fonts(ascii="Default")))),
+        style("Normal", element("w:rPr", fonts(hAnsi="Normal")), w_default="1"),
+        style("s1", based("root")),
+        style("s2", based("s1")),
+        style("s3", based("s3")),
+        style("s4", element("w:rPr", fonts(asciiTheme="minorHAnsi"))),
+        style("root", element("w:rPr", fonts(ascii=f"Root{doc % 4}"))),
+        xmlns=True,
+    )
+    theme = element("a:theme", element("a:fontScheme", *(element(f"a:{k}Font", element("a:latin", typeface=f)) for k, f in (("major", "Major"), ("minor", f"Minor{doc}")))), xmlns=True)
+    own = [fonts(ascii="Own", asciiTheme="majorHAnsi")] if doc % 3 == 0 else [fonts(hAnsiTheme="minorAscii" if doc % 4 < 2 else "majorHAnsi")] if doc % 3 == 1 else []
+    properties = [element("w:pStyle", w_val=f"s{kind}")] if 0 < kind < 5 else []
+    properties += [element("w:rPr", fonts(ascii="Paragraph"))] if doc % 5 == 0 else []
+    run = element("w:r", *([element("w:rPr", *own)] if own else []), element("w:t", f"run {doc}"))
+    paragraph = element("w:p", *([element("w:pPr", *properties)] if properties else []), run)
+    return archive({"word/document.xml": element("w:document", element("w:body", paragraph), xmlns=True), "word/styles.xml": styles, "word/theme/theme1.xml": theme})
+
+
+def styled(ids: DataFrame) -> DataFrame:
+    """(path, content): for each doc_id a DOCX file of one run, with styles and a theme."""
+
+    def make(batches):
+        for batch in batches:
+            yield pd.DataFrame([(f"{i}.docx", _styled(i)) for i in batch["doc_id"].tolist()], columns=["path", "content"])
+
+    return ids.mapInPandas(make, "path string, content binary")

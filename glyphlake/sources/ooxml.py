@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -420,26 +421,42 @@ def rewritten(content: bytes, kind: str, actions: dict[tuple[int, int, int], tup
 RUNS = "doc_id string, entry_idx int, slide_index int, paragraph_index int, run_index int, font_name string, text string"
 
 
+_COLUMNS = ["doc_id", "entry_idx", "slide_index", "paragraph_index", "run_index", "font_name", "text", "error"]
+#: What a broken file raises: no archive, parts that aren't UTF-8 or can't be unpacked.
+BROKEN = (OoxmlError, UnicodeDecodeError, zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError)
+
+
+def file_runs(path: str, content: bytes) -> list[tuple]:
+    """RUNS of a file; one row with only an error if it is broken."""
+    kind = kind_of(path)
+    try:
+        if kind == "plain_text":
+            return [(path, 0, None, 0, 0, None, content.decode("utf-8"), None)]
+        return [(path, p.entry, u.slide, u.paragraph, u.index, u.font, u.text, None) for p in parts(content, kind) for u in p.units]
+    except BROKEN as e:
+        return [(path, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
+
+
 def _scan(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["doc_id", "entry_idx", "slide_index", "paragraph_index", "run_index", "font_name", "text"]
     for batch in rows:
         for path, content in zip(batch["path"], batch["content"]):
-            kind = kind_of(path)
-            if kind == "plain_text":
-                out = [(path, 0, None, 0, 0, None, bytes(content).decode("utf-8"))]
-            else:
-                out = [(path, p.entry, u.slide, u.paragraph, u.index, u.font, u.text) for p in parts(bytes(content), kind) for u in p.units]
-            frame = pd.DataFrame(out, columns=columns).astype(object)
+            frame = pd.DataFrame(file_runs(path, bytes(content)), columns=_COLUMNS).astype(object)
             yield frame.where(frame.notna(), None)
 
 
-def scan(files: DataFrame) -> DataFrame:
-    """RUNS of files (path, content), as spark.read.format("binaryFile") has them: orphans merged and adjacent runs grouped.
+def read_runs(files: DataFrame) -> DataFrame:
+    """RUNS and `error`, of files (path, content), as spark.read.format("binaryFile") has them: orphans merged and adjacent runs grouped.
 
     A text file is one run; it must be UTF-8. A DOCX file's headers, footers and
-    notes aren't read.
+    notes aren't read. A broken file has one row, with its error and nothing else; the
+    others aren't affected.
     """
-    return files.select("path", "content").mapInPandas(_scan, RUNS)
+    return files.select("path", "content").mapInPandas(_scan, f"{RUNS}, error string")
+
+
+def scan(files: DataFrame) -> DataFrame:
+    """RUNS of the files that aren't broken."""
+    return read_runs(files).filter("error is null").drop("error")
 
 
 def _writer() -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
@@ -448,11 +465,14 @@ def _writer() -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
         chosen = {(int(r.entry_idx), int(r.paragraph_index), int(r.run_index)): (r.new_text, r.new_font) for r in actions.itertuples() if r.new_text is not None}
         for path, content in zip(files["path"], files["content"]):
             kind = kind_of(path)
-            if kind == "plain_text":
-                text = chosen.get((0, 0, 0), (None, None))[0]
-                data = bytes(content) if text is None else text.encode()
-            else:
-                data = rewritten(bytes(content), kind, chosen)
+            try:
+                if kind == "plain_text":
+                    text = chosen.get((0, 0, 0), (None, None))[0]
+                    data = bytes(content).decode("utf-8").encode() if text is None else text.encode()
+                else:
+                    data = rewritten(bytes(content), kind, chosen)
+            except BROKEN:  # it has its error among the runs, and no output
+                continue
             out.append((path, data, bool(chosen), len(chosen)))
         return pd.DataFrame(out, columns=["path", "content", "any_change", "runs_converted"])
 
@@ -460,6 +480,6 @@ def _writer() -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
 
 
 def write_back(files: DataFrame, converted: DataFrame) -> DataFrame:
-    """(path, content, any_change, runs_converted): each file with its runs' new texts and fonts. A file and its runs meet in one task."""
+    """(path, content, any_change, runs_converted): each file with its runs' new texts and fonts; broken ones are left out. A file and its runs meet in one task."""
     actions = converted.filter("changed").select(F.col("doc_id").alias("path"), "entry_idx", "paragraph_index", "run_index", "new_text", "new_font")
     return files.select("path", "content").groupBy("path").cogroup(actions.groupBy("path")).applyInPandas(_writer(), "path string, content binary, any_change boolean, runs_converted int")

@@ -4,6 +4,7 @@ import zipfile
 
 import pytest
 
+from glyphlake.operators import convert as C
 from glyphlake.plans import job
 from glyphlake.plans.options import ConvertOptions
 from glyphlake.sources import files, ooxml
@@ -165,3 +166,50 @@ def test_text_sources(spark, tmp_path):
 def test_pair_table(spark, tmp_path):
     (tmp_path / "t.xml").write_text("<all><book><title> ক </title><price>K</price></book><book><title>খ</title><price>L</price></book><book><title>x</title><price> K</price></book><book><price>M</price></book></all>")
     assert {r.key: r.value for r in files.pair_table(spark, str(tmp_path / "t.xml")).collect()} == {"K": "x", "L": "খ"}
+
+
+def test_broken_files_are_errors_of_their_own(spark, tmp_path, capsys):
+    source = tmp_path / "in"
+    source.mkdir()
+    for name, data in {"good.docx": MIXED, "half.docx": MIXED[: len(MIXED) // 2], "none.pptx": b"nothing", "bad.txt": b"\xff\xfe", "ok.txt": b"hello", "x.docx": archive({"other": "y"}), "latin.docx": archive({"word/document.xml": b"<w:p>\xe9</w:p>"})}.items():
+        (source / name).write_bytes(data)
+    found = files.read_files(spark, str(source))
+    assert {r.doc_id.rpartition("/")[2] for r in ooxml.read_runs(found).filter("error is not null").collect()} == {"half.docx", "none.pptx", "bad.txt", "x.docx", "latin.docx"}
+    assert job.run_job(spark, str(source), str(tmp_path / "out"), audit_stdout=True) == 2
+    printed = capsys.readouterr()
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["good.docx", "ok.txt"]
+    assert printed.err.count("error: ") == 5 and len([json.loads(line) for line in printed.out.splitlines()]) == 5
+    more = found.select("path", "content").union(spark.createDataFrame([("a/b.pdf", bytearray(b"%PDF"))], "path string, content binary"))
+    rows = {r.path.rpartition("/")[2]: r for r in job.convert_batch(more).collect()}
+    assert {k: r.status for k, r in rows.items()} == {"good.docx": "converted", "ok.txt": "unchanged", "b.pdf": "skipped"} | dict.fromkeys(("half.docx", "none.pptx", "bad.txt", "x.docx", "latin.docx"), "error")
+    assert rows["good.docx"].output_name == "good.unicode.docx" and rows["b.pdf"].content is None and rows["bad.txt"].error.startswith("UnicodeDecodeError")
+    assert {r.status: (r.files, r.runs_converted) for r in C.job_results(job.convert_batch(more)).collect()} == {"converted": (1, rows["good.docx"].runs_converted), "unchanged": (1, 0), "skipped": (1, 0), "error": (5, 0)}
+
+
+def test_standard_streams(spark, tmp_path, monkeypatch):
+    out = io.BytesIO()
+    assert job.run_stream(spark, io.BytesIO("Avwg evsjvq Mvb MvB|".encode()), out) == 1 and out.getvalue().decode().startswith("আমি ")
+    with pytest.raises(ValueError, match="standard input"):
+        job.run_stream(spark, io.BytesIO(MIXED), out)
+    (tmp_path / "a.docx").write_bytes(MIXED)
+    (tmp_path / "a.txt").write_bytes(b"hello\r\n")
+    with pytest.raises(ValueError, match="standard output"):
+        job.run_one(spark, str(tmp_path / "a.docx"), out)
+    plain = io.BytesIO()
+    assert job.run_one(spark, str(tmp_path / "a.txt"), plain) == 0 and plain.getvalue() == b"hello\r\n"
+    fake = type("S", (), {})()
+    fake.buffer = io.BytesIO()
+    monkeypatch.setattr(job.sys, "stdout", fake)
+    assert job.main([str(tmp_path / "a.txt")]) == 0 and fake.buffer.getvalue() == b"hello\r\n"
+    assert job.main([str(tmp_path / "a.docx")]) == 2
+    with pytest.raises(SystemExit):
+        job.main([str(tmp_path / "a.txt"), "--audit", "x", "--audit-stdout"])
+
+
+def test_sink(spark, tmp_path):
+    rows = spark.createDataFrame([("file:/in/a b/x%20.txt", bytearray(b"1")), ("file:///in/y.txt", bytearray(b"2"))], "path string, content binary")
+    for folder in (str(tmp_path / "p"), f"file://{tmp_path}/u"):
+        for _ in range(2):
+            assert files.write_contents(rows, folder, "/in").count() == 2
+    assert {p: (tmp_path / p).read_bytes() for p in ("p/a b/x .txt", "u/y.txt")} == {"p/a b/x .txt": b"1", "u/y.txt": b"2"}
+    assert [files.below(p, r) for p, r in (("hdfs://h:1/in/d/x", "hdfs://h:1/in"), ("s3a://b/in/x", "s3a://b/in/"), ("file:/in/x", "file:///in"))] == ["d/x", "x", "x"]

@@ -70,7 +70,7 @@ def test_stream(spark, tmp_path):
     frame.coalesce(1).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
     done = stream.convert_stream(source, C.ConvertOptions(auto_match=True))
-    carried = stream.carry_fonts_stream(done, "Kalpurush")
+    carried = stream.carry_fonts_stream(done, "Kalpurush", None)
     for name, df in (("plain", done.select("doc_id", "seq", "new_text", "new_font")), ("carried", carried)):
         q = df.writeStream.format("memory").queryName(name).outputMode("append").start()
         q.processAllAvailable()
