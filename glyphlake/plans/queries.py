@@ -8,6 +8,7 @@ way here and in SQL; pieces of real legacy text come from a table of literals.
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,9 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from glyphlake.functions import bengali as B, classify as K, fonts as N, tables as T, text as X
 from glyphlake.operators import convert as C, reports as R, runs as O, styles as S
+from glyphlake.plans import job
 from glyphlake.plans.options import ConvertOptions
-from glyphlake.sources import made, ooxml
-from glyphlake.streaming.convert import convert_stream
+from glyphlake.sources import files, made, ooxml
+from glyphlake.streaming.convert import carry_fonts_stream, convert_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,10 +82,10 @@ def literals_sql(texts: list[str]) -> str:
 
 def legacy_like(text: Column) -> Column:
     """Prose as dense glyphs."""
-    return F.translate(F.substring(text, 1, 400), "aeioun", "vwxy†©")
+    return F.translate(text, "aeioun", "vwxy†©")
 
 
-LEGACY_LIKE = "translate(substr(text, 1, 400), 'aeioun', 'vwxy†©')"
+LEGACY_LIKE = "translate(text, 'aeioun', 'vwxy†©')"
 
 
 def glyph_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,8 +206,9 @@ def sql_substitute(text: str) -> str:
 
 
 def sql_reph(text: str) -> str:
+    """Word by word: no step looks across a space."""
     step = f"lambda a, ch: CASE WHEN ch = '{H}' AND regexp_matches(a, '(^|[^{H}]){CN}{VS}?{RA}$') THEN regexp_replace(a, '({CN}{VS}?){RA}$', '{RA}{H}\\1') ELSE a || ch END"
-    return f"list_reduce(string_split({text}, ''), {step}, '')"
+    return f"array_to_string(list_transform(string_split({text}, ' '), lambda w: CASE WHEN contains(w, '{RA}{H}') THEN list_reduce(string_split(w, ''), {step}, '') ELSE w END), ' ')"
 
 
 SQL_STEPS = {
@@ -250,9 +253,15 @@ def bigram_hits(spark, sf_dir):
     return glyph_texts(spark, sf_dir).select("n", K.bigram_hits(F.col("text")).alias("bigram_hits"))
 
 
-@query(f"SELECT doc_id, {sql_english('text')} AS english_coverage FROM (SELECT doc_id, substr(text, 1, 2000) AS text FROM documents)")
+@query(f"SELECT doc_id, {sql_english('text')} AS english_coverage FROM documents")
 def english_coverage(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", K.english_coverage(F.substring("text", 1, 2000)).alias("english_coverage"))
+    return table(spark, sf_dir, "documents").select("doc_id", K.english_coverage(F.col("text")).alias("english_coverage"))
+
+
+@query(ORACLE["english_coverage"])
+def english_coverage_native(spark, sf_dir):
+    """The same in built-in functions."""
+    return table(spark, sf_dir, "documents").select("doc_id", K.english_coverage_native(F.col("text")).alias("english_coverage"))
 
 
 @query(f"SELECT lower(t) AS token, count(*) AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(text, '[\\x09-\\x0D\\x20.,;:!?()\\[\\]{{}}<>\"''/\\\\|`]'), lambda t: strlen(t) >= 3)) AS t FROM conversations) WHERE list_contains([{', '.join(_quoted(w) for w in sorted(T.english()))}], lower(t)) GROUP BY 1")
@@ -403,48 +412,43 @@ def span_map(spark, sf_dir):
 
 # --- Conversion
 
-SHORT_RUNS = f"(SELECT doc_id, run_index, font_name, substr(text, 1, 300) AS text FROM {RUNS})"
 CHANGED = "decision = 'ansi_bengali' OR (decision = 'ambiguous' AND confidence >= 0.95)"
-_CONVERTED = f"(SELECT *, {CHANGED} AS changed, coalesce({sql_matched('font_name')}, 'Kalpurush') AS target FROM {sql_classified(SHORT_RUNS, 'safe')})"
+_CONVERTED = f"(SELECT *, {CHANGED} AS changed, coalesce({sql_matched('font_name')}, 'Kalpurush') AS target FROM {sql_classified(RUNS, 'safe')})"
 _DONE = f"(SELECT * EXCLUDE (made), CASE WHEN changed THEN made END AS new_text FROM {sql_transliterated(_CONVERTED, 'text', 'made')})"
 
 
-def short_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs(spark, sf_dir).withColumn("text", F.substring("text", 1, 300))
-
-
 @query(f"SELECT doc_id, run_index, decision, changed, new_text, CASE WHEN changed THEN 'Kalpurush' END AS new_font FROM {_DONE}")
 def convert_run(spark, sf_dir):
-    return C.convert_runs(short_runs(spark, sf_dir)).select("doc_id", "run_index", "decision", "changed", "new_text", "new_font")
+    return C.convert_runs(runs(spark, sf_dir)).select("doc_id", "run_index", "decision", "changed", "new_text", "new_font")
 
 
 @query(f"SELECT doc_id, run_index, CASE WHEN changed THEN coalesce(last_value(CASE WHEN changed AND target <> 'Kalpurush' THEN target END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY run_index ROWS UNBOUNDED PRECEDING), target) END AS new_font FROM {_CONVERTED}")
 def last_matched_font(spark, sf_dir):
-    done = C.convert(short_runs(spark, sf_dir), ConvertOptions(auto_match=True), order=("run_index",))
+    done = C.convert(runs(spark, sf_dir), ConvertOptions(auto_match=True), order=("run_index",))
     return done.select("doc_id", "run_index", "new_font")
 
 
 @query(f"SELECT NULL::INT AS slide_index, NULL::INT AS paragraph_index, run_index::INT AS run_index, 'plain_text' AS source_format, font_name, stage, decision, confidence, to_base64(encode(text)) AS original_text_b64, new_text AS unicode_output FROM {_DONE}")
 def audit_rows(spark, sf_dir):
-    return C.audit(C.convert_runs(short_runs(spark, sf_dir)))
+    return C.audit(C.convert_runs(runs(spark, sf_dir)))
 
 
 @query(f"SELECT doc_id, run_index, to_json({{slide_index: NULL::INT, paragraph_index: NULL::INT, run_index: run_index::INT, source_format: 'plain_text', font_name: font_name, stage: stage, decision: decision, original_text_b64: to_base64(encode(text))}})::VARCHAR AS value FROM {_DONE}")
 def audit_json(spark, sf_dir):
     """Without the numbers and the converted text, whose spelling differs between engines."""
-    done = C.convert_runs(short_runs(spark, sf_dir))
+    done = C.convert_runs(runs(spark, sf_dir))
     record = F.struct(F.lit(None).cast("int").alias("slide_index"), F.lit(None).cast("int").alias("paragraph_index"), F.col("run_index").cast("int").alias("run_index"), F.lit("plain_text").alias("source_format"), "font_name", "stage", "decision", X.base64_plain(F.col("text")).alias("original_text_b64"))
     return done.select("doc_id", "run_index", F.to_json(record, {"ignoreNullFields": "false"}).alias("value"))
 
 
 @query(f"SELECT doc_id, bool_or(changed) AS any_change, count(*) FILTER (changed) AS runs_converted, count(*) AS runs_total FROM {_CONVERTED} GROUP BY doc_id")
 def file_summary(spark, sf_dir):
-    return C.file_summary(C.convert_runs(short_runs(spark, sf_dir)))
+    return C.file_summary(C.convert_runs(runs(spark, sf_dir)))
 
 
 @query(f"SELECT max(changed::INT)::INT AS exit_code FROM {_CONVERTED}")
 def exit_code(spark, sf_dir):
-    return C.exit_code(C.file_summary(C.convert_runs(short_runs(spark, sf_dir))))
+    return C.exit_code(C.file_summary(C.convert_runs(runs(spark, sf_dir))))
 
 
 @query("SELECT CASE WHEN page_id % 7 = 0 THEN 'skipped' WHEN page_id % 11 = 0 THEN 'error' WHEN page_id % 2 = 0 THEN 'converted' ELSE 'unchanged' END AS status, count(*) AS files FROM pages GROUP BY 1")
@@ -453,34 +457,46 @@ def batch_totals(spark, sf_dir):
     return C.batch_totals(files)
 
 
+_BATCH = f"(SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'skipped' WHEN doc_id % 5 = 0 THEN 'error' WHEN bool_or(changed) THEN 'converted' ELSE 'unchanged' END AS status, count(*) FILTER (changed) AS n FROM {_CONVERTED} GROUP BY doc_id)"
+
+
+@query(f"SELECT status, count(*) AS files, sum(CASE WHEN status IN ('converted', 'unchanged') THEN n ELSE 0 END)::BIGINT AS runs_converted FROM {_BATCH} GROUP BY status")
+def batch_results(spark, sf_dir):
+    """Whole files, some of them broken, some of a kind that isn't read: each has its own result."""
+    whole = made.files(runs(spark, sf_dir), "docx").withColumn("doc_id", F.regexp_extract("path", "^[0-9]+", 0).cast("long"))
+    content = F.when(F.col("doc_id") % 5 == 0, F.expr("substring(content, 1, octet_length(content) DIV 2)")).otherwise(F.col("content"))
+    path = F.when(F.col("doc_id") % 7 == 0, F.concat("doc_id", F.lit(".pdf"))).otherwise(F.col("path"))
+    return C.job_results(job.convert_batch(whole.select(path.alias("path"), content.alias("content"))))
+
+
 @query(f"SELECT font_name, arg_min(target, doc_id * 1000 + run_index) AS new_font, count(*) AS runs FROM {_CONVERTED} WHERE changed AND font_name IS NOT NULL GROUP BY font_name")
 def font_map(spark, sf_dir):
-    done = C.convert_runs(short_runs(spark, sf_dir), ConvertOptions(auto_match=True))
+    done = C.convert_runs(runs(spark, sf_dir), ConvertOptions(auto_match=True))
     return C.font_map(done, F.col("doc_id") * 1000 + F.col("run_index"))
 
 
 @query(f"SELECT doc_id, count(*) AS runs_total, " + ", ".join(f"count(*) FILTER (decision = '{d}') AS runs_{d}" for d in ("ansi_bengali", "unicode_bengali", "latin", "ambiguous")) + f" FROM {_CONVERTED} GROUP BY doc_id")
 def run_metrics(spark, sf_dir):
-    return C.run_metrics(C.convert_runs(short_runs(spark, sf_dir)))
+    return C.run_metrics(C.convert_runs(runs(spark, sf_dir)))
 
 
 @query(f"SELECT doc_id, run_index, font_name, new_text FROM {_DONE} WHERE changed")
 def changed_runs(spark, sf_dir):
     """What a dialog shows: only runs that would change."""
-    return C.convert_runs(short_runs(spark, sf_dir)).filter("changed").select("doc_id", "run_index", "font_name", "new_text")
+    return C.convert_runs(runs(spark, sf_dir)).filter("changed").select("doc_id", "run_index", "font_name", "new_text")
 
 
 # --- The order of runs
 
-_PIECES = "(SELECT doc_id, (line - 1)::BIGINT AS run_index, CASE WHEN (doc_id + line) % 5 < 3 THEN 'SutonnyMJ' WHEN (doc_id + line) % 5 = 3 THEN 'Arial' ELSE 'AnandaMJ' END AS font_name, CASE (doc_id * 3 + line) % 7 WHEN 0 THEN '‡' WHEN 1 THEN 'w' WHEN 2 THEN '©' ELSE substr(text, 1, 12) END AS text FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS text FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n')[1:12] AS l FROM documents)))"
+_PIECES = "(SELECT doc_id, (line - 1)::BIGINT AS run_index, CASE WHEN (doc_id + line) % 5 < 3 THEN 'SutonnyMJ' WHEN (doc_id + line) % 5 = 3 THEN 'Arial' ELSE 'AnandaMJ' END AS font_name, CASE (doc_id * 3 + line) % 7 WHEN 0 THEN '‡' WHEN 1 THEN 'w' WHEN 2 THEN '©' ELSE text END AS text FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS text FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS l FROM documents)))"
 
 
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, run_index, font_name, text): the first lines of documents as runs, some of them only signs."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", "\r?\n"), 1, 12)).alias("at", "line"))
+    """(doc_id, run_index, font_name, text): documents' lines as runs, some of them only signs."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\r?\n")).alias("at", "line"))
     k, j = F.col("doc_id") + F.col("at") + 1, F.pmod(F.col("doc_id") * 3 + F.col("at") + 1, F.lit(7))
     font = F.when(k % 5 < 3, "SutonnyMJ").when(k % 5 == 3, "Arial").otherwise("AnandaMJ")
-    text = F.when(j == 0, "‡").when(j == 1, "w").when(j == 2, "©").otherwise(F.substring("line", 1, 12))
+    text = F.when(j == 0, "‡").when(j == 1, "w").when(j == 2, "©").otherwise(F.col("line"))
     return lines.select("doc_id", F.col("at").cast("long").alias("run_index"), font.alias("font_name"), text.alias("text"))
 
 
@@ -521,10 +537,9 @@ def renumbered_runs(spark, sf_dir):
     return kept.select(F.col("conv_id").alias("doc_id"), "turn", number.alias("run_index"))
 
 
-@query("SELECT doc_id AS paragraph, min(p) AS start, max(p) + 1 AS \"end\", any_value(font) AS font, string_agg(ch, '' ORDER BY p) AS text FROM (SELECT *, sum(CASE WHEN font IS NOT DISTINCT FROM f0 AND p > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, lag(font) OVER (PARTITION BY doc_id ORDER BY p) AS f0 FROM (SELECT doc_id, p::INT AS p, ch, CASE WHEN ch < 'h' THEN 'SutonnyMJ' WHEN ch < 'p' THEN 'Arial' END AS font FROM (SELECT doc_id, unnest(range(0, 60)) AS p, unnest(string_split(substr(text, 1, 60), '')) AS ch FROM documents WHERE length(text) >= 60)))) GROUP BY doc_id, g")
+@query("SELECT doc_id AS paragraph, min(p) AS start, max(p) + 1 AS \"end\", any_value(font) AS font, string_agg(ch, '' ORDER BY p) AS text FROM (SELECT *, sum(CASE WHEN font IS NOT DISTINCT FROM f0 AND p > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, lag(font) OVER (PARTITION BY doc_id ORDER BY p) AS f0 FROM (SELECT doc_id, p::INT AS p, ch, CASE WHEN ch < 'h' THEN 'SutonnyMJ' WHEN ch < 'p' THEN 'Arial' END AS font FROM (SELECT doc_id, unnest(range(0, length(text))) AS p, unnest(string_split(text, '')) AS ch FROM documents)))) GROUP BY doc_id, g")
 def font_segments(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(F.char_length("text") >= 60)
-    chars = docs.select(F.col("doc_id").alias("paragraph"), F.posexplode(F.slice(F.split("text", ""), 1, 60)).alias("position", "char"))
+    chars = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paragraph"), F.posexplode(F.split("text", "")).alias("position", "char")).filter("char <> ''")
     font = F.when(F.col("char") < "h", "SutonnyMJ").when(F.col("char") < "p", "Arial")
     return O.font_segments(chars.withColumn("font", font))
 
@@ -563,9 +578,9 @@ def sheet_cells(spark, sf_dir):
     return O.cells(sheet, sheet.columns, "c_custkey")
 
 
-@query("SELECT 'slides:S' || conv_id % 10 || ':SH' || conv_id || ':C' || start || '-' || start + length(kept) - 1 AS id, kept AS text, role AS font FROM (SELECT *, regexp_replace(t, '\\n\\z', '') AS kept, coalesce(sum(length(t)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM (SELECT conv_id, turn, role, substr(text, 1, 20) || CASE WHEN turn % 2 = 0 THEN chr(10) ELSE '' END AS t FROM conversations)) WHERE kept <> ''")
+@query("SELECT 'slides:S' || conv_id % 10 || ':SH' || conv_id || ':C' || start || '-' || start + length(kept) - 1 AS id, kept AS text, role AS font FROM (SELECT *, regexp_replace(t, '\\n\\z', '') AS kept, coalesce(sum(length(t)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM (SELECT conv_id, turn, role, text || CASE WHEN turn % 2 = 0 THEN chr(10) ELSE '' END AS t FROM conversations)) WHERE kept <> ''")
 def slide_runs(spark, sf_dir):
-    t = F.concat(F.substring("text", 1, 20), F.when(F.col("turn") % 2 == 0, "\n").otherwise(""))
+    t = F.concat("text", F.when(F.col("turn") % 2 == 0, "\n").otherwise(""))
     rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 10).alias("slide"), F.col("conv_id").alias("shape"), F.col("turn").alias("seq"), t.alias("text"), F.col("role").alias("font"))
     return O.shape_runs(rows)
 
@@ -598,9 +613,9 @@ def file_dispatch(spark, sf_dir):
     return files.select("name", X.file_kind(n).alias("kind"), X.batch_kind(n, F.col("mime")).alias("batch_kind"), X.output_name(n, X.extension(n)).alias("output_name"))
 
 
-@query("SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM pages")
+@query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM pages")
 def escape_html(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", X.escape_html(F.substring("html", 1, 300)).alias("escaped"))
+    return table(spark, sf_dir, "pages").select("page_id", X.escape_html(F.col("html")).alias("escaped"))
 
 
 @query("SELECT doc_id, to_base64(encode(text)) AS b64 FROM documents")
@@ -659,6 +674,20 @@ def unmapped_points(spark, sf_dir):
     return R.unmapped_points(*_points(spark, sf_dir))
 
 
+_REST = f"(SELECT point, font FROM {_POINT_FONTS} WHERE point NOT IN {_SKIP} AND point NOT IN (SELECT point FROM {_MAPPED}))"
+
+
+@query(f"SELECT {_CATEGORY} AS category, count(DISTINCT point) AS points, {_CATEGORY} IN ({', '.join(repr(x) for x in R.INTERESTING)}) AS interesting FROM {_REST} GROUP BY 1, 3")
+def category_counts(spark, sf_dir):
+    return R.category_counts(*_points(spark, sf_dir))
+
+
+@query(f"SELECT font, count(*) AS unmapped FROM {_REST} GROUP BY font ORDER BY unmapped DESC, font LIMIT 3")
+def top_fonts(spark, sf_dir):
+    """A top-k: Spark keeps k rows of each partition, and sorts no more."""
+    return R.top_fonts(*_points(spark, sf_dir), 3)
+
+
 @query(f"SELECT point FROM {_MAPPED} WHERE point NOT IN (SELECT point FROM {_POINT_FONTS}) AND point NOT IN {_SKIP}")
 def dead_points(spark, sf_dir):
     return R.dead_points(*_points(spark, sf_dir))
@@ -674,6 +703,25 @@ def point_category(spark, sf_dir):
     return spark.range(0, 65536, 7).select(F.col("id").cast("int").alias("point")).select("point", R.category(F.col("point")).alias("category"))
 
 
+@query("SELECT c_custkey, c_nationkey % 3 = 0 AND c_custkey % 2 = 0 AS whole_sheet FROM customer")
+def entire_sheet(spark, sf_dir):
+    rows, columns = 10 - F.col("c_nationkey") % 3, 5 - F.col("c_custkey") % 2
+    return table(spark, sf_dir, "customer").select("c_custkey", X.is_entire_sheet(rows, columns, F.lit(10), F.lit(5)).alias("whole_sheet"))
+
+
+@query("SELECT key, value FROM (SELECT CASE WHEN item_id % 10 = 3 THEN 'same' ELSE 'k' || item_id END AS key, max_by(trim(text || item_id, ' ' || chr(9) || chr(10) || chr(13)), item_id) AS value FROM benchmark WHERE item_id % 10 <> 4 GROUP BY 1)")
+def pair_table(spark, sf_dir):
+    """A table of pairs from XML files, which are made first: trimmed, whole ones only, of a repeated key the last."""
+    value = X.escape_html(F.concat("text", "item_id"))
+    key = F.when(F.col("item_id") % 10 == 3, "same").when(F.col("item_id") % 10 == 4, " ").otherwise(F.concat(F.lit("k"), "item_id"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("<book><title> "), value, F.lit("\n</title><price>"), key, F.lit(" </price></book>")).alias("row"))
+    text = rows.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item_id", "row"))), lambda r: r["row"]), "\n").alias("value"))
+    with tempfile.TemporaryDirectory() as folder:
+        text.select(F.concat(F.lit("<all>"), "value", F.lit("</all>"))).write.mode("overwrite").text(f"file://{folder}/table.xml")
+        found = files.pair_table(spark, f"file://{folder}/table.xml").collect()
+    return spark.createDataFrame(found, "key string, value string")
+
+
 # --- Styles
 
 _STYLES = "(SELECT doc_id // 50 AS doc_id, 's' || doc_id % 50 AS style_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 's' || (doc_id * 3 + 1) % 50 END AS based_on, CASE WHEN doc_id % 9 = 0 THEN source END AS font FROM documents)"
@@ -710,12 +758,12 @@ def theme_fonts(spark, sf_dir):
 
 # --- Files and streams
 
-_NUMBERED = f"(SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY run_index) - 1)::INT AS k FROM {SHORT_RUNS})"
+_NUMBERED = f"(SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY run_index) - 1)::INT AS k FROM {RUNS})"
 _NUMBERED_DONE = f"(SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY run_index) - 1)::INT AS k FROM {_DONE})"
 
 
 def _made(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    return made.files(short_runs(spark, sf_dir), kind)
+    return made.files(runs(spark, sf_dir), kind)
 
 
 @query(f"SELECT doc_id || '.docx' AS doc_id, 1::INT AS entry_idx, NULL::INT AS slide_index, k AS paragraph_index, 0::INT AS run_index, font_name, text FROM {_NUMBERED}")
@@ -749,14 +797,39 @@ def file_results(spark, sf_dir):
     return ooxml.write_back(made_files, C.convert_runs(ooxml.scan(made_files))).select("path", "any_change", "runs_converted")
 
 
+@query(
+    """
+WITH d AS (SELECT doc_id, doc_id % 4 AS k, CASE WHEN doc_id % 3 = 0 THEN 'Own' END AS own, CASE WHEN doc_id % 5 = 0 THEN 'Paragraph' END AS para, doc_id % 7 AS style FROM documents)
+SELECT doc_id || '.docx' AS doc_id, CASE WHEN own IS NOT NULL THEN own WHEN doc_id % 3 = 1 THEN CASE WHEN k < 2 THEN 'Minor' || doc_id ELSE 'Major' END WHEN para IS NOT NULL THEN para
+  WHEN style IN (1, 2) THEN 'Root' || k WHEN style = 3 THEN 'Normal' WHEN style = 4 THEN 'Minor' || doc_id ELSE 'Normal' END AS font_name, 'run ' || doc_id AS text FROM d
+"""
+)
+def styled_files(spark, sf_dir):
+    """Fonts from real parts: runs' own and theme fonts, paragraphs' properties, styles that rest on others, and the theme."""
+    return ooxml.scan(made.styled(table(spark, sf_dir, "documents").select("doc_id"))).select("doc_id", "font_name", "text")
+
+
+@query(f"SELECT doc_id, run_index AS seq, changed, CASE WHEN changed THEN coalesce(last_value(CASE WHEN changed AND target <> 'Kalpurush' THEN target END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY run_index ROWS UNBOUNDED PRECEDING), target) END AS new_font FROM {_CONVERTED}")
+def stream_carried_fonts(spark, sf_dir):
+    """last_matched_font() on a stream: a document's state is its last font."""
+    done = convert_stream(_streamed_runs(spark, sf_dir), ConvertOptions(auto_match=True)).withColumnRenamed("run_index", "seq")
+    return _ended(spark, carry_fonts_stream(done, N.DEFAULT, None))
+
+
 @query(ORACLE["convert_run"])
 def stream_convert(spark, sf_dir):
     """convert_run() on a stream that ends, into a table in memory."""
+    return _ended(spark, convert_stream(_streamed_runs(spark, sf_dir)).select("doc_id", "run_index", "decision", "changed", "new_text", "new_font"))
+
+
+def _streamed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "conversations").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir) if not os.path.isdir(f"{sf_dir}/conversations.parquet") else spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations.parquet")
-    rows = source.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("run_index"), font_of(F.col("conv_id") + F.col("turn")).alias("font_name"), F.substring("text", 1, 300).alias("text"))
-    done = convert_stream(rows).select("doc_id", "run_index", "decision", "changed", "new_text", "new_font")
+    return source.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("run_index"), font_of(F.col("conv_id") + F.col("turn")).alias("font_name"), "text")
+
+
+def _ended(spark: SparkSession, rows: DataFrame) -> DataFrame:
     name = f"stream_{uuid.uuid4().hex}"
-    q = done.writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+    q = rows.writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
