@@ -55,6 +55,8 @@ _BITS = 48
 _RUN, _OFTEN = 1_000_000, 8
 #: Bytes of text in a bucket of documents; of front-coded suffixes in a range; of suffixes in a piece of a run.
 _BUCKET, _RANGE, _PIECE = 5 << 20, 32 << 20, 4 << 20
+#: Bytes of front-coded suffixes between two that are looked at for the splitters.
+_STEP = 256 << 10
 _LEAST = -(1 << 63)
 _PLACE_BASE = 0x9E3779B97F4A7C15  # odd, modulo 2**64
 
@@ -244,12 +246,12 @@ def front_code(suffixes: list[tuple[bytes, int, int, int]]) -> list[tuple[int, b
     return out
 
 
-_FRONT = pa.schema([("piece", pa.int64()), ("shared", pa.list_(pa.int32())), ("rest", pa.list_(pa.binary())), ("doc", pa.list_(pa.int64())), ("uid", pa.list_(pa.int64())), ("place", pa.list_(pa.int32())), ("head", pa.binary())])
-FRONT = "piece long, shared array<int>, rest array<binary>, doc array<long>, uid array<long>, place array<int>, head binary"
+_FRONT = pa.schema([("piece", pa.int64()), ("shared", pa.list_(pa.int32())), ("rest", pa.list_(pa.binary())), ("doc", pa.list_(pa.int64())), ("uid", pa.list_(pa.int64())), ("place", pa.list_(pa.int32())), ("heads", pa.list_(pa.binary()))])
+FRONT = "piece long, shared array<int>, rest array<binary>, doc array<long>, uid array<long>, place array<int>, heads array<binary>"
 
 
-def _coded(run: list[tuple[bytes, int, int, int]], name: int) -> Iterator[dict]:
-    """Of a sorted run, pieces that can each be read alone."""
+def _coded(run: list[tuple[bytes, int, int, int]], name: int, width: int = 0, step: int = 1) -> Iterator[dict]:
+    """Of a sorted run, pieces that can each be read alone; with a width, heads of suffixes about `step` bytes apart, from a place that the piece's hash tells."""
     at = 0
     while at < len(run):
         to, size = at, 0
@@ -257,7 +259,13 @@ def _coded(run: list[tuple[bytes, int, int, int]], name: int) -> Iterator[dict]:
             size += len(run[to][0])
             to += 1
         k, rest, doc, uid, place = zip(*front_code(run[at:to]))
-        yield {"piece": name, "shared": k, "rest": rest, "doc": doc, "uid": uid, "place": place, "head": run[at][0]}
+        heads, passed = [], xxhash.xxh3_64_intdigest(run[at][0]) % step
+        for (s, *_), x in zip(run[at:to], rest if width else ()):
+            passed += len(x)
+            if passed >= step:
+                heads.append(head(s, width))
+                passed %= step
+        yield {"piece": name, "shared": k, "rest": rest, "doc": doc, "uid": uid, "place": place, "heads": heads}
         at = to
 
 
@@ -269,7 +277,7 @@ def decode(shared_lengths: list[int], rests: list[bytes]) -> list[bytes]:
     return out
 
 
-def _anchors(width: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+def _anchors(width: int, step: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     def anchors(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
         (uids,), (owner, place, count, sums) = C.unpack_all(found.column("found"), False, 3)
         if not len(owner):
@@ -308,10 +316,10 @@ def _anchors(width: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
         run.sort()
         kept = [r for r, before in zip(run, [(None,), *run]) if r[0] != before[0]]
         again = [(d, u, p, s.count(b" ")) for (s, d, u, p), before in zip(run, [(None,), *run]) if s == before[0]]
-        rows = list(_coded(kept, key[0].as_py()))
+        rows = list(_coded(kept, key[0].as_py(), width, step))
         for at in range(0, len(again), 4096):
             doc, uid, place, words = zip(*again[at : at + 4096])
-            rows.append({"piece": -1, "shared": words, "rest": (), "doc": doc, "uid": uid, "place": place, "head": b""})
+            rows.append({"piece": -1, "shared": words, "rest": (), "doc": doc, "uid": uid, "place": place, "heads": ()})
         return pa.Table.from_pylist(rows, schema=_FRONT)
 
     return C.lean(anchors)
@@ -490,16 +498,16 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, per_range: int = 100_000
     listed = met.filter(F.col("home") >= n).groupBy("home").applyInArrow(_listed(n), FOUND)
     found = met.filter(F.col("home") < n).unionByName(listed)
     keyed = docs.withColumn("home", F.pmod("uid", F.lit(n)).cast("int"))
-    coded = C.cut(keyed.groupBy("home").cogroup(found.groupBy("home")).applyInArrow(_anchors(width), FRONT))
+    coded = C.cut(keyed.groupBy("home").cogroup(found.groupBy("home")).applyInArrow(_anchors(width, _STEP), FRONT))
     once = coded.filter("piece >= 0")
     size = F.aggregate("rest", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x))
-    total = once.agg(F.sum(F.size("shared")).alias("n"), F.count("*").alias("pieces"), F.sum(size).alias("bytes")).first()
+    total = once.agg(F.sum(F.size("shared")).alias("n"), F.sum(F.size("heads")).alias("heads"), F.sum(size).alias("bytes")).first()
     n_ranges = max(1, (total["n"] or 0) // per_range, (total["bytes"] or 0) // _RANGE)
     splitters: list[bytes] = []
-    if n_ranges > 1:  # regular sampling: pieces' heads, 4 for each range
-        share = min(1.0, 4 * n_ranges / total["pieces"])
-        sample = once.select("head").filter(F.pmod(F.xxhash64("head"), F.lit(1 << 20)) < share * (1 << 20))
-        heads = sorted({head(bytes(r[0]), width) for r in sample.toLocalIterator()})
+    if n_ranges > 1 and total["heads"]:  # regular sampling: 8 heads for each range
+        share = min(1.0, 8 * n_ranges / total["heads"])
+        sample = once.select(F.explode("heads").alias("head")).filter(F.pmod(F.xxhash64("head"), F.lit(1 << 20)) < share * (1 << 20))
+        heads = sorted(bytes(r[0]) for r in sample.toLocalIterator())
         splitters = sorted({heads[len(heads) * k // n_ranges] for k in range(1, n_ranges)}) if heads else []
     ranged = once.mapInArrow(_ranges(spark.sparkContext.broadcast(splitters)), FRONT).withColumn("part", F.col("piece").cast("int"))
     merged = ranged.repartitionById(len(splitters) + 1, F.col("part")).groupBy("part").applyInArrow(_merged(width), SPANS)

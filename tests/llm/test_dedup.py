@@ -65,7 +65,8 @@ def brute_spans(rows, width):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_spans(spark, seed):
+def test_spans(spark, monkeypatch, seed):
+    monkeypatch.setattr(S, "_STEP", 300)
     rows = list(enumerate(texts(seed=seed, words=30, vocabulary=3)))
     found = {}
     for r in S.repeated_spans(frame(spark, rows), width=5, per_range=20).collect():
@@ -73,6 +74,16 @@ def test_spans(spark, seed):
     assert {k: sorted(v) for k, v in found.items()} == brute_spans(rows, 5)
 
 
+def test_splitters_part_the_bytes():
+    """Heads are taken from all over the runs, not from their beginnings."""
+    rng = random.Random(5)
+    runs = [sorted((f"w{rng.randrange(10**9):09d} ".encode() * 50, 0, 0, i) for i in range(300)) for _ in range(40)]
+    heads = sorted(h for r in runs for p in S._coded(r, 0, 2, 50_000) for h in p["heads"])
+    every = sorted(S.head(s, 2) for r in runs for s, *_ in r)
+    assert len(heads) == pytest.approx(sum(len(x) for r in runs for p in S._coded(r, 0) for x in p["rest"]) / 50_000, abs=len(runs))
+    assert [sum(x < heads[len(heads) * k // 4] for x in every) / len(every) for k in (1, 2, 3)] == pytest.approx([0.25, 0.5, 0.75], abs=0.12)
+
+
 def test_spans_hard(spark):
     found = sorted((r.doc_id, r.start_word, r.end_word) for r in S.repeated_spans(frame(spark, HARD), width=3).filter("doc_id is not null").collect())
     wanted = sorted((d, a, b) for (d, _), spans in brute_spans(HARD, 3).items() for a, b in spans if d is not None)
@@ -119,6 +130,7 @@ def test_earlier(strings, rng):
 def test_a_passage_in_every_document(spark, monkeypatch, size):
     """Windows that a run has often: in one bucket, and in many."""
     monkeypatch.setattr(S, "_BUCKET", size)
+    monkeypatch.setattr(S, "_STEP", 500)
     rng = random.Random(7)
     own = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
     passage, other = own(30), own(12)
