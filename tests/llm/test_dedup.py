@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from conftest import DATA, differences
 from hypothesis import given, settings, strategies as st
@@ -223,6 +224,50 @@ def test_tiles(spark, monkeypatch):
     assert found == brute_pairs(rows, 2, 0.3)
 
 
+def brute_links(rows, n, t):
+    """(doc_id, class_id, links) of documents, told apart by doc_id and text."""
+    docs = [(i, grams(text, n)) for i, text in dict.fromkeys(rows)]
+    near = [[y for y, (_, h) in enumerate(docs) if x != y and g & h and len(g & h) / len(g | h) >= t] for x, (_, g) in enumerate(docs)]
+    out = []
+    for x, (i, _) in enumerate(docs):
+        reached, todo = {x}, [x]
+        while todo:
+            new = set(near[todo.pop()]) - reached
+            reached |= new
+            todo += new
+        out.append((i, min((docs[y][0] for y in reached if docs[y][0] is not None), default=None), len(near[x])))
+    return sorted(out, key=repr)
+
+
+def found_links(spark, rows, n, t):
+    return sorted([(r.doc_id, r.class_id, r.links) for r in J.links(frame(spark, rows), n, t).collect()], key=repr)
+
+
+@pytest.mark.parametrize("tile", [2048, 5])
+def test_links(spark, monkeypatch, tile):
+    """In one tile and in many: no pair counts twice, though most meet in several blocks."""
+    monkeypatch.setattr(J, "TILE", tile)
+    monkeypatch.setattr(J, "STRIP", 4)
+    rows = list(enumerate(texts(70, seed=4, words=12, vocabulary=2)))
+    rows += [(100 + i, t) for i, t in rows[:9]] + rows[20:25] + HARD
+    assert found_links(spark, rows, 2, 0.3) == brute_links(rows, 2, 0.3)
+
+
+def test_links_of_no_rows(spark):
+    assert J.links(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("cut", [0, 25])
+def test_common(cut):
+    """Columns of few rows and of many, counted in both ways."""
+    rng = random.Random(cut)
+    sets = [sorted({rng.randrange(40) if rng.random() < 0.5 else 100 + rng.randrange(600) for _ in range(30)}) for _ in range(60)]
+    of = np.repeat(np.arange(60), [len(x) for x in sets])
+    total = J.common(60, cut, of, np.array([k for x in sets for k in x], np.uint64))
+    assert total.shape == (cut or 60, 60 - cut)
+    assert all(total[a, b - cut] == len(set(sets[a]) & set(sets[b])) for a in range(cut or 60) for b in range(max(cut, a + 1), 60))
+
+
 def test_one_of_each(spark):
     rows = list(enumerate(texts(seed=5, words=12, vocabulary=2)))
     group = {i: i for i, _ in rows}
