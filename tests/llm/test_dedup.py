@@ -243,6 +243,15 @@ def found_links(spark, rows, n, t):
     return sorted([(r.doc_id, r.class_id, r.links) for r in J.links(frame(spark, rows), n, t).collect()], key=repr)
 
 
+def test_links_of_copies(spark):
+    """Each document has all its links: those of copies that aren't the first, among each other and with similar texts, too."""
+    base = [f"w{i}" for i in range(20)]
+    other = " ".join(base + base[:5])  # the same set as base in another text, but for three more
+    rows = [(5, " ".join(base)), (3, " ".join(base)), (9, "  ".join(base)), (4, " ".join([*base, "x"])), (7, other), (8, "a b c"), (None, "a b c"), (2, "q r s t"), (2, "u v w"), (1, ""), (6, None)]
+    assert found_links(spark, rows, 3, 0.5) == brute_links(rows, 3, 0.5)
+    assert (5, 3, 4) in found_links(spark, rows, 3, 0.5)
+
+
 @pytest.mark.parametrize("tile", [2048, 5])
 def test_links(spark, monkeypatch, tile):
     """In one tile and in many: no pair counts twice, though most meet in several blocks."""
