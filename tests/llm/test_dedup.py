@@ -266,6 +266,28 @@ def test_links_of_no_rows(spark):
     assert J.links(frame(spark, [])).count() == 0
 
 
+def many_alike(n):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(30)]
+    return [(i, " ".join([*base[:k], f"x{i}", *base[k:]])) for i in range(n) for k in [rng.randrange(1, 30)]]
+
+
+def test_pairs_end_in_their_tiles(spark, monkeypatch):
+    """What leaves the tiles of a group of similar documents grows as the documents, not as the pairs."""
+    monkeypatch.setattr(J, "TILE", 50)
+    rows = many_alike(200)
+    seen, components = [], J.components
+
+    def counted(edges):
+        seen.append(edges.count())
+        return components(edges)
+
+    monkeypatch.setattr(J, "components", counted)
+    assert [r.doc_id for r in J.one_of_each(frame(spark, rows)).collect()] == [0]
+    assert len(brute_pairs(rows, 3, 0.5)) == 199 * 100
+    assert seen[0] < 200 * 3 * 4  # a row in three blocks at most, of four tiles
+
+
 @pytest.mark.parametrize("cut", [0, 25])
 def test_common(cut):
     """Columns of few rows and of many, counted in both ways."""
