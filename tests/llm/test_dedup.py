@@ -266,6 +266,27 @@ def test_links_of_no_rows(spark):
     assert J.links(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("ids", [[None], [7], [None, 1, 2]])
+def test_pairs_of_texts_without_doc_ids_of_their_own(spark, ids):
+    """Different texts with no doc_id, or the same, have a pair each; with the members of its sets, pairs() has every link."""
+    rows = [(ids[k % len(ids)], t) for k, t in enumerate(f"{x}{x} {x} p q r s t u v {y}".replace("p", f"p{g}") for g in range(3) for x in "ab" for y in ("y", "z", "y  "))]
+    found = J.pairs(frame(spark, rows)).collect()
+    assert sum(r.jaccard < 1 for r in found) == 3 * 4
+    sets, near, links = {}, [], []
+    for r in found:
+        for doc, name in ((r.doc_a, r.set_a), (r.doc_b, r.set_b)):
+            sets.setdefault(name, [doc])
+        if r.set_a == r.set_b:
+            sets[r.set_a].append(r.doc_b)
+        else:
+            near.append((r.set_a, r.set_b, r.overlap, round(r.jaccard, 9)))
+    for x, y, *same in near:
+        links += [(*sorted((a, b), key=repr), *same) for a in sets[x] for b in sets[y]]
+    docs = [(i, grams(t, 3), t) for i, t in dict.fromkeys(rows)]
+    similar = [(*sorted((a, b), key=repr), len(g & h), round(len(g & h) / len(g | h), 9)) for (a, g, _), (b, h, _) in itertools.combinations(docs, 2) if g != h and len(g & h) / len(g | h) >= 0.5]
+    assert sorted(links, key=repr) == sorted(similar, key=repr)
+
+
 def many_alike(n):
     rng = random.Random(3)
     base = [f"w{i}" for i in range(30)]
@@ -299,6 +320,16 @@ def test_common(cut):
     assert all(total[a, b - cut] == len(set(sets[a]) & set(sets[b])) for a in range(cut or 60) for b in range(max(cut, a + 1), 60))
 
 
+@pytest.mark.parametrize("n", [2, 3, 40])
+def test_overlaps_of_very_long_texts(n):
+    """More grams than a float of 32 bits counts one by one."""
+    k = (1 << 24) + 1001
+    keys = np.arange(k, dtype=np.uint64)
+    sizes = np.array([k, k] + [1] * (n - 2))
+    found = J.overlaps(sizes, np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([keys, keys, np.arange(k, k + n - 2, dtype=np.uint64)]), 0, 0.99999)
+    assert [x.tolist() for x in found] == [[0], [1], [k]]
+
+
 def test_one_of_each(spark):
     rows = list(enumerate(texts(seed=5, words=12, vocabulary=2)))
     group = {i: i for i, _ in rows}
