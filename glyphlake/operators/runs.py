@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.window import WindowSpec
 
 from glyphlake.functions import fonts
+from glyphlake.functions.arrow import slices
 
 LEADING_GLYPHS = "^[†‡ˆ‰]+$"
 LEADING_GLYPHS_IN_FONT = "^[†‡ˆ‰w]+$"
@@ -36,6 +42,56 @@ def font_segments(chars: DataFrame, by: str = "paragraph", position: str = "posi
     return parts.groupBy(by, "island").agg(F.min(position).alias("start"), (F.max(position) + 1).alias("end"), F.first("font").alias("font"), joined_text([position], "char").alias("text")).drop("island")
 
 
+#: Rows of segments that go to the JVM in a batch.
+_SEGMENTS = 100_000
+
+
+def text_segments(texts: DataFrame, ranges: list[tuple[str, str | None]], key: str, text: str = "text", by: str = "paragraph") -> DataFrame:
+    """font_segments() of texts (key, text) whose characters' fonts are known by ranges, a font for each from its first character (ASCII) to the next one's, in order.
+
+    No row for each character, no shuffle: segments are cut out of the column's bytes.
+    An empty text is a segment of the first font without a place, a null text has none.
+    """
+    fonts = pa.array([f for _, f in ranges], pa.string())
+    kind = np.zeros(256, np.int8)
+    for i, (first, _) in enumerate(ranges):
+        kind[ord(first) if first else 0 :] = i
+    names = [by, "start", "end", "font", "text"]
+    schema = f"{by} {dict(texts.dtypes)[key]}, start int, end int, font string, text string"
+
+    def segments(keys: pa.Array, column: pa.Array) -> pa.RecordBatch:
+        column = column.cast(pa.string())
+        offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+        data = column.buffers()[2] or pa.py_buffer(b"")
+        plain = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+        at = np.flatnonzero((plain & 0xC0) != 0x80)  # where characters begin
+        first = np.searchsorted(at, offsets - offsets[0])  # characters before each text
+        kinds = kind[plain[at]]
+        begins = np.ones(len(at), bool)
+        begins[1:] = kinds[1:] != kinds[:-1]
+        begins[first[:-1][first[:-1] < len(at)]] = True
+        start = np.flatnonzero(begins)
+        end = np.append(start[1:], len(at))[: len(start)]
+        row = np.searchsorted(first, start, "right") - 1
+        cut = np.append(at[start], len(plain)).astype(np.int32)
+        parts = pa.StringArray.from_buffers(len(start), pa.py_buffer(cut), pa.py_buffer(plain))
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(row)), pa.array((start - first[row]).astype(np.int32)), pa.array((end - first[row]).astype(np.int32)), fonts.take(pa.array(kinds[start])), parts], names)
+
+    def empty(keys: pa.Array) -> pa.RecordBatch:
+        none, n = pa.nulls(len(keys), pa.int32()), len(keys)
+        return pa.RecordBatch.from_arrays([keys, none, none, fonts.take(pa.array([0] * n, pa.int32())), pa.array([""] * n, pa.string())], names)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, column in slices(batch.column(0), batch.column(1)):
+                found = segments(keys, column)
+                for i in range(0, len(found), _SEGMENTS):
+                    yield found.slice(i, _SEGMENTS)
+            yield empty(batch.column(0).filter(pc.equal(pc.binary_length(batch.column(1)), 0)))
+
+    return texts.filter(F.col(text).isNotNull()).select(key, text).mapInArrow(cut, schema)
+
+
 def group_runs(runs: DataFrame, partition: list[str], order: list[str], font: str = "font_name", text: str = "text") -> DataFrame:
     """runs with `group`, `group_text` and `leads`.
 

@@ -1,5 +1,6 @@
 import random
 
+from conftest import DATA
 from pyspark.sql import Window, functions as F
 
 from glyphlake.functions import text as X
@@ -58,6 +59,28 @@ def test_groups(spark):
         assert leads[doc] == [(i, t) for i, t, _ in wanted]
 
 
+def test_segments(spark):
+    texts = {1: "aahé😀zzpbb", 2: "", 3: None, 4: "é", 5: "hh", 6: "hh", 7: "g", 8: "ab" * 3_000_000, 9: "\x00h"}
+    ranges = [("", "A"), ("h", "B"), ("p", None)]
+    found = {}
+    for r in O.text_segments(spark.createDataFrame(list(texts.items()), "k long, text string"), ranges, "k").collect():
+        found.setdefault(r.paragraph, []).append((r.start, r.end, r.font, r.text))
+    assert found.pop(2) == [(None, None, "A", "")]
+    assert found.pop(8) == [(0, 6_000_000, "A", texts[8])]
+    chars = [(k, i, c, "A" if c < "h" else "B" if c < "p" else None) for k, t in texts.items() if k != 8 for i, c in enumerate(t or "")]
+    wanted = {}
+    for r in O.font_segments(spark.createDataFrame(chars, "paragraph long, position int, char string, font string")).orderBy("start").collect():
+        wanted.setdefault(r.paragraph, []).append((r.start, r.end, r.font, r.text))
+    assert {k: sorted(v, key=lambda x: x[0]) for k, v in found.items()} == wanted
+
+
+def test_segments_have_no_row_for_each_character(spark):
+    from glyphlake.plans import queries
+
+    plan = queries.font_segments(spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+
+
 def test_carried_fonts(spark):
     rows = [(1, i, f, c) for i, (f, c) in enumerate([("Kalpurush", True), ("AOMJ", True), (None, False), ("Kalpurush", True), ("BOMJ", True), ("Kalpurush", True)])] + [(2, 0, "Kalpurush", True)]
     done = C.carry_fonts(spark.createDataFrame(rows, "doc_id long, run_index long, new_font string, changed boolean"), order=("run_index",)).orderBy("doc_id", "run_index")
