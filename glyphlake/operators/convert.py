@@ -71,7 +71,7 @@ def explained(converted: DataFrame, source_format: str = "plain_text") -> DataFr
     """A line for each run on what decided."""
     place = [c for c in ("slide_index", "paragraph_index", "run_index") if c in converted.columns]
     where = F.concat_ws("/", *[F.concat(F.lit(c[0]), F.col(c)) for c in place]) if place else F.lit("")
-    parts = [F.lit(f"[explain] {source_format} "), where, F.lit(" stage="), F.col("stage"), F.lit(" decision="), F.col("decision"), F.lit(" p="), F.format_string("%.3f", "confidence"), F.lit(" signals=["), classify.explanation(), F.lit("]")]
+    parts = [F.lit(f"[explain] {source_format} "), where, F.lit(" stage="), F.col("stage"), F.lit(" decision="), F.col("decision"), F.lit(" p="), classify.three_places(F.col("confidence")), F.lit(" signals=["), classify.explanation(), F.lit("]")]
     return converted.select(F.concat(*parts).alias("line"))
 
 

@@ -33,6 +33,12 @@ def test_scores(spark):
     assert classified(spark, [("café", None)], "aggressive")[0].decision == "ansi_bengali"
 
 
+def test_three_places(spark):
+    values = sorted({a / b for b in range(1, 200) for a in range(b + 1)} | {k / 2000 for k in range(2001)} | {1e-9, 0.00049999999, 0.9995, 0.99949999})
+    found = spark.createDataFrame([(v,) for v in values], "v double").select("v", K.three_places(F.col("v")).alias("s")).collect()
+    assert [(r.v, r.s) for r in found if r.s != f"{r.v:.3f}"] == []
+
+
 def test_policy(spark):
     runs = spark.createDataFrame([("Avwg evsjvq Mvb MvB|", None), ("hello", None), ("hello", "Kalpurush"), ("K", "SutonnyMJ"), ("café", None)], RUNS)
     rows = C.convert_runs(runs).collect()
