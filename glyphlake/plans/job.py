@@ -9,6 +9,7 @@ from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from glyphlake.functions.arrow import steady
 from glyphlake.functions.text import batch_kind, extension, file_kind, output_name
 from glyphlake.operators import convert as C
 from glyphlake.sources import files, ooxml
@@ -31,6 +32,7 @@ def _result(source: DataFrame, read: DataFrame, converted: DataFrame) -> Result:
 
 def convert_files(source: DataFrame, options: ConvertOptions = ConvertOptions()) -> Result:
     """Of files (path, content): DOCX, PPTX and text, by their names. A broken file is an error of its own."""
+    steady(source.sparkSession)
     read = ooxml.read_runs(source)
     return _result(source, read, C.convert(read.filter("error is null").drop("error"), options))
 
@@ -52,6 +54,7 @@ def convert_batch(source: DataFrame, options: ConvertOptions = ConvertOptions())
 
 def convert_texts(texts: DataFrame, key: str = "id", options: ConvertOptions = ConvertOptions()) -> DataFrame:
     """(key, text) converted: with text, changed, runs_converted."""
+    steady(texts.sparkSession)
     out = C.convert_runs(texts.select(key, F.col("text")), options, font=None)
     return out.select(key, F.coalesce("new_text", "text").alias("text"), "changed", F.col("changed").cast("int").alias("runs_converted"))
 
@@ -67,6 +70,7 @@ def run_job(spark: SparkSession, source: str, target: str | None, options: Conve
     audit: a folder for the records; audit_stdout: they are printed. explain: what decided is printed to stderr. Both prints
     pass through the driver, line by line. Runs are read and converted once.
     """
+    steady(spark)
     found = files.read_files(spark, source)
     if dry_run and found.filter(file_kind(F.col("path")) != "plain_text").limit(1).count():
         raise ValueError("a dry run is for text files only")

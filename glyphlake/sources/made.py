@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 from xml.sax.saxutils import escape, quoteattr
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from glyphlake.functions.arrow import rows_by_bytes
+
+_FILES = pa.schema([("path", pa.string()), ("content", pa.binary())])
 
 _SCHEMAS = "http://schemas.openxmlformats.org"
 _SPACES = {"w": f"{_SCHEMAS}/wordprocessingml/2006/main", "a": f"{_SCHEMAS}/drawingml/2006/main"}
@@ -54,12 +59,13 @@ def pptx(runs: list[tuple[str | None, str]]) -> bytes:
 def files(runs: DataFrame, kind: str) -> DataFrame:
     """(path, content): a file for each doc_id of (doc_id, run_index, font_name, text)."""
 
-    def make(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values("run_index")
-        content = (docx if kind == "docx" else pptx)(list(zip(ordered["font_name"], ordered["text"])))
-        return pd.DataFrame([(f"{key[0]}.{kind}", content)], columns=["path", "content"])
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = docx if kind == "docx" else pptx
+        rows = ((f"{doc}.{kind}", whole([(r["font_name"], r["text"]) for r in runs.as_py()])) for batch in batches for doc, runs in zip(batch.column(0).to_pylist(), batch.column(1)))
+        return rows_by_bytes(rows, _FILES, lambda r: len(r[1]))
 
-    return runs.groupBy("doc_id").applyInPandas(make, "path string, content binary")
+    ordered = F.sort_array(F.collect_list(F.struct("run_index", "font_name", "text")))
+    return runs.groupBy("doc_id").agg(ordered.alias("runs")).mapInArrow(make, "path string, content binary")
 
 
 def _styled(doc: int) -> bytes:
@@ -90,8 +96,8 @@ def _styled(doc: int) -> bytes:
 def styled(ids: DataFrame) -> DataFrame:
     """(path, content): for each doc_id a DOCX file of one run, with styles and a theme."""
 
-    def make(batches):
-        for batch in batches:
-            yield pd.DataFrame([(f"{i}.docx", _styled(i)) for i in batch["doc_id"].tolist()], columns=["path", "content"])
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((f"{i}.docx", _styled(i)) for batch in batches for i in batch.column(0).to_pylist())
+        return rows_by_bytes(rows, _FILES, lambda r: len(r[1]))
 
-    return ids.mapInPandas(make, "path string, content binary")
+    return ids.select("doc_id").mapInArrow(make, "path string, content binary")
