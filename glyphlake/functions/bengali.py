@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import cache
 
 import pyarrow as pa
@@ -21,6 +21,7 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
 from . import tables
+from .arrow import by_pieces
 
 CONSONANT = "[\u0995-\u09b9\u09ce\u09dc\u09dd\u09df]"
 VOWEL_SIGN = "[\u09be-\u09c3\u09c7\u09c8\u09cb\u09cc\u09d7]"
@@ -103,20 +104,38 @@ _REPH = regex.compile(REPH[0])
 _RETURNS = "\r([\r\u00a0]*)\n?"
 
 
+class Words(dict[str, str]):
+    """Words that were converted before, and about how many bytes they take."""
+
+    size = 0
+
+    def add(self, words: list[str], done: Iterable[str]) -> None:
+        self.update(zip(words, done))
+        self.size += self.cost(words)
+
+    def forget(self) -> None:
+        self.clear()
+        self.size = 0
+
+    @staticmethod
+    def cost(words: list[str]) -> int:
+        return 250 * len(words) + 6 * sum(map(len, words))
+
+
 class Converter:
-    """The steps on Python strings and Arrow columns, with the words that were converted before; forgets all when they are many.
+    """The steps on Python strings and Arrow columns, with the words that were converted before; forgets all when they take more bytes than most.
 
     No step looks across white space, so all new words of a batch go through a step at once, with spaces between.
     """
 
-    def __init__(self, glyphs: dict[int, dict[str, str]], most: int = 500_000) -> None:
+    def __init__(self, glyphs: dict[int, dict[str, str]], most: int = 32 << 20) -> None:
         self.most = most
         self.levels = [(re.compile("|".join(map(re.escape, sorted(glyphs[n])))), glyphs[n]) for n in (4, 3, 2) if glyphs[n]]
         plain_only = all(not k.isascii() for n in (4, 3) for k in glyphs[n])
         self.plain = [(k, glyphs[2][k]) for k in _ordered(glyphs[2]) if k.isascii()] if plain_only else None
         self.singles = str.maketrans(glyphs[1])
-        self.unicode: dict[str, str] = {}
-        self.substituted: dict[str, str] = {}
+        self.unicode = Words()
+        self.substituted = Words()
 
     def substitute(self, text: str) -> str:
         if self.plain is not None and text.isascii():  # all longer sequences have another character
@@ -143,21 +162,21 @@ class Converter:
             text = _YA_PHALA.sub(YA_PHALA[1], text)
         return unicodedata.normalize("NFC", text)
 
-    def words(self, words: list[str], step: Callable[[str], str], known: dict[str, str]) -> list[str]:
+    def words(self, words: list[str], step: Callable[[str], str], known: Words) -> list[str]:
         """Each word after a step."""
         new = [w for w in words if w not in known]
-        if len(known) + len(new) > self.most:
-            known.clear()
+        if known and known.size + known.cost(new) > self.most:
+            known.forget()
             new = words
         for plain in (True, False):  # those of ASCII go a shorter way
             some = [w for w in new if w.isascii() == plain]
             if some:
                 done = step(" ".join(some)).split(" ")
-                known.update(zip(some, done if len(done) == len(some) else map(step, some)))
+                known.add(some, done if len(done) == len(some) else map(step, some))
         return [known[w] for w in words]
 
-    def column(self, texts: pa.Array, step: Callable[[str], str], known: dict[str, str]) -> pa.Array:
-        """Texts, each distinct word done once."""
+    def column(self, texts: pa.Array, step: Callable[[str], str], known: Words) -> pa.Array:
+        """Texts, each distinct word done once. What is held at once is several times their size, so they are pieces of columns."""
         missing = texts.is_null()
         lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", "\n "), " ")
         words = lists.flatten().dictionary_encode()
@@ -192,20 +211,20 @@ def text_to_unicode(text: str) -> str:
 
 def to_unicode(texts: pa.Array, encoding: str = "bijoy", glyphs: dict[int, dict[str, str]] | None = None) -> pa.Array:
     one = converter(encoding, glyphs)
-    return one.column(_clean(texts), one.convert, one.unicode)
+    return by_pieces(lambda piece: one.column(_clean(piece), one.convert, one.unicode), texts)
 
 
 @F.arrow_udf(StringType())
 def substitute_fast(text: pa.Array) -> pa.Array:
     """As substitute()."""
     one = converter()
-    return one.column(pc.replace_substring(text, "\u00ad", ""), one.substitute, one.substituted)
+    return by_pieces(lambda piece: one.column(pc.replace_substring(piece, "\u00ad", ""), one.substitute, one.substituted), text)
 
 
 @F.arrow_udf(StringType())
 def nfc(text: pa.Array) -> pa.Array:
     """Unicode normalisation form C, which Spark has no function for."""
-    return pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in text.to_pylist()], pa.string())
+    return by_pieces(lambda piece: pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in piece.to_pylist()], pa.string()), text)
 
 
 def transliterate(text: Column | str, encoding: str = "bijoy") -> Column:

@@ -1,10 +1,13 @@
 """What Python workers hold at once doesn't grow with the texts."""
 
+import tracemalloc
+
 import pyarrow as pa
+import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from glyphlake.functions import arrow
+from glyphlake.functions import arrow, bengali as B
 from glyphlake.plans import queries
 from glyphlake.sources import made, ooxml
 
@@ -44,3 +47,21 @@ def test_files_go_in_batches():
 def test_files_meet_their_runs_without_a_function_for_each(spark):
     plan = queries.file_results(spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Groups" not in plan and "CoGroup" not in plan
+
+
+LINES = ["Avgvi †mvbvi evsjv, Avwg †Zvgvq fv‡jvevwm| the quick brown fox \n", "সোনার বাংলা আমি ", "plain words only "]
+#: Functions of Arrow columns, by the queries that they are a step of.
+STEPS = {"nfc": B.nfc.func}
+
+
+@pytest.mark.parametrize("name", STEPS)
+def test_python_memory_is_bounded(name):
+    texts = pa.array([LINES[i % 3] * 200 for i in range(2000)])
+    STEPS[name](texts.slice(0, 3))
+    tracemalloc.start()
+    done = STEPS[name](texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(done) == len(texts) and texts.get_total_buffer_size() > 16 * arrow.PIECE
+    assert peak < 8 * arrow.PIECE
+    assert done.slice(1000, 5).to_pylist() == STEPS[name](texts.slice(1000, 5)).to_pylist()
