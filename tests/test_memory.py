@@ -51,7 +51,7 @@ def test_files_meet_their_runs_without_a_function_for_each(spark):
 
 LINES = ["Avgvi †mvbvi evsjv, Avwg †Zvgvq fv‡jvevwm| the quick brown fox \n", "সোনার বাংলা আমি ", "plain words only "]
 #: Functions of Arrow columns, by the queries that they are a step of.
-STEPS = {"nfc": B.nfc.func}
+STEPS = {"nfc": B.nfc.func, "keep_ya_phala": B.substitute_fast.func}
 
 
 @pytest.mark.parametrize("name", STEPS)
@@ -65,3 +65,13 @@ def test_python_memory_is_bounded(name):
     assert len(done) == len(texts) and texts.get_total_buffer_size() > 16 * arrow.PIECE
     assert peak < 8 * arrow.PIECE
     assert done.slice(1000, 5).to_pylist() == STEPS[name](texts.slice(1000, 5)).to_pylist()
+
+
+def test_known_words_are_bounded_by_bytes():
+    one = B.Converter(B.tables.glyphs(), most=100_000)
+    for i in range(20):
+        words = [f"{i}x{j}{'K' * 5000}" for j in range(5)]
+        assert one.words(words, one.substitute, one.substituted) == [one.substitute(w) for w in words]
+        assert sum(len(k) + len(v) for k, v in one.substituted.items()) < 200_000
+    one.words(["K" * 200_000], one.substitute, one.substituted)  # one that is longer than all that may be held
+    assert one.words(["K"], one.substitute, one.substituted) == ["ক"] and len(one.substituted) == 1
