@@ -51,7 +51,7 @@ def test_files_meet_their_runs_without_a_function_for_each(spark):
 
 LINES = ["Avgvi †mvbvi evsjv, Avwg †Zvgvq fv‡jvevwm| the quick brown fox \n", "সোনার বাংলা আমি ", "plain words only "]
 #: Functions of Arrow columns, by the queries that they are a step of.
-STEPS = {"nfc": B.nfc.func, "keep_ya_phala": B.substitute_fast.func}
+STEPS = {"nfc": B.nfc.func, "keep_ya_phala": B.substitute_fast.func, "stream_convert": B.to_unicode}
 
 
 @pytest.mark.parametrize("name", STEPS)
