@@ -11,6 +11,7 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DoubleType
 
 from . import fonts, tables
+from .arrow import by_pieces
 
 THRESHOLDS = {"safe": 0.95, "aggressive": 0.85}
 BIAS = -1.0
@@ -86,12 +87,17 @@ def _english_words() -> pa.Array:
 
 
 def english_share(texts: pa.Array) -> pa.Array:
-    """Of an Arrow column: tokens are cut at a table of bytes, and looked up in the hashed list all at once."""
+    """Of an Arrow column: tokens are cut at a table of bytes, and looked up in the hashed list, all of a piece at once."""
+    return by_pieces(_english_share, texts)
+
+
+def _english_share(texts: pa.Array) -> pa.Array:
     missing, texts = texts.is_null(), pc.fill_null(texts, "")
     _, offsets, data = texts.buffers()
     if data is not None:
-        plain = np.frombuffer(data, np.uint8)
-        changed = pa.StringArray.from_buffers(len(texts), offsets, pa.py_buffer(_ENDS[plain]), offset=texts.offset)
+        at = np.frombuffer(offsets, np.int32, len(texts) + 1, texts.offset * 4)
+        plain = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+        changed = pa.StringArray.from_buffers(len(texts), pa.py_buffer(at - at[0]), pa.py_buffer(_ENDS[plain]))
         texts = pc.replace_substring_regex(changed, _OTHER_SPACE, " ") if (plain >= 0x80).any() else changed
     lists = pc.split_pattern(texts, " ")
     found = lists.flatten()

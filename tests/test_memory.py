@@ -7,7 +7,7 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from glyphlake.functions import arrow, bengali as B
+from glyphlake.functions import arrow, bengali as B, classify as K
 from glyphlake.plans import queries
 from glyphlake.sources import made, ooxml
 
@@ -51,7 +51,7 @@ def test_files_meet_their_runs_without_a_function_for_each(spark):
 
 LINES = ["Avgvi †mvbvi evsjv, Avwg †Zvgvq fv‡jvevwm| the quick brown fox \n", "সোনার বাংলা আমি ", "plain words only "]
 #: Functions of Arrow columns, by the queries that they are a step of.
-STEPS = {"nfc": B.nfc.func, "keep_ya_phala": B.substitute_fast.func, "stream_convert": B.to_unicode}
+STEPS = {"nfc": B.nfc.func, "keep_ya_phala": B.substitute_fast.func, "stream_convert": B.to_unicode, "logit_sigmoid": K.english_share}
 
 
 @pytest.mark.parametrize("name", STEPS)
