@@ -2,12 +2,13 @@ import io
 import json
 import zipfile
 
+import pyarrow as pa
 import pytest
 
 from glyphlake.operators import convert as C
 from glyphlake.plans import job
 from glyphlake.plans.options import ConvertOptions
-from glyphlake.sources import files, ooxml
+from glyphlake.sources import files, made, ooxml
 from glyphlake.sources.made import element as el
 
 LEGACY, UNICODE = "Avwg evsjvq", "আমি বাংলায়"
@@ -213,3 +214,10 @@ def test_sink(spark, tmp_path):
             assert files.write_contents(rows, folder, "/in").count() == 2
     assert {p: (tmp_path / p).read_bytes() for p in ("p/a b/x .txt", "u/y.txt")} == {"p/a b/x .txt": b"1", "u/y.txt": b"2"}
     assert [files.below(p, r) for p, r in (("hdfs://h:1/in/d/x", "hdfs://h:1/in"), ("s3a://b/in/x", "s3a://b/in/"), ("file:/in/x", "file:///in"))] == ["d/x", "x", "x"]
+
+
+def test_many_styled_files_are_few_batches(spark):
+    ids = spark.range(0, 700, 1, 1).withColumnRenamed("id", "doc_id")
+    whole = made.styled(ids)
+    batches = whole.mapInArrow(lambda found: (pa.RecordBatch.from_pydict({"n": [len(b)]}) for b in ooxml._scan(found)), "n long").collect()
+    assert sum(r.n for r in batches) == 700 and len(batches) < 10
