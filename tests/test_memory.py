@@ -44,7 +44,7 @@ def test_files_go_in_batches():
     assert rows[600]["error"] and rows[601]["text"] == "t" * (3 << 20)
 
 
-@pytest.mark.parametrize("name", ["file_results", "docx_round_trip", "batch_results"])
+@pytest.mark.parametrize("name", ["file_results", "docx_round_trip", "batch_results", "pptx_round_trip"])
 def test_files_meet_their_runs_without_a_function_for_each(spark, name):
     plan = queries.QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Groups" not in plan and "CoGroup" not in plan
